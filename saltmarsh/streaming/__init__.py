@@ -1,0 +1,3 @@
+"""No streaming operators exist: every input of this library is a complete
+table.  Ordered-file work (segments, carry-forward) lives in
+``saltmarsh.operators.ordering`` and ``saltmarsh.operators.windows``."""
