@@ -52,7 +52,7 @@ def parse_formula(text: Column) -> Column:
         stack = state["stack"]
         scaled = number * F.get(stack, 0)
         pushed = F.concat(F.array(scaled), stack)
-        popped = F.slice(stack, 2, 1000)
+        popped = F.slice(stack, F.lit(2), F.size(stack))
         added = F.concat(
             F.array(F.struct(symbol.alias("element"), scaled.alias("amount"))), state["found"]
         )

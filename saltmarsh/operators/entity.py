@@ -320,7 +320,7 @@ def components(df: DataFrame) -> DataFrame:
     linked = df.filter(F.size("doi_tokens") > 1).select("formula_key", "doi_tokens").distinct()
     edges = linked.select(
         node.alias("a"),
-        F.explode(F.slice("doi_tokens", 2, 1000)).alias("token"),
+        F.explode(F.slice("doi_tokens", F.lit(2), F.size("doi_tokens"))).alias("token"),
         "formula_key",
     ).select("a", F.concat_ws("|", "formula_key", "token").alias("b"))
     found = connected_components(edges, "a", "b")

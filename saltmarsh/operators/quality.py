@@ -86,10 +86,11 @@ def drop_charge_abnormal(
         F.when(F.abs("residual_charge") > limit, F.lit(f"abs(residual_charge) > {limit:g}")),
         F.when(F.col(id_col).isin(*listed_ids), F.lit("manual abnormal charge screening")),
     )
-    rows = rows.withColumn(REASON, F.nullif(reasons, F.lit("")))
-    bad = rows.filter(F.col(REASON).isNotNull())
-    # Ids are unique per row here, so the flag itself splits the rows.
-    return rows.filter(F.col(REASON).isNull()).drop(REASON), bad
+    flagged = rows.select(id_col, F.nullif(reasons, F.lit("")).alias(REASON)).filter(F.col(REASON).isNotNull())
+    # A flagged id removes all rows that share it.
+    bad = flagged.groupBy(id_col).agg(F.min(REASON).alias(REASON))
+    kept = rows.join(bad.select(id_col), id_col, "left_anti")
+    return kept, rows.join(bad, id_col)
 
 
 def threshold_policy(df: DataFrame, minimum: float | None) -> tuple[DataFrame, DataFrame]:
