@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as tx
 from saltmarsh.operators.ordering import attach_row, exact_quantiles, row_rank
-from saltmarsh.operators.pairing import LABELS, flip_label, reverse_pairs
+from saltmarsh.operators.pairing import LABELS, flip_label, reverse_expressions
 from saltmarsh.operators.quality import melt
 
 INFINITE = float("inf")
@@ -207,13 +207,11 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame
     )
 
 
-def class_probabilities(model: PipelineModel, df: DataFrame, keep: Sequence[str], prefix: str) -> DataFrame:
+def _probabilities(column: str, prefix: str) -> dict[str, Column]:
     """Probability columns per label, normalized to sum 1."""
-    scored = model.transform(df).withColumn("_p", vector_to_array("probability"))
-    total = F.aggregate("_p", F.lit(0.0), lambda t, x: t + x)
-    return scored.select(*keep, *[
-        (F.get("_p", i) / total).alias(f"{prefix}probability_{label}") for i, label in enumerate(LABELS)
-    ])
+    values = vector_to_array(F.col(column))
+    total = F.aggregate(values, F.lit(0.0), lambda t, x: t + x)
+    return {f"{prefix}probability_{label}": F.get(values, i) / total for i, label in enumerate(LABELS)}
 
 
 def argmax_label(columns: Sequence[Column]) -> Column:
@@ -257,14 +255,35 @@ def prediction_table(df: DataFrame, keep: Sequence[str], truth: str) -> DataFram
     )
 
 
-def score_pairs(model: PipelineModel, pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
+def score_pairs(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     """Swap-symmetric probabilities and label of pair features.
 
-    Both directions are scored in one pass over the same rows.
+    The swapped features are extra columns of the same row, so both directions
+    are scored in one narrow pass without a join.
     """
-    forward = class_probabilities(model, pairs, [*keep, "pair_id"] if "pair_id" not in keep else keep, "forward_")
-    backward = class_probabilities(model, reverse_pairs(pairs), ["pair_id"], "reverse_")
-    return symmetric(forward.join(backward, "pair_id"))
+    *preparation, assembler, classifier = model.stages
+    inputs = assembler.getInputCols()
+    reversed_columns = [c for c in inputs if c in pairs.columns]
+    swapped = reverse_expressions(reversed_columns)
+    rows = pairs.withColumns({f"_r_{c}": swapped.get(c, F.col(c)) for c in reversed_columns})
+    for stage in preparation:
+        rows = stage.transform(rows)
+    backward = assembler.copy()
+    backward.setInputCols([f"_r_{c}" if c in reversed_columns else c for c in inputs])
+    backward.setOutputCol("_features_back")
+    scored = classifier.transform(assembler.transform(rows)).withColumns(
+        _probabilities(classifier.getProbabilityCol(), "forward_")
+    )
+    second = classifier.copy()
+    second.setFeaturesCol("_features_back")
+    second.setPredictionCol("_prediction_back")
+    second.setProbabilityCol("_probability_back")
+    second.setRawPredictionCol("_raw_back")
+    scored = second.transform(backward.transform(scored)).withColumns(
+        _probabilities("_probability_back", "reverse_")
+    )
+    kept = [f"{d}_probability_{v}" for d in ("forward", "reverse") for v in LABELS]
+    return symmetric(scored.select(*pairs.columns, *kept))
 
 
 __all__ = ["flip_label"]

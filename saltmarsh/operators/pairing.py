@@ -249,15 +249,19 @@ def flip_label(label: Column) -> Column:
     return F.when(label == "decrease", "increase").when(label == "increase", "decrease").otherwise(label)
 
 
-def reverse_pairs(df: DataFrame) -> DataFrame:
-    """The same pairs read from b to a."""
+def reverse_expressions(columns: Sequence[str]) -> dict[str, Column]:
+    """New value of each column that changes when a pair is read from b to a."""
     swapped = {f"delta_{n}": -F.col(f"delta_{n}") for n in CHANGES}
     for n in ENDPOINTS:
         swapped[f"a_{n}"], swapped[f"b_{n}"] = F.col(f"b_{n}"), F.col(f"a_{n}")
-    if "trend_label" in df.columns:
-        swapped["trend_label"] = flip_label(F.col("trend_label"))
-    if "trend_class" in df.columns:
-        swapped["trend_class"] = -F.col("trend_class")
+    swapped["trend_label"] = flip_label(F.col("trend_label"))
+    swapped["trend_class"] = -F.col("trend_class")
+    return {c: e for c, e in swapped.items() if c in columns}
+
+
+def reverse_pairs(df: DataFrame) -> DataFrame:
+    """The same pairs read from b to a."""
+    swapped = reverse_expressions(df.columns)
     # One select, so every expression reads the row as it was.
     return df.select(*[swapped.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 

@@ -100,3 +100,43 @@ SEGMENT_EXPRESSIONS = {
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.selectExpr(*[f"{e} AS {n}" for n, e in SEGMENT_EXPRESSIONS.items()])
+
+
+def source_tables(m: DataFrame) -> dict[str, DataFrame]:
+    """The measurement view reshaped into four source databases."""
+    from pyspark.sql import functions as F
+
+    c = F.col
+
+    def of(name: str) -> DataFrame:
+        return m.filter(c("source") == name)
+
+    v1 = of("v1").select(
+        c("id").alias("ID"), c("formula").alias("True Composition"), F.lit("").alias("Reduced Composition"),
+        c("conductivity_text").alias("Ionic conductivity (S cm-1)"), c("family").alias("Family"),
+        c("doi_text").alias("DOI"), c("checked").alias("Checked"), "note", "source_row",
+    )
+    literature = of("literature").select(
+        F.when(c("suppkey") % 9 == 4, "retired").otherwise(" Active ").alias("status"),
+        F.when(c("suppkey") % 4 == 0, "").otherwise(c("id")).alias("ID"), c("id").alias("addition_id"),
+        F.when(c("suppkey") % 2 == 0, c("formula")).otherwise("").alias("True Composition"),
+        F.when(c("suppkey") % 2 == 0, "").otherwise(c("formula")).alias("Reduced Composition"),
+        F.when(c("suppkey") % 3 == 0, c("conductivity_text")).otherwise("").alias("stored_conductivity_s_cm"),
+        F.when(c("suppkey") % 3 == 1, c("conductivity_text")).otherwise("").alias("calculated_conductivity_s_cm"),
+        F.when(c("suppkey") % 3 == 2, c("conductivity_text")).otherwise("").alias("source_conductivity_s_cm"),
+        c("doi_text").alias("DOI"), F.lit("").alias("note"), F.lit("arrhenius").alias("calculation_method"),
+        c("temperature_c").cast("string").alias("target_temperature_c"), F.lit("").alias("structure_status"),
+        F.lit("2020").alias("year"), "source_row",
+    )
+    caltech = of("caltech").select(
+        c("id").alias("icsd_collectioncode"), c("formula").alias("compound"),
+        c("doi_text").alias("conductivity_doi"), c("conductivity_text").alias("conductivity_siemens_per_cm"),
+        (c("temperature_c") + 300).cast("string").alias("lowest_extrapolation_temperature_K"), "source_row",
+    )
+    liverpool = of("liverpool").select(
+        c("id").alias("ID"), c("formula").alias("composition"), c("doi_text").alias("source"),
+        c("conductivity_text").alias("target"),
+        F.when(c("suppkey") % 17 == 3, "RT").otherwise(c("temperature_c").cast("string")).alias("temperature"),
+        "family", c("method").alias("ChemicalFamily"), "source_row",
+    )
+    return {"v1": v1, "literature": literature, "caltech": caltech, "liverpool": liverpool}
