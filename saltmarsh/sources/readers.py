@@ -33,11 +33,17 @@ def string_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    first = spark.read.text(path).head(1)
-    if not first:
+def first_lines(spark: SparkSession, path: str, count: int) -> list[str]:
+    """The first lines of the first file of a path, by file name."""
+    files = sorted(spark.read.text(path).inputFiles())
+    lines = [r[0] for r in spark.read.text(files[0]).head(count)] if files else []
+    if not lines:
         raise ValueError(f"{path} is empty")
-    return [c.strip().strip('"') for c in first[0][0].lstrip("﻿").split(sep)]
+    return [lines[0].lstrip("\ufeff"), *lines[1:]]
+
+
+def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
+    return [c.strip().strip('"') for c in first_lines(spark, path, 1)[0].split(sep)]
 
 
 def read_raw(spark: SparkSession, path: str, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
@@ -81,7 +87,7 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType | str, sep:
 
 def read_titled_tsv(spark: SparkSession, path: str, must_have: str, sep: str = "\t") -> DataFrame:
     """Table whose header may follow one title row; ``Unnamed*`` columns dropped."""
-    head = [r[0].lstrip("﻿") for r in spark.read.text(path).head(2)]
+    head = first_lines(spark, path, 2)
     headers = [line.split(sep) for line in head]
     titled = must_have not in headers[0]
     if titled and (len(headers) < 2 or must_have not in headers[1]):
@@ -97,7 +103,7 @@ def read_titled_tsv(spark: SparkSession, path: str, must_have: str, sep: str = "
 
 def sniff(first_line: str) -> tuple[str | None, list[str] | None]:
     """Separator of a first line, and its cells when they look like a header."""
-    line = first_line.lstrip("﻿")
+    line = first_line.lstrip("\ufeff")
     if "," not in line and "\t" not in line:
         return None, None
     sep = "\t" if "\t" in line and "," not in line else ","
@@ -120,15 +126,15 @@ def with_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
 
 def read_flexible(spark: SparkSession, path: str, roles: Mapping[str, str] = {}) -> DataFrame:
     """Formulas from a separated file with or without header, or one per line."""
-    first = spark.read.text(path).head(1)
-    sep, header = sniff(first[0][0]) if first else (None, None)
+    first = first_lines(spark, path, 1)[0]
+    sep, header = sniff(first)
     if sep is None:
-        lines = spark.read.text(path).select(tx.strip(F.regexp_replace("value", "﻿", "")).alias("formula"))
+        lines = spark.read.text(path).select(tx.strip(F.regexp_replace("value", "\ufeff", "")).alias("formula"))
         frame = lines.filter("formula != ''")
     elif header:
         frame = read_raw(spark, path, sep, header)
     else:
-        width = len(first[0][0].split(sep))
+        width = len(first.split(sep))
         names = ["True Composition", "reference_value", *[f"extra_{i}" for i in range(3, width + 1)]][:width]
         frame = spark.read.csv(path, sep=sep, schema=string_schema(names), comment="#")
     return flexible_columns(frame, roles)
