@@ -9,9 +9,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from saltmarsh.functions.physics import BOHR_RADIUS_PM
+from saltmarsh.session import small_table
 
 # Candidate oxidation states, tried in this order.
 OXIDATION_STATES_TEXT = """
@@ -365,7 +365,7 @@ ELEMENT_SCHEMA = (
 
 
 def element_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(element_rows(), ELEMENT_SCHEMA)
+    return small_table(spark, element_rows(), ELEMENT_SCHEMA)
 
 
 def candidate_rows() -> list[tuple]:
@@ -374,7 +374,7 @@ def candidate_rows() -> list[tuple]:
 
 def candidate_dim(spark: SparkSession) -> DataFrame:
     """Element -> oxidation states to try."""
-    return spark.createDataFrame(candidate_rows(), "element string, states array<double>")
+    return small_table(spark, candidate_rows(), "element string, states array<double>")
 
 
 def radius_entries() -> list[tuple]:
@@ -385,26 +385,18 @@ def radius_entries() -> list[tuple]:
     return rows
 
 
-def radius_dim(spark: SparkSession) -> DataFrame:
+def radius_rows() -> list[tuple[str, int, float]]:
     """(element, charge) -> radius: override, borrowed charge, reliable mean, plain mean."""
-    entries = spark.createDataFrame(
-        radius_entries(), "element string, charge int, radius double, reliable boolean"
-    )
-    means = entries.groupBy("element", "charge").agg(
-        F.coalesce(
-            F.avg(F.when(F.col("reliable"), F.col("radius"))), F.avg("radius")
-        ).alias("radius_pm")
-    )
-    borrowed = spark.createDataFrame(
-        [(e, c, b) for (e, c), b in RADIUS_BORROWED_CHARGE.items()],
-        "element string, charge int, source_charge int",
-    )
-    lent = borrowed.join(
-        means.withColumnRenamed("charge", "source_charge"), ["element", "source_charge"]
-    ).select("element", "charge", "radius_pm")
-    fixed = spark.createDataFrame(
-        [(e, c, r) for (e, c), r in RADIUS_OVERRIDES_PM.items()],
-        "element string, charge int, radius_pm double",
-    )
-    special = fixed.unionByName(lent)
-    return special.unionByName(means.join(special, ["element", "charge"], "left_anti"))
+    entries: dict[tuple[str, int], list[tuple[float, bool]]] = {}
+    for element, charge, radius, reliable in radius_entries():
+        entries.setdefault((element, charge), []).append((radius, reliable))
+    means = {}
+    for pair, values in entries.items():
+        chosen = [r for r, reliable in values if reliable] or [r for r, _ in values]
+        means[pair] = sum(chosen) / len(chosen)
+    lent = {(e, c): means[(e, other)] for (e, c), other in RADIUS_BORROWED_CHARGE.items()}
+    return [(e, c, r) for (e, c), r in sorted((means | lent | RADIUS_OVERRIDES_PM).items())]
+
+
+def radius_dim(spark: SparkSession) -> DataFrame:
+    return small_table(spark, radius_rows(), "element string, charge int, radius_pm double")

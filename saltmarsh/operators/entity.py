@@ -12,7 +12,7 @@ from saltmarsh.functions import formula as fm
 from saltmarsh.functions import text as tx
 from saltmarsh.operators import quality as ql
 from saltmarsh.operators.ordering import exact_quantiles, keep_first, member_lists, next_row
-from saltmarsh.session import durable
+from saltmarsh.session import durable, small_table
 
 # --- sources to one schema ---------------------------------------------------
 
@@ -135,20 +135,19 @@ def candidates(v1: DataFrame, literature: DataFrame, caltech: DataFrame, liverpo
 # --- validation ----------------------------------------------------------------
 
 
-def validate_candidates(
+def tag_candidates(
     df: DataFrame,
     *,
     key_overrides: Mapping[str, str] | None = None,
     room_temperature_c: float = 25.0,
     tolerance_c: float = 5.0,
     excluded_external_ids: Sequence[str] = ("65051", "100169"),
-) -> tuple[DataFrame, DataFrame]:
-    """Typed valid candidates, and rejected ones with their first reason."""
+) -> DataFrame:
+    """Typed candidates with the first reason to reject each, or null."""
     rows = ql.with_formula(ql.parse_measurements(df))
     if key_overrides:
         # The replacement formula changes the key only; the full formula stays.
-        spark = df.sparkSession
-        table = spark.createDataFrame(list(key_overrides.items()), "external_id string, _formula string")
+        table = small_table(df.sparkSession, list(key_overrides.items()), "external_id string, _formula string")
         table = table.select("external_id", fm.formula_key(fm.parse_formula(F.col("_formula"))).alias("_key"))
         rows = rows.join(F.broadcast(table), "external_id", "left").withColumn(
             "formula_key", F.coalesce(F.when(F.col("source") == "caltech", F.col("_key")), "formula_key")
@@ -170,7 +169,17 @@ def validate_candidates(
          F.concat(F.lit("explicitly excluded Caltech high-temperature extrapolation: ICSD "),
                   F.col("external_id"), F.lit(", "), kelvin)),
     ]
-    return ql.reject_first(rows, rules)
+    return rows.withColumn(ql.REASON, ql.first_reason(rules))
+
+
+def split_candidates(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kept = tagged.filter(F.col(ql.REASON).isNull()).drop(ql.REASON)
+    return kept, tagged.filter(F.col(ql.REASON).isNotNull())
+
+
+def validate_candidates(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Typed valid candidates, and rejected ones with their first reason."""
+    return split_candidates(tag_candidates(df, **options))
 
 
 # --- joins ---------------------------------------------------------------------
@@ -561,7 +570,7 @@ FORMULA_PREFERRED = {"Li1.6Al0.6Ge1.4P3O12": "nasicon", "Li10Sn(PS6)2": "lgps",
 
 def formula_table(spark, mapping: Mapping[str, str], value: str) -> DataFrame:
     """Small dimension keyed by formula key."""
-    rows = spark.createDataFrame(list(mapping.items()), f"formula string, {value} string")
+    rows = small_table(spark, list(mapping.items()), f"formula string, {value} string")
     return rows.select(fm.formula_key(fm.parse_formula(F.col("formula"))).alias("formula_key"), value)
 
 

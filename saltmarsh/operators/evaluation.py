@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import physics as ph
-from saltmarsh.operators.ordering import row_rank, running_sum
+from saltmarsh.operators.ordering import largest_group, row_rank, running_sum
 from saltmarsh.operators.pairing import LABELS
 from saltmarsh.operators.windows import adjacent_agreement
+from saltmarsh.session import durable, small_table
 
 # --- regression -----------------------------------------------------------------------
 
@@ -39,16 +40,26 @@ def regression_metrics(df: DataFrame, part: Sequence[str], truth: str, guess: st
 def points(df: DataFrame, part: Sequence[str], truth: str, guess: str) -> DataFrame:
     """Distinct (truth, guess) points per group with their weight.
 
-    Equal points are merged before anything is compared.
+    Equal points are merged before anything is compared, and written once for
+    the steps that read them.
     """
     usable = df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull())
-    return usable.groupBy(*part, F.col(truth).alias("t"), F.col(guess).alias("p")).agg(F.count("*").alias("w"))
+    return durable(
+        usable.groupBy(*part, F.col(truth).alias("t"), F.col(guess).alias("p")).agg(F.count("*").alias("w"))
+    )
+
 
+def most_values(pts: DataFrame, part: Sequence[str]) -> int:
+    """No group has more distinct truths or guesses than points."""
+    return largest_group(pts, part)
 
-def average_ranks(df: DataFrame, part: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
+
+def average_ranks(
+    df: DataFrame, part: Sequence[str], value: str, weight: str, name: str, largest: int | None = None
+) -> DataFrame:
     """Distinct values per group with their average rank."""
     counts = df.groupBy(*part, value).agg(F.sum(weight).alias("_n"))
-    ranked = running_sum(counts, part, [F.col(value)], F.col("_n"), "_upto")
+    ranked = running_sum(counts, part, [F.col(value)], F.col("_n"), "_upto", largest)
     return ranked.select(*part, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
 
 
@@ -62,8 +73,9 @@ def weighted_corr(x: Column, y: Column, w: Column) -> Column:
 
 
 def spearman(pts: DataFrame, part: Sequence[str]) -> DataFrame:
-    ranks_t = average_ranks(pts, part, "t", "w", "rt")
-    ranks_p = average_ranks(pts, part, "p", "w", "rp")
+    largest = most_values(pts, part)
+    ranks_t = average_ranks(pts, part, "t", "w", "rt", largest)
+    ranks_p = average_ranks(pts, part, "p", "w", "rp", largest)
     joined = pts.join(ranks_t, [*part, "t"]).join(ranks_p, [*part, "p"])
     return joined.groupBy(*part).agg(weighted_corr(F.col("rt"), F.col("rp"), F.col("w")).alias("spearman"))
 
@@ -77,8 +89,9 @@ def discordant(pts: DataFrame, part: Sequence[str]) -> DataFrame:
     is one running sum over at most n * log2(n) rows.
     """
     part = list(part)
+    largest = most_values(pts, part)
     distinct_p = pts.select(*part, "p").distinct()
-    ranked = row_rank(distinct_p, part, [F.col("p")], "_rank").withColumn("_rank", F.col("_rank") - 1)
+    ranked = row_rank(distinct_p, part, [F.col("p")], "_rank", largest).withColumn("_rank", F.col("_rank") - 1)
     widths = ranked.groupBy(*part).agg(F.max("_rank").alias("_top"))
     rows = pts.join(ranked, [*part, "p"]).join(widths, part)
     bits = F.when(F.col("_top") > 0, F.floor(F.log2(F.col("_top").cast("double")))).otherwise(0)
@@ -90,7 +103,7 @@ def discordant(pts: DataFrame, part: Sequence[str]) -> DataFrame:
     cells = rows.groupBy(*part, "_bit", "_prefix", "t").agg(
         F.sum("_one").alias("ones"), F.sum(F.col("w") - F.col("_one")).alias("zeros")
     )
-    walked = running_sum(cells, [*part, "_bit", "_prefix"], [F.col("t")], F.col("ones"), "_upto")
+    walked = running_sum(cells, [*part, "_bit", "_prefix"], [F.col("t")], F.col("ones"), "_upto", largest)
     before = F.col("_upto") - F.col("ones")
     return walked.groupBy(*part).agg(F.sum(before * F.col("zeros")).alias("inverted"))
 
@@ -101,8 +114,11 @@ def _pairs_within(n: Column) -> Column:
 
 def inversions(df: DataFrame, part: Sequence[str], truth: str, guess: str) -> DataFrame:
     """Comparable, inverted and tied pairs per group, with the inversion rate."""
+    return inversions_of(points(df, part, truth, guess), part)
+
+
+def inversions_of(pts: DataFrame, part: Sequence[str]) -> DataFrame:
     part = list(part)
-    pts = points(df, part, truth, guess)
     totals = pts.groupBy(*part).agg(
         F.sum("w").alias("n"), F.sum(_pairs_within(F.col("w"))).alias("_same_both")
     )
@@ -134,8 +150,9 @@ def external_eval(df: DataFrame, part: Sequence[str], truth: str, guess: str) ->
     part = list(part)
     totals = df.groupBy(*part).agg(F.count("*").alias("rows_total"))
     regression = regression_metrics(df, part, truth, guess).withColumnRenamed("n", "rows_evaluated")
-    ranks = spearman(points(df, part, truth, guess), part)
-    pairs = inversions(df, part, truth, guess).drop("n")
+    pts = points(df, part, truth, guess)
+    ranks = spearman(pts, part)
+    pairs = inversions_of(pts, part).drop("n")
     out = totals.join(regression, part, "left").join(ranks, part, "left").join(pairs, part, "left")
     evaluated = F.coalesce("rows_evaluated", F.lit(0).cast("bigint"))
     return out.withColumn("rows_evaluated", evaluated).withColumn(
@@ -160,7 +177,7 @@ def series_summary(df: DataFrame, part: Sequence[str], order: Sequence[Column],
     part = list(part)
     pts = points(df, part, truth, guess)
     pearson = pts.groupBy(*part).agg(weighted_corr(F.col("t"), F.col("p"), F.col("w")).alias("pearson"))
-    pairs = inversions(df, part, truth, guess).select(*part, "n", "inversion_rate")
+    pairs = inversions_of(pts, part).select(*part, "n", "inversion_rate")
     adjacent = adjacent_agreement(df, part, order, truth, guess).select(
         *part, (F.col("comparable") - F.col("correct")).alias("adjacent_mismatch"),
         F.col("comparable").alias("adjacent_comparable"),
@@ -352,9 +369,7 @@ def overlap_audit(pairs: DataFrame, train: DataFrame, a: str, b: str) -> DataFra
 def compare_models(metrics: DataFrame, ordered: Sequence[str], comparison: str) -> DataFrame:
     """Metric rows of the named models, numbered in the given order."""
     spark = metrics.sparkSession
-    order = spark.createDataFrame(
-        [(m, i) for i, m in enumerate(ordered)], "model string, model_order bigint"
-    )
+    order = small_table(spark, [(m, i) for i, m in enumerate(ordered)], "model string, model_order bigint")
     chosen = metrics.join(F.broadcast(order), "model")
     return chosen.withColumn("comparison_set", F.lit(comparison))
 

@@ -19,6 +19,7 @@ from saltmarsh.functions import text as tx
 from saltmarsh.operators.ordering import attach_row, exact_quantiles, row_rank
 from saltmarsh.operators.pairing import LABELS, flip_label, reverse_expressions
 from saltmarsh.operators.quality import melt
+from saltmarsh.session import small_table
 
 INFINITE = float("inf")
 
@@ -73,7 +74,7 @@ def category_levels(train: DataFrame, column: str) -> DataFrame:
     """Sorted training levels with codes; ``unknown`` is 0."""
     known = train.select(column).filter((F.col(column) != tx.UNKNOWN) & F.col(column).isNotNull()).distinct()
     numbered = row_rank(known, [], [F.col(column)], "code")
-    unknown = train.sparkSession.createDataFrame([(tx.UNKNOWN, 0)], f"{column} string, code bigint")
+    unknown = small_table(train.sparkSession, [(tx.UNKNOWN, 0)], f"{column} string, code bigint")
     return numbered.select(column, "code").unionByName(unknown)
 
 

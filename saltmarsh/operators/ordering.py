@@ -34,8 +34,11 @@ def largest_group(df: DataFrame, part: Sequence[str]) -> int:
     return row[0] or 0
 
 
-def groups_fit(df: DataFrame, part: Sequence[str]) -> bool:
-    return largest_group(df, part) <= group_row_limit(df)
+def groups_fit(df: DataFrame, part: Sequence[str], largest: int | None) -> bool:
+    """Does every group fit one task?  ``largest`` is a proven bound when the
+    caller has one; else the groups are counted."""
+    size = largest_group(df, part) if largest is None else largest
+    return size <= group_row_limit(df)
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -71,10 +74,11 @@ def _join_slices(rows: DataFrame, slices: DataFrame, part: Sequence[str]) -> Dat
 
 
 def running_sum(
-    df: DataFrame, part: Sequence[str], order: Sequence[Column], value: Column, name: str
+    df: DataFrame, part: Sequence[str], order: Sequence[Column], value: Column, name: str,
+    largest: int | None = None,
 ) -> DataFrame:
     """Inclusive running total of ``value`` inside each group."""
-    if groups_fit(df, part):
+    if groups_fit(df, part, largest):
         frame = _window(part, order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(value).over(frame))
     rows = _slices(df.withColumn("_v", value), part, order)
@@ -89,17 +93,20 @@ def running_sum(
     )
 
 
-def row_rank(df: DataFrame, part: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def row_rank(
+    df: DataFrame, part: Sequence[str], order: Sequence[Column], name: str, largest: int | None = None
+) -> DataFrame:
     """Row number inside each group; ``order`` must be a total order."""
-    return running_sum(df, part, order, F.lit(1).cast("bigint"), name)
+    return running_sum(df, part, order, F.lit(1).cast("bigint"), name, largest)
 
 
 def next_row(
-    df: DataFrame, part: Sequence[str], order: Sequence[Column], cols: Sequence[str], name: str
+    df: DataFrame, part: Sequence[str], order: Sequence[Column], cols: Sequence[str], name: str,
+    largest: int | None = None,
 ) -> DataFrame:
     """Struct of ``cols`` taken from the following row of the group, or null."""
     payload = F.struct(*cols)
-    if groups_fit(df, part):
+    if groups_fit(df, part, largest):
         return df.withColumn(name, F.lead(payload).over(_window(part, order)))
     rows = _slices(df, part, order)
     local = _window([*part, _SLICE], order)
@@ -118,10 +125,11 @@ def next_row(
 
 
 def last_known(
-    df: DataFrame, part: Sequence[str], order: Sequence[Column], value: Column, name: str
+    df: DataFrame, part: Sequence[str], order: Sequence[Column], value: Column, name: str,
+    largest: int | None = None,
 ) -> DataFrame:
     """Carry the latest non-null ``value`` forward inside each group."""
-    if groups_fit(df, part):
+    if groups_fit(df, part, largest):
         frame = _window(part, order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(frame))
     rows = _slices(df.withColumn("_v", value), part, order)
@@ -141,12 +149,13 @@ def last_known(
 
 
 def running_extreme(
-    df: DataFrame, part: Sequence[str], order: Sequence[Column], value: Column, name: str, *, best: str
+    df: DataFrame, part: Sequence[str], order: Sequence[Column], value: Column, name: str, *, best: str,
+    largest: int | None = None,
 ) -> DataFrame:
     """Best value so far (``best`` is ``min`` or ``max``)."""
     pick = {"min": F.min, "max": F.max}[best]
     merge = {"min": F.least, "max": F.greatest}[best]
-    if groups_fit(df, part):
+    if groups_fit(df, part, largest):
         frame = _window(part, order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, pick(value).over(frame))
     rows = _slices(df.withColumn("_v", value), part, order)
@@ -209,7 +218,8 @@ def exact_quantiles(
     and each wanted rank is read from the interval it falls into.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("_n"))
-    # The counts are read twice (ranks and totals): one total per group.
+    # Read three times below, and much smaller than the rows.
+    counts = durable(counts)
     ranked = running_sum(counts, part, [F.col(value)], F.col("_n"), "_upto")
     totals = counts.groupBy(*part).agg(F.sum("_n").alias("_total"))
     joined = ranked.join(totals, list(part)) if part else attach_row(ranked, totals)

@@ -13,6 +13,7 @@ from saltmarsh.functions import physics as ph
 from saltmarsh.functions import text as tx
 from saltmarsh.operators import composition as cp
 from saltmarsh.operators.ordering import exact_quantiles, member_lists
+from saltmarsh.session import durable, small_table
 
 REASON = "removed_reason"
 
@@ -120,8 +121,7 @@ def apply_overrides(df: DataFrame, key: str, target: str, overrides: Mapping[str
     """Replace ``target`` where ``key`` is listed in a small fixed table."""
     if not overrides:
         return df
-    spark = df.sparkSession
-    table = spark.createDataFrame(list(overrides.items()), f"{key} string, _override string")
+    table = small_table(df.sparkSession, list(overrides.items()), f"{key} string, _override string")
     joined = df.join(F.broadcast(table), key, "left")
     return joined.withColumn(target, F.coalesce("_override", target)).drop("_override").select(*df.columns)
 
@@ -222,7 +222,9 @@ def dup_audit(df: DataFrame, rows_per_list: int = MEMBERS_PER_LIST) -> DataFrame
 
     Members come in lists of at most ``rows_per_list`` (``list_no`` 0, 1, ...).
     """
-    valid = valid_measurements(df)
+    valid = durable(valid_measurements(df).select(
+        "formula_key", "id", "log10_value", "conductivity_text", "doi_text"
+    ))
     stats = valid.groupBy("formula_key").agg(
         F.count("*").alias("row_count"),
         F.min("log10_value").alias("log10_min"),

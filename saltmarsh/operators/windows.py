@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as tx
 from saltmarsh.operators.ordering import (
-    attach_row, keep_first, last_known, next_row, row_rank, running_extreme, running_sum,
+    attach_row, keep_first, largest_group, last_known, next_row, row_rank, running_extreme,
+    running_sum,
 )
 
 __all__ = ["keep_first"]
@@ -47,8 +48,9 @@ def segment(df: DataFrame, part: Sequence[str], order: Sequence[Column], is_head
     flagged = df.withColumn("_header", F.when(is_header, 1).otherwise(0)).withColumn(
         "_label", F.when(is_header, label)
     )
-    numbered = running_sum(flagged, part, order, F.col("_header"), "segment_no")
-    carried = last_known(numbered, part, order, F.col("_label"), "segment_label")
+    largest = largest_group(df, part)
+    numbered = running_sum(flagged, part, order, F.col("_header"), "segment_no", largest)
+    carried = last_known(numbered, part, order, F.col("_label"), "segment_label", largest)
     return carried.withColumn("is_header_row", F.col("_header") == 1).drop("_header", "_label")
 
 

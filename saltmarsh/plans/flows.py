@@ -23,7 +23,7 @@ Bundle = dict[str, DataFrame]
 
 def curate_single(df: DataFrame, span_limit: float = 0.5) -> Bundle:
     """One source: reject unreadable rows, audit duplicates, drop conflicting formulas."""
-    rows = ql.with_formula(ql.parse_measurements(df))
+    rows = durable(ql.with_formula(ql.parse_measurements(df)))
     valid, rejected = ql.reject_first(rows, [
         (F.col("formula_error") != "", F.concat(F.lit("unparseable formula: "), F.col("formula_error"))),
         (~F.coalesce(F.col("value") > 0, F.lit(False)), "missing or unparseable room-temperature conductivity"),
@@ -42,10 +42,12 @@ def curate_sources(sources: Mapping[str, DataFrame], *, span_limit: float = 1.0,
     materialized once in the shared folder.
     """
     rows = en.candidates(**sources)
-    valid, invalid = en.validate_candidates(rows, room_temperature_c=room_temperature_c)
+    tagged = durable(en.tag_candidates(rows, room_temperature_c=room_temperature_c))
+    valid, invalid = en.split_candidates(tagged)
     valid = durable(en.fill_by_overlap(valid))
     grouped = durable(en.components(valid))
     merged, duplicates = en.pick_representative(grouped, room_temperature_c)
+    merged = durable(merged)
     kept, spans = en.span_keep_highest(merged, span_limit, room_temperature_c)
     labelled, family_audit = en.label_cascade(kept, valid)
     columns = ["id", "source", "formula_key", "doi", "value"]
@@ -94,6 +96,7 @@ def model_clean(
         ((F.col("source") == "caltech") & F.col("id").isin(*excluded_ids) if excluded_ids else F.lit(False),
          "explicitly excluded Caltech high-temperature extrapolation record"),
     ])
+    eligible = durable(eligible)
     preferred = en.formula_table(df.sparkSession, en.FORMULA_PREFERRED, "preferred_family")
     kept, lost = en.one_per_formula(eligible, preferred)
     audit = en.formula_audit(eligible, kept)

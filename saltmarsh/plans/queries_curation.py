@@ -12,6 +12,7 @@ from saltmarsh.plans import flows
 from saltmarsh.plans import oracle as orc
 from saltmarsh.plans.catalog import query
 from saltmarsh.plans.oracle import CTES
+from saltmarsh.session import durable
 from saltmarsh.sources import views
 
 c = F.col
@@ -85,16 +86,17 @@ def candidate_rows(t):
 
 
 def valid_candidates(t):
+    """Validated candidates, written once for the steps that read them."""
     kept, _ = en.validate_candidates(candidate_rows(t))
-    return kept
+    return durable(kept)
 
 
 def filled(t):
-    return en.fill_by_overlap(valid_candidates(t))
+    return durable(en.fill_by_overlap(valid_candidates(t)))
 
 
 def grouped(t):
-    return en.components(filled(t))
+    return durable(en.components(filled(t)))
 
 
 @query("a02_component_audit", f"""SELECT * FROM (SELECT component, count(*) AS candidate_rows, min(log10_value) AS log10_min, max(log10_value) AS log10_max,
@@ -218,7 +220,8 @@ CTES["padj"] = """SELECT series, count(*) FILTER (WHERE dt <> 0 AND dp <> 0) AS
 
 
 def rounded_predictions(t):
-    return predictions(t).withColumns({n: F.round(n, 6) for n in ("y_true", "y_pred")}).withColumnRenamed("formula_key", "series")
+    rows = predictions(t).withColumns({n: F.round(n, 6) for n in ("y_true", "y_pred")})
+    return durable(rows.withColumnRenamed("formula_key", "series"))
 
 
 def by_row():
@@ -316,7 +319,7 @@ def d03(t):
 @query("d04_span_exclude", """SELECT id, CASE WHEN n > 1 AND span > 2.8 THEN 'excluded' ELSE 'kept' END AS outcome, span FROM (
     SELECT id, count(*) OVER w AS n, max(log10_value) OVER w - min(log10_value) OVER w AS span FROM valid WINDOW w AS (PARTITION BY formula_key, doi))""", "span")
 def d04(t):
-    rows = valid(t).withColumn("formula_key", F.concat_ws("|", "formula_key", "doi"))
+    rows = durable(valid(t).withColumn("formula_key", F.concat_ws("|", "formula_key", "doi")))
     kept, removed = en.span_exclude(rows, 2.8)
     a = kept.select("id", F.lit("kept").alias("outcome"), c("log10_span").alias("span"))
     return a.unionByName(removed.select("id", F.lit("excluded").alias("outcome"), c("log10_span").alias("span")))
@@ -325,7 +328,7 @@ def d04(t):
 @query("d05_span_keep_highest", """SELECT id, CASE WHEN fn > 1 AND span > 1.0 AND id <> top_id THEN 'conflicting formula: log10 conductivity span ' || printf('%.3f', span) || ' > 1; kept highest conductivity row ' || top_id ELSE 'kept' END AS outcome FROM cspan""")
 def d05(t):
     merged, _ = en.pick_representative(grouped(t))
-    kept, removed = en.span_keep_highest(merged)
+    kept, removed = en.span_keep_highest(durable(merged))
     return kept.select("id", F.lit("kept").alias("outcome")).unionByName(removed.select("id", c(ql.REASON).alias("outcome")))
 
 
@@ -357,10 +360,10 @@ CASCADE_SQL = """SELECT id, formula_key, source, previous_family, CASE WHEN len(
 
 @query("d06_label_cascade", CASCADE_SQL)
 def d06(t):
-    rows = en.components(filled(t))
-    merged, _ = en.pick_representative(rows)
-    kept, _ = en.span_keep_highest(merged)
-    _, audit = en.label_cascade(kept, filled(t))
+    references = filled(t)
+    merged, _ = en.pick_representative(durable(en.components(references)))
+    kept, _ = en.span_keep_highest(durable(merged))
+    _, audit = en.label_cascade(durable(kept), references)
     return audit.select("id", "formula_key", "source", "previous_family", "recommended_family", "confidence", "assignment_method")
 
 

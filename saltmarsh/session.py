@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,13 +50,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared folder and cut its lineage there.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The rows are read back from files, so losing an executor never recomputes
-    them and never changes a partition number stored in a column.
+    This cuts the lineage: the rows come from files, so losing an executor never
+    recomputes them and never changes a partition number stored in a column.
+    Later reads prune columns, and their size is known to the planner.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A fixed table of a few rows as inline values, so its size is known."""
+    fields = [field.strip().rsplit(" ", 1) for field in _split_fields(schema)]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    cells = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(f"`{name}`" for name, _ in fields)
+    casts = ", ".join(f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {cells} AS t({names})")
+
+
+def _split_fields(schema: str) -> list[str]:
+    return [f for f in schema.split(", ") if f]
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float)):
+        return f"{value!r}D" if isinstance(value, float) else str(value)
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_literal(v) for v in value) + ")"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -76,11 +76,31 @@ MEASUREMENT_EXPRESSIONS = {
 }
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores when the scan has fewer splits than that.
+
+    A table of a few files would keep most cores idle; a large one has many
+    splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, *keys) if splits < cores else df
+
+
+# Columns that come from the part table alone, and keys kept for joining.
+PART_COLUMNS = ("formula", "family")
+
+
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
-    joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
-    return joined.selectExpr(*[f"{e} AS {n}" for n, e in MEASUREMENT_EXPRESSIONS.items()])
+    """Each side is projected before the join: part texts are built once per
+    part, and later expressions read plain columns of the join output."""
+    names = list(MEASUREMENT_EXPRESSIONS)
+    part_side = [f"{MEASUREMENT_EXPRESSIONS[n]} AS {n}" for n in PART_COLUMNS]
+    line_side = [f"{e} AS {n}" for n, e in MEASUREMENT_EXPRESSIONS.items() if n not in PART_COLUMNS]
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", *part_side)
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_partkey", *line_side)
+    lines = spread(lines, "id")
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).select(*names)
 
 
 # Ordered user streams cut into segments by a header event.
@@ -98,7 +118,7 @@ SEGMENT_EXPRESSIONS = {
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"), "user_id", "event_id")
     return events.selectExpr(*[f"{e} AS {n}" for n, e in SEGMENT_EXPRESSIONS.items()])
 
 
