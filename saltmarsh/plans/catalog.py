@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,24 +59,29 @@ class Tables:
         return cp.descriptors(self.parsed)
 
 
+def nine_digits(column: Column) -> Column:
+    cut = F.round(column, 12)
+    digits = F.lit(8.0) - F.floor(F.log10(F.abs(cut))).cast("double")
+    # Whole powers of ten are exact, so every engine rounds alike.
+    up, down = F.pow(F.lit(10.0), digits), F.pow(F.lit(10.0), -digits)
+    return (
+        F.when(cut == 0, 0.0)
+        .when(digits >= 0, F.round(cut * up) / up)
+        .otherwise(F.round(cut / down) * down)
+    )
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """Doubles at nine significant digits, so engines can be compared."""
-    columns = []
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.DoubleType):
-            cut = F.round(column, 12)
-            digits = F.lit(8.0) - F.floor(F.log10(F.abs(cut))).cast("double")
-            # Whole powers of ten are exact, so every engine rounds alike.
-            up, down = F.pow(F.lit(10.0), digits), F.pow(F.lit(10.0), -digits)
-            safe = (
-                F.when(cut == 0, 0.0)
-                .when(digits >= 0, F.round(cut * up) / up)
-                .otherwise(F.round(cut / down) * down)
-            )
-            column = safe.alias(field.name)
-        columns.append(column)
-    return df.select(*columns)
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    if not doubles:
+        return df
+    # One array keeps the generated code small for wide tables.
+    packed = df.withColumn("_doubles", F.transform(F.array(*[F.col(f"`{n}`") for n in doubles]), nine_digits))
+    place = {name: i for i, name in enumerate(doubles)}
+    return packed.select(*[
+        F.get("_doubles", place[n]).alias(n) if n in place else F.col(f"`{n}`") for n in df.columns
+    ])
 
 
 def query(name: str, sql: str | None = None, doubles: str = ""):

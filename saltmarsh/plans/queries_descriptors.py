@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from saltmarsh.functions import elements as el
 from saltmarsh.operators import composition as cp
 from saltmarsh.operators import quality as ql
 from saltmarsh.plans import flows
@@ -192,5 +191,3 @@ def c23(t):
 
     return cp.per_distinct(t.m.select("id", "formula"), "formula", compute)
 
-
-STATES = el.candidate_states()

@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions import formula as fm
 from saltmarsh.functions import physics as ph
-from saltmarsh.functions import text as tx
 from saltmarsh.operators import composition as cp
 from saltmarsh.operators import pairing as pr
-from saltmarsh.operators import quality as ql
 from saltmarsh.operators import splits as sp
 from saltmarsh.plans import flows
 from saltmarsh.plans import oracle as orc
@@ -17,6 +15,7 @@ from saltmarsh.plans.catalog import query
 from saltmarsh.plans.oracle import CTES
 from saltmarsh.plans.queries_curation import by_line, segment_rows, valid
 from saltmarsh.session import durable
+from saltmarsh.sources.views import MEASUREMENT_EXPRESSIONS
 
 c = F.col
 
@@ -41,6 +40,7 @@ CTES["td"] = "SELECT formula, " + ", ".join(
 CTES["tdok"] = "SELECT * FROM td WHERE " + " AND ".join(
     f"{n if n in cp.TREND_LOGS else 'x_' + n} IS NOT NULL" for n in cp.TREND_NAMES if n not in cp.TREND_OPTIONAL
 )
+CTES["pf"] = f"SELECT p_partkey, {MEASUREMENT_EXPRESSIONS['formula']} AS formula, {MEASUREMENT_EXPRESSIONS['family']} AS family FROM part"
 CTES["fpairs"] = "SELECT DISTINCT formula_a, formula_b FROM pairs_sql"
 CTES["l1"] = """SELECT formula_a, formula_b, sum(abs(coalesce(fb, 0) - coalesce(fa, 0))) AS dist FROM (
     SELECT p.formula_a, p.formula_b, u.element, max(u.f) FILTER (WHERE u.formula = p.formula_a) AS fa, max(u.f) FILTER (WHERE u.formula = p.formula_b) AS fb
@@ -98,7 +98,7 @@ def j05(t):
     return out.select("doi", "method", "id_a", "id_b")
 
 
-@query("j06_state_combinations", "SELECT formula, idx[1] AS first_index, q, p FROM oxrec r WHERE k = (SELECT count(*) FROM oxopen o WHERE o.formula = r.formula) AND round(abs(q) + 0.001::DOUBLE * p, 9) = (SELECT min(round(abs(s.q) + 0.001::DOUBLE * s.p, 9)) FROM oxrec s WHERE s.formula = r.formula AND s.k = r.k) AND idx = (SELECT b.idx FROM oxbest b WHERE b.formula = r.formula)".replace("idx[1] AS first_index, q, p", "q AS residual_charge"), "residual_charge")
+@query("j06_state_combinations", """SELECT formula, residual_charge FROM oxbest""", "residual_charge")
 def j06(t):
     return cp.assign_oxidation(t.parsed).select("formula", "residual_charge")
 
@@ -183,25 +183,13 @@ def p07(t):
         ON l1.formula_a = p.formula_a AND l1.formula_b = p.formula_b""", FEATURES)
 def p08(t):
     parts = t.table("part").selectExpr("p_partkey", "p_size", "p_type").selectExpr(
-        "p_partkey", f"{views_formula()} AS formula", f"{views_family()} AS family"
+        "p_partkey", f"{MEASUREMENT_EXPRESSIONS['formula']} AS formula", f"{MEASUREMENT_EXPRESSIONS['family']} AS family"
     )
     nxt = parts.select((c("p_partkey") - 1).alias("p_partkey"), c("formula").alias("formula_b"))
     rows = parts.withColumnRenamed("formula", "formula_a").join(nxt, "p_partkey").select("formula_a", "formula_b", "family").distinct()
     return renamed(pr.inference_pairs(rows))
 
 
-def views_formula() -> str:
-    from saltmarsh.sources.views import MEASUREMENT_EXPRESSIONS
-    return MEASUREMENT_EXPRESSIONS["formula"]
-
-
-def views_family() -> str:
-    from saltmarsh.sources.views import MEASUREMENT_EXPRESSIONS
-    return MEASUREMENT_EXPRESSIONS["family"]
-
-
-CTES["pf"] = f"SELECT p_partkey, {views_formula()} AS formula, {views_family()} AS family FROM part"
-
 SOME = ["delta_entropy_c_l", "delta_chi_all", "mean_r_all_pm", "abs_delta_field_x_r_diff", "a_chi_all", "b_chi_all", "composition_L1_distance"]
 REVERSED_SQL = """p.pair_id, CASE WHEN {d} > 1e-4::DOUBLE THEN 'decrease' WHEN {d} < -1e-4::DOUBLE THEN 'increase' ELSE 'unchanged' END AS trend_label,
     ta.x_entropy_c_l - tb.x_entropy_c_l AS delta_entropy_c_l, ta.x_chi_all - tb.x_chi_all AS delta_chi_all, (ta.x_r_all_pm + tb.x_r_all_pm) / 2.0 AS mean_r_all_pm,
@@ -314,5 +302,3 @@ def l10(t):
     groups = sp.split_groups_to_target(rows, "doi", "label", LEVELS, 0.1)
     return sp.split_manifest(sp.assignments(rows, groups, "doi"), "doi", "label", LEVELS)
 
-
-__all__ = ["ql", "tx"]

@@ -1 +1,347 @@
+"""Queries for feature preparation, models and metrics."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from saltmarsh.operators import evaluation as ev
+from saltmarsh.operators import mlprep as ml
+from saltmarsh.operators import pairing as pr
+from saltmarsh.operators import splits as sp
+from saltmarsh.operators import windows as wn
+from saltmarsh.plans import flows
+from saltmarsh.plans import oracle as orc
+from saltmarsh.plans.catalog import query
+from saltmarsh.plans.oracle import CTES
+from saltmarsh.plans.queries_curation import by_row, rounded_predictions, valid
+from saltmarsh.plans.queries_pairs import pairs
+from saltmarsh.session import durable
+
+c = F.col
+LABELS = pr.LABELS
+
+# --- predictions of a three-class model -------------------------------------------------
+
+SHARES = {
+    "forward": ("partkey % 7 + 1", "suppkey % 5 + 1", "orderkey % 3 + 1"),
+    "reverse": ("suppkey % 7 + 1", "orderkey % 5 + 1", "partkey % 3 + 1"),
+}
+
+
+def share(direction: str, i: int) -> str:
+    parts = SHARES[direction]
+    return f"CAST({parts[i]} AS DOUBLE) / CAST({' + '.join(parts)} AS DOUBLE)"
+
+
+GIVEN = [f"{share(d, i)} AS {d}_probability_{v}" for d in SHARES for i, v in enumerate(LABELS)]
+TRUE_LABEL = "CASE partkey % 3 WHEN 0 THEN 'decrease' WHEN 1 THEN 'unchanged' ELSE 'increase' END"
+CTES["qgiven"] = f"""SELECT id, doi, family_norm, method, source, value, partkey, {TRUE_LABEL} AS true_label, {', '.join(GIVEN)},
+    1.0::DOUBLE / count(*) OVER (PARTITION BY doi) AS weight FROM valid"""
+_ALIGNED = ", ".join(f"reverse_probability_{o} AS reverse_aligned_probability_{v}" for v, o in zip(LABELS, reversed(LABELS)))
+_MEAN = ", ".join(f"(forward_probability_{v} + reverse_aligned_probability_{v}) / 2.0::DOUBLE AS probability_{v}" for v in LABELS)
+CTES["qv"] = f"""SELECT *, CASE WHEN probability_decrease = best THEN 'decrease' WHEN probability_unchanged = best THEN 'unchanged' ELSE 'increase' END AS predicted_label FROM (
+    SELECT *, greatest(probability_decrease, probability_unchanged, probability_increase) AS best FROM (SELECT *, {_MEAN} FROM (SELECT *, {_ALIGNED} FROM qgiven)))"""
+
+
+def given(t):
+    """Rows with a true label, a group weight and probabilities of both directions."""
+    rows = wn.group_weight(valid(t), "doi")
+    return rows.selectExpr(
+        "id", "doi", "family_norm", "method", "source", "value", "partkey", f"{TRUE_LABEL} AS true_label", *GIVEN, "weight"
+    )
+
+
+def scored(t):
+    return durable(ml.symmetric(given(t)))
+
+
+# --- feature preparation ----------------------------------------------------------------
+
+NUMBERS = ["value", "log10_value", "temperature_c"]
+
+
+@query("m01_impute", """SELECT id, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM mp WHERE suppkey % 2 = 0)) AS value, coalesce(log10_value, (SELECT quantile_cont(log10_value, 0.5) FROM mp WHERE suppkey % 2 = 0)) AS log10_value,
+    coalesce(temperature_c::DOUBLE, 0) AS temperature_c, 0.0::DOUBLE AS absent FROM mp WHERE suppkey % 2 = 1""", "value log10_value temperature_c absent")
+def m01(t):
+    rows = durable(t.mp.select("id", "suppkey", *NUMBERS))
+    train = rows.filter("suppkey % 2 = 0")
+    columns = [*NUMBERS, "absent"]
+    medians = ml.medians(train.withColumn("absent", F.lit(None).cast("double")), columns)
+    return ml.impute(rows.filter("suppkey % 2 = 1"), columns, medians).select("id", *columns)
+
+
+CTES["lev"] = """SELECT family_norm, row_number() OVER (ORDER BY family_norm) AS code FROM (SELECT DISTINCT family_norm FROM mp WHERE suppkey % 2 = 0 AND family_norm NOT IN ('unknown', 'lgps'))
+    UNION ALL SELECT 'unknown', 0"""
+
+
+def levels(t):
+    train = t.mp.filter("suppkey % 2 = 0 AND family_norm != 'lgps'")
+    return ml.category_levels(train, "family_norm")
+
+
+@query("m02_ordinal", "SELECT id, coalesce(code, 0)::DOUBLE AS code FROM mp LEFT JOIN lev USING (family_norm)", "code")
+def m02(t):
+    return ml.ordinal(t.mp.select("id", "family_norm"), "family_norm", levels(t)).select("id", "code")
+
+
+@query("m03_category_levels", "SELECT id, CASE WHEN family_norm IN (SELECT family_norm FROM lev) THEN family_norm ELSE 'unknown' END AS level FROM mp")
+def m03(t):
+    return ml.native_category(t.mp.select("id", "family_norm"), "family_norm", levels(t)).select("id", "level")
+
+
+HOT = ["argyrodites", "halides", "oxides", "unknown"]
+
+
+@query("m04_one_hot", "SELECT id, " + ", ".join(f"CASE WHEN family_norm = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS family__{v}" for v in HOT) + " FROM mp", " ".join(f"family__{v}" for v in HOT))
+def m04(t):
+    return ml.one_hot(t.mp.select("id", "family_norm"), "family_norm", HOT, "family__").drop("family_norm")
+
+
+@query("m05_scale", """SELECT id, (log10_value - a) / s AS log10_value, (temperature_c - ta) / ts AS temperature_c FROM mp, (SELECT avg(log10_value) AS a, stddev_pop(log10_value) AS s, avg(temperature_c) AS ta, stddev_pop(temperature_c) AS ts
+    FROM mp WHERE suppkey % 2 = 0) WHERE suppkey % 2 = 1""", "log10_value temperature_c")
+def m05(t):
+    rows = durable(t.mp.select("id", "suppkey", c("log10_value"), c("temperature_c").cast("double")))
+    columns = ["log10_value", "temperature_c"]
+    return ml.scale(rows.filter("suppkey % 2 = 1"), columns, rows.filter("suppkey % 2 = 0")).select("id", *columns)
+
+
+# --- models -------------------------------------------------------------------------------
+
+MODEL_NUMBERS = ["chi_all", "r_all", "n_li", "tau_cationic", "chi_range_x_r_avg", "entropy_c_l", "atwt_geometric_mean_all", "temperature_c"]
+
+
+def regression_rows(t):
+    """Feature rows with a target, split by identifier group."""
+    table = flows.feature_table(t.m)["kept"].filter("log10_value IS NOT NULL AND doi != ''")
+    rows = durable(table.select(
+        "id", "doi", "family_norm", "log10_value", "sample_weight", *[c(n).cast("double") for n in MODEL_NUMBERS]
+    ))
+    split = durable(sp.split_group(rows, "doi", 0.2))
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
+    medians = durable(ml.medians(train, MODEL_NUMBERS))
+    return ml.impute(train, MODEL_NUMBERS, medians), ml.impute(test, MODEL_NUMBERS, medians)
+
+
+@query("m06_train_regressors")
+def m06(t):
+    train, test = regression_rows(t)
+    rows = ml.compare_regressors(train, test, MODEL_NUMBERS, "log10_value", "sample_weight", "family_norm")
+    return ev.regression_metrics(rows, ["model", "split"], "y_true", "y_pred")
+
+
+def pair_rows(t):
+    """Imputed pair features with the side of their identifier group."""
+    table = durable(pr.pair_table(pairs(t)))
+    split = durable(flows.split_pairs(table, 0.2))
+    train = split.filter("split = 'train'")
+    medians = durable(ml.medians(train, pr.MODEL_FEATURES))
+    filled = durable(ml.impute(split, pr.MODEL_FEATURES, medians))
+    return filled.filter("split = 'train'"), filled.filter("split = 'validation'")
+
+
+@query("m07_train_classifiers")
+def m07(t):
+    train, test = pair_rows(t)
+    frames = []
+    for name in ("random_forest", "logistic"):
+        report = flows.trend_report(test, flows.train_trend_model(train, name))
+        frames.append(report["metrics"].withColumn("model", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def search(t):
+    train, _ = regression_rows(t)
+    folds = sp.group_kfold(train, "doi", 3).select("doi", c("fold").cast("int").alias("fold"))
+    rows = durable(train.join(folds, "doi"))
+    tree = ml.regressors("log10_value", "sample_weight")["decision_tree"]
+    return ml.tune(rows, MODEL_NUMBERS, tree, {"maxDepth": [3, 5]}, "fold", "mae", "family_norm")
+
+
+@query("m08_tune")
+def m08(t):
+    return ml.trial_table(search(t), t.spark)
+
+
+@query("m09_importance")
+def m09(t):
+    train, _ = regression_rows(t)
+    model = ml.fit(train, MODEL_NUMBERS, ml.regressors("log10_value", "sample_weight")["random_forest"], "family_norm")
+    return ml.importance(model, MODEL_NUMBERS, t.spark)
+
+
+@query("m10_score")
+def m10(t):
+    train, test = regression_rows(t)
+    model = ml.fit(train, MODEL_NUMBERS, ml.regressors("log10_value", "sample_weight")["decision_tree"], "family_norm")
+    return ml.score(model, test, ["id", "doi"])
+
+
+PROBABILITIES = [f"{p}probability_{v}" for p in ("", "forward_", "reverse_aligned_") for v in LABELS]
+
+
+@query("m11_score_symmetric", f"SELECT id, predicted_label, {', '.join(f'probability_{v}' for v in LABELS)} FROM qv", " ".join(f"probability_{v}" for v in LABELS))
+def m11(t):
+    return ml.symmetric(given(t)).select("id", "predicted_label", *[f"probability_{v}" for v in LABELS])
+
+
+@query("m12_prediction_table", f"""SELECT id, doi, true_label, predicted_label, true_label = predicted_label AS correct, {', '.join(PROBABILITIES)}, (
+    {' + '.join(f'abs(forward_probability_{v} - reverse_aligned_probability_{v})' for v in LABELS)}) / 3.0::DOUBLE AS forward_reverse_probability_mae FROM qv""",
+    " ".join([*PROBABILITIES, "forward_reverse_probability_mae"]))
+def m12(t):
+    return ml.prediction_table(ml.symmetric(given(t)), ["id", "doi"], "true_label")
+
+
+# --- metrics ---------------------------------------------------------------------------------
+
+
+def f1(i: str, w: str) -> str:
+    v = f"'{i}'"
+    return f"""CASE WHEN sum({w}) FILTER (WHERE t = {v}) > 0 OR sum({w}) FILTER (WHERE g = {v}) > 0 THEN 2.0::DOUBLE * coalesce(sum({w}) FILTER (WHERE t = {v} AND g = {v}), 0)
+        / (coalesce(sum({w}) FILTER (WHERE t = {v}), 0) + coalesce(sum({w}) FILTER (WHERE g = {v}), 0)) ELSE 0.0::DOUBLE END"""
+
+
+def metrics_sql(keys: str, source: str) -> str:
+    """Aggregate class metrics of rows (t, g) per key."""
+    recalls = [f"count(*) FILTER (WHERE t = '{v}' AND g = '{v}') / nullif(count(*) FILTER (WHERE t = '{v}'), 0)" for v in LABELS]
+    severe = "(t = 'decrease' AND g = 'increase') OR (t = 'increase' AND g = 'decrease')"
+    prefix = f"{keys}, " if keys else ""
+    return f"""SELECT {prefix}count(*) AS pairs, count(*) FILTER (WHERE t = g) / count(*) AS accuracy, ({' + '.join(f1(v, '1') for v in LABELS)}) / 3.0::DOUBLE AS macro_f1,
+        ({' + '.join(f'coalesce({r}, 0)' for r in recalls)}) / count(DISTINCT t) AS balanced_accuracy,
+        count(*) FILTER (WHERE t <> 'unchanged' AND t = g) / nullif(count(*) FILTER (WHERE t <> 'unchanged'), 0) AS changed_pair_accuracy,
+        count(*) FILTER (WHERE {severe}) AS severe_reversal_count, count(*) FILTER (WHERE {severe}) / count(*) AS severe_reversal_rate,
+        count(*) FILTER (WHERE {severe}) / nullif(count(*) FILTER (WHERE t <> 'unchanged'), 0) AS severe_reversal_rate_among_changed FROM ({source}) {'GROUP BY ' + keys if keys else ''}"""
+
+
+METRIC_DOUBLES = "accuracy macro_f1 balanced_accuracy changed_pair_accuracy severe_reversal_rate severe_reversal_rate_among_changed"
+TG = "true_label AS t, predicted_label AS g"
+
+
+@query("v01_regression_metrics", """SELECT method, count(*) AS n, avg(abs(y_true - y_pred)) AS mae, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, 1 - avg(pow(y_true - y_pred, 2)) / var_pop(y_true) AS r2 FROM pred6 GROUP BY method""", "mae rmse r2")
+def v01(t):
+    return ev.regression_metrics(rounded_predictions(t), ["method"], "y_true", "y_pred")
+
+
+@query("v02_external_eval", """SELECT r.*, c.spearman, p.comparable AS comparable_pairs, p.inverted AS inverted_pairs, p.tied AS tied_pairs, p.inverted / nullif(p.comparable, 0) AS inversion_rate,
+    (p.comparable - 2 * p.inverted - p.tied) / nullif(sqrt(p.comparable::DOUBLE * p.comparable_pred), 0) AS kendall FROM (
+    SELECT formula_key AS series, count(*) AS rows_total, count(y_true) AS rows_evaluated, avg(abs(y_true - y_pred)) AS mae, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse,
+        CASE WHEN count(DISTINCT y_true) > 1 THEN 1 - avg(pow(y_true - y_pred, 2)) / var_pop(y_true) END AS r2, CASE WHEN count(y_true) > 0 THEN 'ok' ELSE 'not_available' END AS status FROM pred6 GROUP BY formula_key) r
+    LEFT JOIN pcorr c USING (series) LEFT JOIN ppairs p USING (series)""", "mae rmse r2 spearman inversion_rate kendall")
+def v02(t):
+    return ev.external_eval(rounded_predictions(t), ["series"], "y_true", "y_pred")
+
+
+@query("v03_inversions", """SELECT c.series, c.n, p.comparable AS comparable_pairs, p.inverted AS inverted_pairs, p.tied AS tied_pairs, p.inverted / nullif(p.comparable, 0) AS inversion_rate,
+    (p.comparable - 2 * p.inverted - p.tied) / nullif(sqrt(p.comparable::DOUBLE * p.comparable_pred), 0) AS kendall FROM pcorr c LEFT JOIN ppairs p USING (series)""", "inversion_rate kendall")
+def v03(t):
+    return ev.inversions(rounded_predictions(t), ["series"], "y_true", "y_pred")
+
+
+@query("v04_adjacent_accuracy", """SELECT sum(comparable)::BIGINT AS comparable, sum(correct)::BIGINT AS correct, (sum(comparable) - sum(correct))::BIGINT AS mismatches, sum(correct) / sum(comparable) AS accuracy, 'ok' AS status FROM padj""", "accuracy")
+def v04(t):
+    return ev.adjacent_accuracy(rounded_predictions(t), ["series"], by_row(), "y_true", "y_pred")
+
+
+def per_class(v: str) -> str:
+    tp, su, pd = (f"coalesce(sum(weight) FILTER (WHERE {w}), 0)" for w in (f"t = '{v}' AND g = '{v}'", f"t = '{v}'", f"g = '{v}'"))
+    return f"""SELECT method, '{v}' AS label, CASE WHEN {pd} > 0 THEN {tp} / {pd} ELSE 0 END::DOUBLE AS precision, CASE WHEN {su} > 0 THEN {tp} / {su} ELSE 0 END::DOUBLE AS recall,
+        CASE WHEN {su} + {pd} > 0 THEN 2 * {tp} / ({su} + {pd}) ELSE 0 END::DOUBLE AS f1, {su}::DOUBLE AS support, {pd}::DOUBLE AS predicted FROM (SELECT method, weight, {TG} FROM qv) GROUP BY method"""
+
+
+@query("v05_class_metrics", " UNION ALL ".join(per_class(v) for v in LABELS), "precision recall f1 support predicted")
+def v05(t):
+    return ev.class_metrics(scored(t), ["method"], "true_label", "predicted_label", c("weight"))
+
+
+@query("v05_aggregate_metrics", metrics_sql("method", f"SELECT method, {TG} FROM qv"), METRIC_DOUBLES)
+def v05a(t):
+    return ev.aggregate_metrics(scored(t), ["method"], "true_label", "predicted_label")
+
+
+@query("v06_group_macro_f1", f"""SELECT count(*) AS groups, avg(s) AS group_macro_f1 FROM (SELECT doi, ({' + '.join(f1(v, 'weight') for v in LABELS)}) / 3.0::DOUBLE AS s FROM (SELECT doi, weight, {TG} FROM qv) GROUP BY doi)""", "group_macro_f1")
+def v06(t):
+    return ev.group_macro_f1(scored(t), "doi", "true_label", "predicted_label", c("weight"))
+
+
+@query("v07_log_loss", """SELECT method, -sum(weight * ln(least(greatest(p, 2.220446049250313e-16::DOUBLE), 1 - 2.220446049250313e-16::DOUBLE))) / sum(weight) AS log_loss FROM (
+    SELECT *, CASE true_label WHEN 'decrease' THEN probability_decrease WHEN 'unchanged' THEN probability_unchanged ELSE probability_increase END AS p FROM qv) GROUP BY method""", "log_loss")
+def v07(t):
+    return ev.log_loss(scored(t), ["method"], "true_label", c("weight"))
+
+
+@query("v08_ordinal_metrics", """SELECT method, sum(weight * gap) / sum(weight) AS ordinal_mae, coalesce(sum(weight) FILTER (WHERE gap = 2), 0) / sum(weight) AS severe_reversal_rate, count(*) FILTER (WHERE gap = 2) AS severe_reversal_count,
+    count(*) FILTER (WHERE gap = 2) / nullif(count(*) FILTER (WHERE true_label <> 'unchanged'), 0) AS severe_share_of_changed FROM (
+    SELECT *, abs(list_position(['decrease','unchanged','increase'], true_label) - list_position(['decrease','unchanged','increase'], predicted_label)) AS gap FROM qv) GROUP BY method""", "ordinal_mae severe_reversal_rate severe_share_of_changed")
+def v08(t):
+    return ev.ordinal_metrics(scored(t), ["method"], "true_label", "predicted_label", c("weight"))
+
+
+@query("v09_confusion", """SELECT m.method, a.l AS true_label, b.l AS predicted_label, count(q.id) AS row_count, coalesce(sum(q.weight), 0.0)::DOUBLE AS weight FROM (SELECT DISTINCT method FROM qv) m
+    CROSS JOIN (VALUES ('decrease'), ('unchanged'), ('increase')) a(l) CROSS JOIN (VALUES ('decrease'), ('unchanged'), ('increase')) b(l)
+    LEFT JOIN qv q ON q.method = m.method AND q.true_label = a.l AND q.predicted_label = b.l GROUP BY m.method, a.l, b.l""", "weight")
+def v09(t):
+    return ev.confusion(scored(t), ["method"], "true_label", "predicted_label", c("weight"))
+
+
+SCOPED = " UNION ALL ".join(f"SELECT {e} AS scope, {TG} FROM qv WHERE {w}" for e, w in (
+    ("'overall'", "TRUE"), ("'high'", "value >= 1e-3::DOUBLE"), ("'dataset_v1'", "source = 'v1'"), ("'family_' || family_norm", "TRUE")))
+
+
+@query("v10_scoped_metrics", metrics_sql("scope", SCOPED), METRIC_DOUBLES)
+def v10(t):
+    scopes = {"overall": F.lit(True), "high": c("value") >= 1e-3, "dataset_v1": c("source") == "v1"}
+    return ev.scoped_metrics(scored(t), scopes, "true_label", "predicted_label", F.concat(F.lit("family_"), "family_norm"))
+
+
+@query("v11_compare_models", f"""SELECT q.*, 'primary' AS comparison_set, CASE model WHEN 'solution' THEN 0 ELSE 1 END::BIGINT AS model_order FROM ({metrics_sql('method', f'SELECT method, {TG} FROM qv').replace('SELECT method, count', 'SELECT method AS model, count', 1)}) q WHERE model IN ('solution', 'ball_milling')""", METRIC_DOUBLES)
+def v11(t):
+    metrics = ev.aggregate_metrics(scored(t), ["method"], "true_label", "predicted_label").withColumnRenamed("method", "model")
+    return ev.compare_models(metrics, ["solution", "ball_milling"], "primary")
+
+
+@query("v12_cv_summary", f"""SELECT source, avg(accuracy) AS mean_accuracy, avg(macro_f1) AS mean_macro_f1, stddev_pop(accuracy) AS std_accuracy, stddev_pop(macro_f1) AS std_macro_f1 FROM (
+    {metrics_sql('source, fold', f"SELECT source, CAST(floor({orc.hash_fraction('doi', 'fold42')} * 5) AS BIGINT) AS fold, {TG} FROM qv")}) GROUP BY source""", "mean_accuracy mean_macro_f1 std_accuracy std_macro_f1")
+def v12(t):
+    folds = ev.aggregate_metrics(sp.kfold(scored(t), "doi", 5), ["source", "fold"], "true_label", "predicted_label")
+    return ev.cv_summary(folds, ["source"], ["accuracy", "macro_f1"])
+
+
+@query("v13_combined_eval", metrics_sql("method", f"SELECT method, {TG} FROM qv WHERE source IN ('v1', 'caltech')"), METRIC_DOUBLES)
+def v13(t):
+    rows = scored(t)
+    frames = {"general": rows.filter("source = 'v1'"), "halide": rows.filter("source = 'caltech'")}
+    return ev.combined_eval(frames, ["method"], "true_label", "predicted_label")
+
+
+@query("j09_wide_predictions", "SELECT partkey, " + ", ".join(
+    f"max(predicted_label) FILTER (WHERE method = '{v}') AS {v}_predicted_label, max(n) FILTER (WHERE method = '{v}') AS {v}_n" for v in ("ball_milling", "solid_state", "solution")
+) + " FROM (SELECT partkey, method, min(predicted_label) AS predicted_label, count(*) AS n FROM qv GROUP BY partkey, method) GROUP BY partkey")
+def j09(t):
+    per_model = scored(t).groupBy("partkey", "method").agg(F.min("predicted_label").alias("predicted_label"), F.count("*").alias("n"))
+    frames = {v: per_model.filter(c("method") == v) for v in ("ball_milling", "solid_state", "solution")}
+    return ev.wide_predictions(frames, "partkey", [], ["predicted_label", "n"])
+
+
+@query("j10_overlap_audit", """WITH tr AS (SELECT * FROM pairs_sql WHERE method = 'solution'), te AS (SELECT * FROM pairs_sql WHERE method <> 'solution'),
+    fs AS (SELECT formula_a AS f FROM tr UNION SELECT formula_b FROM tr), ps AS (SELECT DISTINCT least(formula_a, formula_b) AS x, greatest(formula_a, formula_b) AS y FROM tr)
+    SELECT pair_id, formula_a IN (SELECT f FROM fs) AS a_seen, formula_b IN (SELECT f FROM fs) AS b_seen, formula_a IN (SELECT f FROM fs) OR formula_b IN (SELECT f FROM fs) AS either_seen,
+        ps.x IS NOT NULL AS pair_seen FROM te LEFT JOIN ps ON ps.x = least(formula_a, formula_b) AND ps.y = greatest(formula_a, formula_b)""")
+def j10(t):
+    rows = pairs(t)
+    out = ev.overlap_audit(rows.filter("method != 'solution'"), rows.filter("method = 'solution'"), "formula_a", "formula_b")
+    return out.select("pair_id", "a_seen", "b_seen", "either_seen", "pair_seen")
+
+
+@query("v14_trend_report")
+def v14(t):
+    train, test = pair_rows(t)
+    report = flows.trend_report(test, flows.train_trend_model(train))
+    return report["predictions"]
+
+
+@query("v15_experimental_comparison")
+def v15(t):
+    train, test = pair_rows(t)
+    models = {name: flows.train_trend_model(train, name) for name in ("random_forest", "logistic")}
+    return flows.experimental_comparison(test, train, models)["metrics"]
