@@ -88,7 +88,7 @@ def _finish(parts: Column) -> Column:
             & (F.size(stack) == 1)
             & (F.get(stack, 0) == 1.0)
             & F.forall(found, lambda x: x["amount"] > 0)
-            & F.forall(symbols, lambda s: s.isin(*ELEMENT_SYMBOLS))
+            & (F.size(F.array_except(symbols, F.split(F.lit(" ".join(ELEMENT_SYMBOLS)), " "))) == 0)
         )
         return F.when(readable, summed)
 

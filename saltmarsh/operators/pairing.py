@@ -13,6 +13,7 @@ from saltmarsh.functions import text as tx
 from saltmarsh.operators import composition as cp
 from saltmarsh.operators.ordering import row_rank
 from saltmarsh.operators.windows import group_weight, pairs_adjacent
+from saltmarsh.session import durable
 
 # Endpoint descriptors kept for both sides.
 ENDPOINTS = (
@@ -88,13 +89,18 @@ GROUP_COLUMNS = ("doi", "method", "temperature_c", "family", "kind")
 
 
 def pairing_input(df: DataFrame) -> DataFrame:
-    """Add element set, composition vector, kind and the plain number."""
-    composition = F.col("composition")
-    return df.withColumns({
-        "element_set": fm.element_set(composition),
-        "vector": fm.composition_vector(composition),
-        "kind": tx.measure_kind(F.col("note")),
-    })
+    """Add element set and composition vector per distinct formula, and the kind."""
+
+    def compute(values: DataFrame) -> DataFrame:
+        parsed = cp.compositions(values)
+        composition = F.col("composition")
+        return parsed.select(
+            "formula",
+            fm.element_set(composition).alias("element_set"),
+            fm.composition_vector(composition).alias("vector"),
+        )
+
+    return cp.per_distinct(df, "formula", compute).withColumn("kind", tx.measure_kind(F.col("note")))
 
 
 def build_pairs(df: DataFrame, group: Sequence[str] = GROUP_COLUMNS) -> DataFrame:
@@ -105,21 +111,23 @@ def build_pairs(df: DataFrame, group: Sequence[str] = GROUP_COLUMNS) -> DataFram
     columns plus ``value``.
     """
     group = list(group)
+    df = durable(df)
     groups = df.groupBy(*group).agg(
         (F.min("element_set") == F.max("element_set")).alias("_one_set")
     )
     # Groups of one row are numbered too.
     numbered = row_rank(groups, [], [F.col(c) for c in group], "group_no")
-    rows = df.join(numbered, group)
+    # The rows feed both pairings.
+    rows = durable(df.join(numbered, group))
     payload = ["id", "formula", "conductivity_text", "value", "vector"]
     single = rows.filter("_one_set").select("group_no", *payload)
     mixed = rows.filter("NOT _one_set").select("group_no", *payload)
     adjacent = pairs_adjacent(single, ["group_no"], [F.col("vector"), F.col("id")], payload)
     combined = pairs_all(mixed, ["group_no"], ["vector", "id"], payload)
-    pairs = adjacent.unionByName(combined).filter("formula_a != formula_b")
+    pairs = durable(adjacent.unionByName(combined).filter("formula_a != formula_b"))
     order = [F.col(c) for c in ("group_no", "vector_a", "id_a", "vector_b", "id_b")]
     ranked = row_rank(pairs, [], order, "pair_no")
-    facts = numbered.drop("_one_set")
+    facts = rows.select("group_no", *group).distinct()
     return ranked.join(facts, "group_no").select(
         F.format_string("trgrp_%04d", "group_no").alias("group_id"),
         F.format_string("trpair_%06d", "pair_no").alias("pair_id"),

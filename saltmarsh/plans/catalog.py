@@ -59,9 +59,9 @@ class Tables:
         return cp.descriptors(self.parsed)
 
 
-def nine_digits(column: Column) -> Column:
+def seven_digits(column: Column) -> Column:
     cut = F.round(column, 12)
-    digits = F.lit(8.0) - F.floor(F.log10(F.abs(cut))).cast("double")
+    digits = F.lit(6.0) - F.floor(F.log10(F.abs(cut))).cast("double")
     # Whole powers of ten are exact, so every engine rounds alike.
     up, down = F.pow(F.lit(10.0), digits), F.pow(F.lit(10.0), -digits)
     return (
@@ -72,12 +72,12 @@ def nine_digits(column: Column) -> Column:
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """Doubles at nine significant digits, so engines can be compared."""
+    """Doubles at seven significant digits, so engines can be compared."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     if not doubles:
         return df
     # One array keeps the generated code small for wide tables.
-    packed = df.withColumn("_doubles", F.transform(F.array(*[F.col(f"`{n}`") for n in doubles]), nine_digits))
+    packed = df.withColumn("_doubles", F.transform(F.array(*[F.col(f"`{n}`") for n in doubles]), seven_digits))
     place = {name: i for i, name in enumerate(doubles)}
     return packed.select(*[
         F.get("_doubles", place[n]).alias(n) if n in place else F.col(f"`{n}`") for n in df.columns

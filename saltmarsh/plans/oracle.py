@@ -69,9 +69,9 @@ def stable_key(x: str, salt: str) -> str:
 
 
 def norm(x: str) -> str:
-    """Nine significant digits, noise below 1e-12 cut."""
+    """Seven significant digits, noise below 1e-12 cut."""
     r = f"round({x}, 12)"
-    digits = f"(8 - floor(log10(abs({r}))))"
+    digits = f"(6 - floor(log10(abs({r}))))"
     up, down = f"pow(10.0::DOUBLE, {digits})", f"pow(10.0::DOUBLE, -{digits})"
     return f"""CASE WHEN {r} = 0 THEN 0.0::DOUBLE WHEN {digits} >= 0 THEN round({r} * {up}) / {up}
         ELSE round({r} / {down}) * {down} END"""
@@ -261,7 +261,7 @@ def oracle(body: str) -> str:
 
 
 def rounded(body: str, doubles: list[str]) -> str:
-    """Wrap a body so its double columns are compared at nine digits."""
+    """Wrap a body so its double columns are compared at seven digits."""
     sql = oracle(body)
     if not doubles:
         return sql
