@@ -9,14 +9,13 @@ as many as its elements, so no group can grow with the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import elements as el
 from saltmarsh.functions import formula as fm
 from saltmarsh.functions import physics as ph
+from saltmarsh.session import durable
 
 ROLE_LI, ROLE_PROTON, ROLE_HALIDE, ROLE_ANION, ROLE_HOST = "Li", "proton", "halide", "anion", "host_cation"
 
@@ -76,14 +75,26 @@ CHARGES_JSON = "z_by_element"
 
 
 def per_distinct(df: DataFrame, key: str, compute) -> DataFrame:
-    """Run ``compute`` on the distinct values of ``key`` and join the result back."""
+    """Run ``compute`` on the distinct values of ``key`` and join the result back.
+
+    The result is written before the join.  Without that, a filter on a computed
+    column would be pushed through the distinct and run the computation on
+    every row; and the file size tells the planner whether to broadcast.
+    """
     values = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    return df.join(compute(values), key, "left")
+    return df.join(durable(compute(values)), key, "left")
 
 
 def compositions(formulas: DataFrame, key: str = "formula") -> DataFrame:
-    """Distinct formulas with their parsed composition; unreadable ones are null."""
-    return formulas.select(key).distinct().withColumn("composition", fm.parse_formula(F.col(key)))
+    """Distinct formulas with their parsed composition; unreadable ones are null.
+
+    Written once, so later filters read the composition instead of parsing.
+    """
+    return durable(parse_column(formulas.select(key).distinct(), key))
+
+
+def parse_column(df: DataFrame, key: str = "formula") -> DataFrame:
+    return df.withColumn("composition", fm.parse_formula(F.col(key)))
 
 
 def organic_flag(composition: Column) -> Column:

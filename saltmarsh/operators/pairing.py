@@ -92,7 +92,7 @@ def pairing_input(df: DataFrame) -> DataFrame:
     """Add element set and composition vector per distinct formula, and the kind."""
 
     def compute(values: DataFrame) -> DataFrame:
-        parsed = cp.compositions(values)
+        parsed = cp.parse_column(values)
         composition = F.col("composition")
         return parsed.select(
             "formula",
@@ -176,7 +176,14 @@ def formula_descriptors(formulas: DataFrame, key: str = "formula") -> DataFrame:
     parsed = cp.compositions(formulas, key)
     table = cp.trend_descriptor(cp.descriptors(parsed, key), key)
     usable = table.filter("reject_reason = ''").drop("reject_reason")
-    return usable.join(parsed, key)
+    # One row per distinct formula, joined to both sides of every pair.
+    return durable(usable.join(parsed, key))
+
+
+def rejected_formulas(pairs: DataFrame) -> DataFrame:
+    """Formulas whose pairs cannot have features, with the reason."""
+    table = cp.trend_descriptor(cp.descriptors(cp.compositions(pair_formulas(pairs))))
+    return table.filter("reject_reason != ''").select("formula", "reject_reason")
 
 
 def pair_formulas(pairs: DataFrame) -> DataFrame:

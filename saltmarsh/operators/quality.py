@@ -36,7 +36,7 @@ def with_formula(df: DataFrame, formula: str = "formula") -> DataFrame:
     """Attach composition, key, full text and error, computed per distinct formula."""
 
     def compute(values: DataFrame) -> DataFrame:
-        parsed = cp.compositions(values, formula)
+        parsed = cp.parse_column(values, formula)
         composition = F.col("composition")
         return parsed.withColumns({
             "formula_key": fm.formula_key(composition),
@@ -79,9 +79,8 @@ def drop_charge_abnormal(
     df: DataFrame, limit: float, listed_ids: Sequence[str], id_col: str = "id"
 ) -> tuple[DataFrame, DataFrame]:
     """Remove ids whose formula does not balance or that are listed."""
-    parsed = df.select("formula", "composition").filter(F.col("composition").isNotNull()).distinct()
-    balance = cp.charge_balance(parsed).select("formula", "residual_charge")
-    rows = df.join(balance, "formula", "left")
+    balance = cp.charge_balance(cp.compositions(df)).select("formula", "residual_charge")
+    rows = df.join(durable(balance), "formula", "left")
     reasons = F.concat_ws(
         "; ",
         F.when(F.abs("residual_charge") > limit, F.lit(f"abs(residual_charge) > {limit:g}")),

@@ -132,11 +132,10 @@ def feature_table(df: DataFrame, minimum: float | None = 1e-6) -> Bundle:
 
     Rows whose formula has no descriptor are quarantined with their reason.
     """
-    rows = ql.with_formula(ql.parse_measurements(df))
+    rows = durable(ql.with_formula(ql.parse_measurements(df)))
     kept, low = ql.threshold_policy(rows, minimum)
     good, failed = cp.quarantine(kept, "id", F.col("formula_error"))
-    parsed = good.select("formula", "composition").distinct()
-    table = cp.descriptors(parsed)
+    table = durable(cp.descriptors(cp.compositions(kept)))
     featured = good.join(table, "formula")
     removed = low.select("id", ql.REASON).unionByName(failed.select("id", ql.REASON))
     return {"kept": featured, "removed": removed}
