@@ -13,7 +13,7 @@ from saltmarsh.operators import composition as cp
 from saltmarsh.operators import pairing as pr
 from saltmarsh.operators import quality as ql
 from saltmarsh.plans import oracle as orc
-from saltmarsh.session import configure
+from saltmarsh.session import configure, durable
 from saltmarsh.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,8 +37,12 @@ class Tables:
 
     @cached_property
     def mp(self) -> DataFrame:
-        """Measurements with typed columns."""
-        return ql.parse_measurements(self.m)
+        """Measurements with typed columns, written once.
+
+        Otherwise every filter on a typed column would be pushed to the scan as
+        a copy of the text patterns behind it.
+        """
+        return durable(ql.parse_measurements(self.m))
 
     @cached_property
     def mf(self) -> DataFrame:
