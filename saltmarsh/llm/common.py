@@ -54,13 +54,13 @@ def hand_back(rows: DataFrame, keys: Sequence[str], facts: Sequence[Column], spr
     the key has rows. Keys must not be null.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    used = F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("_salt"))).alias("_used")
+    used = F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_used")
     groups = salted.groupBy(*keys).agg(*facts, used)
     one_per_salt = groups.withColumn(
         "_salt",
         F.explode(F.filter(
             F.sequence(F.lit(0), F.lit(SALTS - 1)),
-            lambda s: F.shiftright(F.col("_used"), s).bitwiseAND(F.lit(1).cast("long")) == 1,
+            lambda s: F.getbit(F.col("_used"), s) == 1,
         )),
     ).drop("_used")
     return salted.join(one_per_salt, [*keys, "_salt"]).drop("_salt")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import exact, toxicity
+from saltmarsh.llm import exact, near, toxicity
 from saltmarsh.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(plain) AS text_sha
 @query("op4_exact_dedup", EXACT_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.classes(table(spark, sf_dir, "documents")).drop("repeats")
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
