@@ -42,7 +42,7 @@ def recipes(docs: DataFrame, hash_bits: int = 64, shortest: int = SHORTEST, long
         return whole if hash_bits == 64 else F.pmod(whole, F.lit(1 << hash_bits))
 
     cut = plain.select(
-        "doc_id", "n_points", F.sha2(F.encode("plain", "UTF-8"), 256).alias("text_sha256"),
+        "doc_id", "n_points", F.sha2("plain", 256).alias("text_sha256"),
         chunks(F.col("plain"), shortest, longest).alias("chunks"),
     )
     # The chunk store: the only place to which text is moved, each distinct chunk once a task.
@@ -79,7 +79,7 @@ def recipes(docs: DataFrame, hash_bits: int = 64, shortest: int = SHORTEST, long
 
 
 def classes(docs: DataFrame, hash_bits: int = 64, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
-    """``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and ``repeats`` for every row.
+    """``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``n_points`` and ``repeats`` for every row.
 
     ``repeats``: how many rows have this id and this text; one of them is kept at most.
     """
@@ -94,23 +94,24 @@ def classes(docs: DataFrame, hash_bits: int = 64, shortest: int = SHORTEST, long
     )
     stays = (F.col("best.doc_id").eqNullSafe(F.col("doc_id"))) & (-F.col("best.col1") == F.col("n_points"))
     return grouped.select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", stays.alias("stays"), "text_sha256", "repeats",
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", stays.alias("stays"), "text_sha256", "n_points", "repeats",
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))).alias("turn"),
     ).select(
-        "doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("turn") == 1)).alias("kept"), "text_sha256", "repeats"
+        "doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("turn") == 1)).alias("kept"), "text_sha256", "n_points", "repeats"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one for each distinct text."""
     kept = classes(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), (F.col("repeats") > 1).alias("_repeated")
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_length"),
+        (F.col("repeats") > 1).alias("_repeated"),
     )
-    sha = F.sha2(F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", ""), "UTF-8"), 256)
-    length = F.length(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_sha_of_text", sha).withColumn("_length", length)
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_sha_of_text"] == kept["_sha"]))
-    rows = rows.select(*[rows[c] for c in docs.columns], "_sha", "_length", "_repeated")
-    once = rows.where("NOT _repeated").select(*docs.columns)
-    again = rows.where("_repeated").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", "")
+    found = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.sha2(plain, 256).alias("sha"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("length"),
+    ).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")) & (F.col("length") == F.col("_length")))
+    once = found.where("NOT _repeated").select("row.*")
+    again = found.where("_repeated").groupBy("doc_id", "sha").agg(F.first("row").alias("row")).select("row.*")
     return once.unionByName(again)

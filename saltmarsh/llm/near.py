@@ -334,10 +334,9 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     keepers = keepers.join(repeated, keepers["_id"].eqNullSafe(repeated["_id"]) & (keepers["_node"] == repeated["_node"]), "left").select(
         keepers["_node"], keepers["_id"], F.coalesce("_again", F.lit(False)).alias("_again")
     )
-    node = digest(F.coalesce(docs["text"], F.lit("")))
-    found = docs.join(keepers, (node == F.col("_node")) & docs["doc_id"].eqNullSafe(F.col("_id"))).select(
-        *[docs[c] for c in docs.columns], "_node", "_again"
-    )
-    once = found.where("NOT _again").select(*docs.columns)
-    again = found.where("_again").dropDuplicates(["doc_id", "_node"]).select(*docs.columns)
+    found = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), digest(F.coalesce("text", F.lit(""))).alias("node")
+    ).join(keepers, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = found.where("NOT _again").select("row.*")
+    again = found.where("_again").groupBy("doc_id", "node").agg(F.first("row").alias("row")).select("row.*")
     return once.unionByName(again)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import exact, near, packing, toxicity
+from saltmarsh.llm import exact, mixing, near, packing, toxicity
 from saltmarsh.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(plain) AS text_sha
 
 @query("op4_exact_dedup", EXACT_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.classes(table(spark, sf_dir, "documents")).drop("repeats")
+    return exact.classes(table(spark, sf_dir, "documents")).drop("n_points", "repeats")
 
 
 @query("op5_near_dedup")
@@ -60,3 +60,50 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+MIXING_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM documents
+), named AS (
+  SELECT *, source_size * 3.0::DOUBLE AS cap, ((place - 1) % 3 + 1)::DOUBLE AS weight FROM (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS place
+    FROM rows GROUP BY source)
+), levels AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS turn,
+    (sum(cap) OVER () / 3 - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM named
+  WINDOW before AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), aims AS (
+  SELECT source, source_size, coalesce(least(cap, weight * (
+    SELECT arg_min(level, turn) FROM levels WHERE level <= cap / weight)), cap) AS target
+  FROM levels
+), shares AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(least(3.0::DOUBLE, target / source_size)) ELSE 0 END::BIGINT AS whole FROM aims
+), ordered AS (
+  SELECT r.*, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size AS need,
+    coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY u / (1 - u), doc_id NULLS FIRST, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM rows r JOIN shares s ON r.source IS NOT DISTINCT FROM s.source
+), chosen AS (
+  SELECT *, before + size <= need AS chosen FROM ordered
+), gaps AS (
+  SELECT source, any_value(need) - sum(CASE WHEN chosen THEN size ELSE 0 END) AS gap FROM chosen GROUP BY source
+), last AS (
+  SELECT c.source, arg_min(c.before, (abs(size - gap), c.before)) AS last
+  FROM chosen c JOIN gaps g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE size > 0 AND NOT chosen AND abs(size - gap) < gap GROUP BY c.source
+), counted AS (
+  SELECT c.*, CASE WHEN size = 0 THEN 0 ELSE whole + (chosen OR coalesce(before = last, false))::INT END::BIGINT AS copies
+  FROM chosen c LEFT JOIN last l ON c.source IS NOT DISTINCT FROM l.source
+)
+SELECT doc_id, source, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM counted
+"""
+
+
+@query("op7_mixing", MIXING_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
