@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import exact, mixing, near, packing, toxicity
+from saltmarsh.llm import exact, mixing, near, packing, pii, secrets, toxicity
 from saltmarsh.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,13 @@ SELECT doc_id, source, size, source_size, target, copies, (copies * size)::BIGIN
 @query("op7_mixing", MIXING_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
