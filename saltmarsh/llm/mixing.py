@@ -37,7 +37,7 @@ class Settings:
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     most: int = 3
     seed: str = "mix"
-    slice_rows: int = 20_000
+    slice_rows: int = 1_000
 
 
 def uniform(id_col: Column, seed: str) -> Column:

@@ -38,7 +38,7 @@ class Settings:
     fine: int = 256
     step: int = 8
     rounds: int = 1500
-    slice_rows: int = 20_000
+    slice_rows: int = 1_000
 
 
 def bins(settings: Settings) -> np.ndarray:
