@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from saltmarsh.llm import exact, mixing, near, packing, pii, secrets, toxicity
+from saltmarsh.llm import exact, mixing, near, neighbours, packing, pii, secrets, toxicity
 from saltmarsh.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secrets")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
+
+
+@query("op3_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
