@@ -22,6 +22,9 @@ _OF_PLACE = _RANDOM.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 _OF_WORD = _RANDOM.integers(1, 1 << 63, SIZE, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_KIND = np.where(_SPACE, 0, 1).astype(np.uint8)
+#: Letters, digits and all non-ASCII are words, other signs are words of their own.
+SIGNS = np.array([0 if _SPACE[b] else 1 if b >= 128 or chr(b).isalnum() or b == 0x5F else 2 for b in range(256)], dtype=np.uint8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,12 +57,13 @@ def pieces(data: bytes) -> Iterator[bytes]:
         begin = end
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word."""
+def word_hashes(data: bytes, kinds: np.ndarray = _KIND) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word: a run of bytes of one kind other than 0."""
     codes = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[codes]
+    kind = kinds[codes]
+    space = kind == 0
     first = ~space
-    first[1:] &= space[:-1]
+    first[1:] &= kind[1:] != kind[:-1]
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.empty(0, np.uint64), starts
