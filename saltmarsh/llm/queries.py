@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import exact, mixing, near, neighbours, packing, pii, quality, secrets, toxicity
+from saltmarsh.llm import exact, mixing, near, neighbours, packing, pii, quality, repeats, secrets, toxicity
 from saltmarsh.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_repeats")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents")).drop("removed")
