@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its lower-case character n-grams (3 to 5), hashed into a table of
+A text is the set of its lower-case character n-grams (4 to 6), hashed into a table of
 fixed size. From labelled texts come counts per n-gram and class; the logarithm of the
 ratio of the two smoothed class shares scales each n-gram, and a logistic regression
 (``pyspark.ml``) is fitted on the scaled features. The score is its probability.
@@ -33,13 +33,13 @@ from saltmarsh.session import durable
 class Settings:
     """``train_rows`` bounds the labelled rows that are fitted; nothing else is sampled."""
 
-    sizes: tuple[int, ...] = (3, 4, 5)
-    bits: int = 18
+    sizes: tuple[int, ...] = (4, 5, 6)
+    bits: int = 20
     train_rows: int = 20_000
     smoothing: float = 1.0
     min_documents: int = 3
-    min_z: float = 2.0
-    penalty: float = 1e-4
+    min_z: float = 3.0
+    penalty: float = 3e-4
     iterations: int = 60
     cut: float = 0.7
 
@@ -103,7 +103,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     sizes, bits = settings.sizes, settings.bits
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(1 << bits, dtype=np.int64)
+        seen = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             yield pd.DataFrame({
                 "toxic": batch["toxic"].astype("int32"),
@@ -131,25 +131,29 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         yield pd.DataFrame({"gram": at, "clean": totals[0, at], "toxic": totals[1, at]})
 
     # At most one row for each hash value.
-    counts = (
+    counts = durable(
         rows.mapInPandas(count, "gram long, clean long, toxic long")
-        .groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+        .groupBy("gram").agg((F.sum("clean") + settings.smoothing).alias("q"), (F.sum("toxic") + settings.smoothing).alias("p"))
+        .where(F.col("p") + F.col("q") >= settings.min_documents + 2 * settings.smoothing)
     )
     classes = {r["y"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_all = classes.get(True, 0), sum(classes.values())
     weights = np.zeros(width)
     prior = float(np.log((n_toxic + 1) / (n_all - n_toxic + 1)))
-    counts = counts[counts["clean"] + counts["toxic"] >= settings.min_documents].sort_values("gram")
-    if not 0 < n_toxic < n_all or counts.empty:
+    if not 0 < n_toxic < n_all:
         return Model(weights, prior, settings.sizes, settings.bits)
-    p = counts["toxic"].to_numpy(dtype=float) + settings.smoothing
-    q = counts["clean"].to_numpy(dtype=float) + settings.smoothing
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    # Ratios that chance explains carry no signal.
-    strong = np.abs(ratio) >= settings.min_z * np.sqrt(1 / p + 1 / q)
-    if not strong.any():
+    total = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    if not total["p"]:
         return Model(weights, prior, settings.sizes, settings.bits)
-    grams, ratio = counts["gram"].to_numpy()[strong], ratio[strong]
+    ratio = F.log(F.col("p") / total["p"]) - F.log(F.col("q") / total["q"])
+    # Ratios that chance explains carry no signal; the others are few.
+    strong = (
+        counts.withColumn("ratio", ratio).where(F.abs("ratio") >= settings.min_z * F.sqrt(1 / F.col("p") + 1 / F.col("q")))
+        .select("gram", "ratio").toPandas().sort_values("gram")
+    )
+    if strong.empty:
+        return Model(weights, prior, settings.sizes, settings.bits)
+    grams, ratio = strong["gram"].to_numpy(), strong["ratio"].to_numpy()
     present = CountVectorizerModel.from_vocabulary(
         [str(g) for g in grams], inputCol="words", outputCol="present"
     ).setBinary(True)
@@ -171,7 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        seen = np.zeros(1 << m.bits, dtype=np.int64)
+        seen = np.zeros(1 << m.bits, dtype=np.int32)
         for batch in batches:
             margin = np.array([
                 m.intercept + m.weights[distinct_grams(t, m.sizes, m.bits, seen)].sum() for t in batch["text"]
@@ -199,7 +203,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
     @F.pandas_udf("double")
     def margin(texts: pd.Series) -> pd.Series:
         m = shared.value
-        seen = np.zeros(1 << m.bits, dtype=np.int64)
+        seen = np.zeros(1 << m.bits, dtype=np.int32)
         return pd.Series([
             m.intercept + m.weights[distinct_grams(t, m.sizes, m.bits, seen)].sum() for t in texts
         ], dtype="float64")
