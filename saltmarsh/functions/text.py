@@ -112,10 +112,14 @@ def has_additive(text: Column) -> Column:
     return text != host_formula(text)
 
 
+# Fixed value: a spelling of bulk with two zero-width spaces.
+SPACED_BULK = "sb\u200b\u200bulk"
+
+
 def measure_kind(note: Column) -> Column:
     """Bulk or total measurement; neither or both is unknown."""
     text = F.lower(F.coalesce(note, F.lit("")))
-    bulk = text.contains("bulk")
+    bulk = text.contains("bulk") | text.contains(SPACED_BULK)
     total = text.contains("σtot") | text.contains("total")
     return F.when(bulk & ~total, "bulk").when(total & ~bulk, "tot").otherwise(UNKNOWN)
 

@@ -185,11 +185,24 @@ def validate_candidates(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]
 # --- joins ---------------------------------------------------------------------
 
 
-def lookup(df: DataFrame, dim: DataFrame, id_col: str, position: str, value: str) -> DataFrame:
-    """Value by id when the id is known, else by position, else ``unknown``."""
-    by_id = dim.select(F.col(id_col), F.col(value).alias("_by_id"))
-    by_position = dim.select(F.col(position), F.col(value).alias("_by_position"))
+def lookup(
+    df: DataFrame, dim: DataFrame, id_col: str, position: str, value: str, order: str | None = None, same: str | None = None
+) -> DataFrame:
+    """Value by id when the id is known, else by position, else ``unknown``.
+
+    A key that stands in ``dim`` several times has one value, that of the last entry:
+    by ``order`` if a column is named, else the largest value. With ``same``, a column of
+    both tables, a known id whose two contents differ fails the job.
+    """
+    last = F.max_by(value, order) if order else F.max(value)
+    facts = [last.alias("_by_id")] + ([(F.max_by(same, order) if order else F.max(same)).alias("_same")] if same else [])
+    by_id = dim.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(*facts)
+    by_position = dim.filter(F.col(position).isNotNull()).groupBy(position).agg(last.alias("_by_position"))
     joined = df.join(by_id, id_col, "left").join(by_position, position, "left")
+    if same:
+        message = F.concat(F.lit("contents differ for "), F.col(id_col).cast("string"))
+        known = F.col("_same").isNull() | F.col(same).eqNullSafe(F.col("_same"))
+        joined = joined.filter(known | F.raise_error(message).cast("boolean")).drop("_same")
     return joined.withColumn(
         value, F.coalesce("_by_id", "_by_position", F.lit(tx.UNKNOWN))
     ).drop("_by_id", "_by_position")

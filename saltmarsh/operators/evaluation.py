@@ -27,11 +27,12 @@ def regression_metrics(df: DataFrame, part: Sequence[str], truth: str, guess: st
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(error * error).alias("_mse"),
         F.var_pop(truth).alias("_var"),
+        F.avg(F.col(truth) * F.col(truth)).alias("_size"),
     )
-    # A deviation within rounding noise of the mean counts as flat.
+    # A deviation within rounding noise of the values' size counts as flat.
     return out.withColumn(
-        "r2", F.when((F.col("n") > 1) & (F.col("_var") > 1e-18), 1.0 - F.col("_mse") / F.col("_var"))
-    ).drop("_mse", "_var")
+        "r2", F.when((F.col("n") > 1) & (F.col("_var") > 1e-24 * F.col("_size")), 1.0 - F.col("_mse") / F.col("_var"))
+    ).drop("_mse", "_var", "_size")
 
 
 # --- ranking ----------------------------------------------------------------------------
@@ -64,12 +65,13 @@ def average_ranks(
 
 
 def weighted_corr(x: Column, y: Column, w: Column) -> Column:
-    """Pearson correlation of weighted points."""
+    """Pearson correlation of weighted points; null if one side is flat but for rounding noise."""
     n = F.sum(w)
     mx, my = F.sum(w * x) / n, F.sum(w * y) / n
     cov = F.sum(w * x * y) / n - mx * my
-    vx, vy = F.sum(w * x * x) / n - mx * mx, F.sum(w * y * y) / n - my * my
-    return F.when((vx > 1e-15) & (vy > 1e-15), cov / F.sqrt(vx * vy))
+    sx, sy = F.sum(w * x * x) / n, F.sum(w * y * y) / n
+    vx, vy = sx - mx * mx, sy - my * my
+    return F.when((vx > 1e-14 * sx) & (vy > 1e-14 * sy), cov / F.sqrt(vx) / F.sqrt(vy))
 
 
 def spearman(pts: DataFrame, part: Sequence[str]) -> DataFrame:

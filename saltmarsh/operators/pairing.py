@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,13 @@ LABELS = ("decrease", "unchanged", "increase")
 LABEL_CLASS = {"decrease": -1, "unchanged": 0, "increase": 1}
 THRESHOLD = 1e-4
 
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on group keys, in which null equals null; the keys come from ``left``."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]
+    return left.join(named, reduce(lambda a, b: a & b, same)).drop(*[f"_r_{c}" for c in keys])
+
 ROWS_PER_BLOCK = 1000
 
 
@@ -64,7 +72,7 @@ def pairs_all(
     instead of one.  The pairs are the result; nothing beyond them is produced.
     """
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(rows_per_block)).alias("_blocks"))
-    rows = df.join(sizes, list(keys)).withColumn(
+    rows = join_groups(df, sizes, keys).withColumn(
         "_block", F.pmod(F.xxhash64(*order), F.col("_blocks"))
     ).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
     rows = rows.withColumns({"_lo": F.least("_block", "_other"), "_hi": F.greatest("_block", "_other")})
@@ -79,7 +87,7 @@ def pairs_all(
         )
 
     same = F.col("_lo") == F.col("_hi")
-    joined = side("a").join(side("b"), join_keys).filter(
+    joined = join_groups(side("a"), side("b"), join_keys).filter(
         (F.col("_order_a") < F.col("_order_b")) & (same | (F.col("_block_a") != F.col("_block_b")))
     )
     return joined.select(*keys, *[f"{c}_{s}" for c in cols for s in ("a", "b")])
@@ -118,7 +126,7 @@ def build_pairs(df: DataFrame, group: Sequence[str] = GROUP_COLUMNS) -> DataFram
     # Groups of one row are numbered too.
     numbered = row_rank(groups, [], [F.col(c) for c in group], "group_no")
     # The rows feed both pairings.
-    rows = durable(df.join(numbered, group))
+    rows = durable(join_groups(df, numbered, group))
     payload = ["id", "formula", "conductivity_text", "value", "vector"]
     single = rows.filter("_one_set").select("group_no", *payload)
     mixed = rows.filter("NOT _one_set").select("group_no", *payload)

@@ -60,9 +60,9 @@ def occurrence(df: DataFrame, part: Sequence[str], label: str, order: Sequence[C
 
 
 def group_weight(df: DataFrame, group: str, name: str = "weight") -> DataFrame:
-    """1 / rows of the group on every row: combine, then join back."""
-    counts = df.groupBy(group).agg((F.lit(1.0) / F.count("*")).alias(name))
-    return df.join(counts, group)
+    """1 / rows of the group on every row: combine, then join back. Null is a group."""
+    counts = df.groupBy(F.col(group).alias("_group")).agg((F.lit(1.0) / F.count("*")).alias(name))
+    return df.join(counts, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def running_best(df: DataFrame, part: Sequence[str], order: Sequence[Column], value: str, best: str) -> DataFrame:

@@ -52,7 +52,8 @@ def parse_scientific(x: str) -> str:
 
 
 def measure_kind(x: str) -> str:
-    bulk, total = f"contains(lower({x}), 'bulk')", f"(contains(lower({x}), 'σtot') OR contains(lower({x}), 'total'))"
+    spaced = "'sb' || chr(8203) || chr(8203) || 'ulk'"
+    bulk, total = f"(contains(lower({x}), 'bulk') OR contains(lower({x}), {spaced}))", f"(contains(lower({x}), 'σtot') OR contains(lower({x}), 'total'))"
     return f"CASE WHEN {bulk} AND NOT {total} THEN 'bulk' WHEN {total} AND NOT {bulk} THEN 'tot' ELSE 'unknown' END"
 
 

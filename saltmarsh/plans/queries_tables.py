@@ -136,8 +136,10 @@ def s08(t):
     return sk.run_manifest(bundle, {"positive": "family_norm", "other": "qualifier"}, {"minimum": 1e-6, "version": "v2"})
 
 
-@query("s09_fingerprint", """SELECT source, count(*) AS row_count,
-    sum(CAST('0x' || substr(h, 1, 8) AS UBIGINT))::BIGINT AS word_sum_0, sum(CAST('0x' || substr(h, 9, 8) AS UBIGINT))::BIGINT AS word_sum_1
+WORD_SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS UBIGINT))::BIGINT AS word_sum_{i}" for i in range(8))
+
+
+@query("s09_fingerprint", f"""SELECT source, count(*) AS row_count, {WORD_SUMS}
     FROM (SELECT source, sha256(id || chr(31) || formula || chr(31) || conductivity_text || chr(31) || doi_text) AS h FROM m) GROUP BY source""")
 def s09(t):
     return rd.fingerprint(t.m, ["source"], ["id", "formula", "conductivity_text", "doi_text"])

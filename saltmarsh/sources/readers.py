@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +49,15 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 def read_raw(spark: SparkSession, path: str, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
     """All columns as text; an empty cell stays an empty string."""
+    return raw_scan(spark, path, sep, columns).fillna("")
+
+
+def raw_scan(spark: SparkSession, path: str, sep: str, columns: Sequence[str] | None) -> DataFrame:
     names = list(columns) if columns else _header(spark, path, sep)
-    df = spark.read.csv(
+    return spark.read.csv(
         path, header=True, sep=sep, schema=string_schema(names), enforceSchema=False,
         escape='"', multiLine=False, nullValue="\u0000", emptyValue="",
     )
-    return df.fillna("")
 
 
 def contract_rules(
@@ -93,9 +97,18 @@ def read_titled_tsv(spark: SparkSession, path: str, must_have: str, sep: str = "
     if titled and (len(headers) < 2 or must_have not in headers[1]):
         raise ValueError(f"{path} has no column {must_have}")
     names = [name or f"Unnamed: {i}" for i, name in enumerate(headers[1 if titled else 0])]
-    # Title and header lines may repeat in every part file of a folder.
-    skip = [line for line in head[: 2 if titled else 1]]
-    lines = spark.read.text(path).filter(~F.col("value").isin(*skip))
+    # Every part file of a folder may begin with the title and header lines; the same
+    # text further down is data.
+    skip = head[: 2 if titled else 1]
+    placed = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    begins = placed.filter("_block = 0").groupBy(F.col("_file").alias("_own")).agg(F.min("_at").alias("_first"))
+    at_top = [
+        (F.col("_block") == 0) & (F.col("_at") == F.col("_first") + i) & (F.col("value") == line) for i, line in enumerate(skip)
+    ]
+    lines = placed.join(begins, F.col("_file") == F.col("_own")).filter(~reduce(lambda a, b: a | b, at_top))
     cells = F.split("value", sep, -1)
     wide = lines.select(*[F.coalesce(F.get(cells, i), F.lit("")).alias(n) for i, n in enumerate(names)])
     return wide.select(*[F.col(f"`{n}`") for n in names if not n.startswith("Unnamed")])
@@ -118,9 +131,17 @@ def resolve_column(columns: Sequence[str], aliases: Sequence[str]) -> str | None
     return next((by_name[a.lower()] for a in aliases if a.lower() in by_name), None)
 
 
+def with_place(scan: DataFrame) -> DataFrame:
+    """Rows of a file scan with ``_place``, which orders them by file name, then offset."""
+    return scan.select("*", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    ).alias("_place"))
+
+
 def with_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
-    """Number rows by their place in the files: file name, then offset order."""
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    """Number rows by their ``_place``; without one, in the order they are read."""
+    placed = df if "_place" in df.columns else df.withColumn("_place", F.monotonically_increasing_id())
     return row_rank(placed, [], [F.col("_place")], name).drop("_place")
 
 
@@ -129,14 +150,14 @@ def read_flexible(spark: SparkSession, path: str, roles: Mapping[str, str] = {})
     first = first_lines(spark, path, 1)[0]
     sep, header = sniff(first)
     if sep is None:
-        lines = spark.read.text(path).select(tx.strip(F.regexp_replace("value", "\ufeff", "")).alias("formula"))
+        lines = with_place(spark.read.text(path)).select(tx.strip(F.regexp_replace("value", "\ufeff", "")).alias("formula"), "_place")
         frame = lines.filter("formula != ''")
     elif header:
-        frame = read_raw(spark, path, sep, header)
+        frame = with_place(raw_scan(spark, path, sep, header)).fillna("")
     else:
         width = len(first.split(sep))
         names = ["True Composition", "reference_value", *[f"extra_{i}" for i in range(3, width + 1)]][:width]
-        frame = spark.read.csv(path, sep=sep, schema=string_schema(names), comment="#")
+        frame = with_place(spark.read.csv(path, sep=sep, schema=string_schema(names), comment="#"))
     return flexible_columns(frame, roles)
 
 
@@ -146,7 +167,7 @@ def flexible_columns(frame: DataFrame, roles: Mapping[str, str] = {}) -> DataFra
         role: roles.get(role) or resolve_column(frame.columns, aliases) for role, aliases in ROLE_ALIASES.items()
     }
     if found["formula"] is None:
-        if len(frame.columns) != 1:
+        if len([c for c in frame.columns if c != "_place"]) != 1:
             raise ValueError("could not determine formula column")
         found["formula"] = frame.columns[0]
     if found["id"] is None:
@@ -191,16 +212,16 @@ def load_dims(spark: SparkSession, path: str, map_field: str, list_field: str, o
 def fingerprint(df: DataFrame, part: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Order-free content fingerprint of a table or of each of its parts.
 
-    Every row is hashed with SHA-256; the count and the sums of the leading
-    32-bit words identify the content without sorting or collecting rows.
+    Every row is hashed with SHA-256; the count and the sums of its eight 32-bit
+    words identify the content without sorting or collecting rows.
     """
     text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
     digest = F.sha2(text, 256)
     rows = df.select(*part, *[
-        F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"w{i}") for i in range(2)
+        F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"w{i}") for i in range(8)
     ])
     return rows.groupBy(*part).agg(
-        F.count("*").alias("row_count"), *[F.sum(f"w{i}").alias(f"word_sum_{i}") for i in range(2)]
+        F.count("*").alias("row_count"), *[F.sum(f"w{i}").alias(f"word_sum_{i}") for i in range(8)]
     )
 
 
