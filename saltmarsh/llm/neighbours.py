@@ -213,16 +213,34 @@ def window(nodes: DataFrame, placed: DataFrame, settings: Settings) -> int:
 
 
 def search(placed: DataFrame, reach: int, n_queries: int, settings: Settings) -> DataFrame:
-    """``query`` and ``node`` with ``score``: the best of each block that a query visits."""
+    """``query`` and ``node`` with ``score``: the best that a query finds.
+
+    Its own block of every curve is searched first; the other blocks then give only what
+    is not below the worst that it already has, so most of them give nothing.
+    """
     most = settings.neighbours + 1
+    near = durable(visit(placed, placed.where("asks = 1").withColumn("bar", F.lit(None).cast("double")), n_queries, settings))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    bars = (
+        near.groupBy("query", "node").agg(F.max("score").alias("score")).withColumn("at", F.row_number().over(order))
+        .where(F.col("at") == most).select("query", F.col("score").alias("bar"))
+    )
     limits = placed.groupBy("curve").agg(F.max("ordinal").alias("last"))
-    portions = 1 + n_queries // 2000
+    around = F.sequence(F.greatest(F.lit(1), F.col("ordinal") - reach), F.least("last", F.col("ordinal") + reach))
     visits = (
         placed.where("asks = 1").join(F.broadcast(limits), "curve")  # a row for each curve
-        .withColumn("ordinal", F.explode(F.sequence(F.greatest(F.lit(1), F.col("ordinal") - reach), F.least("last", F.col("ordinal") + reach))))
-        .drop("last").withColumn("portion", F.pmod(F.xxhash64("node"), F.lit(portions)).cast("int"))
+        .join(bars, F.col("node") == F.col("query"), "left").drop("query")
+        .withColumn("ordinal", F.explode(F.filter(around, lambda o: o != F.col("ordinal")))).drop("last")
     )
-    rows = placed.where("asks = 0").withColumn("portion", F.lit(-1)).unionByName(visits)
+    return near.unionByName(visit(placed, visits, n_queries, settings))
+
+
+def visit(placed: DataFrame, visits: DataFrame, n_queries: int, settings: Settings) -> DataFrame:
+    """The best of each visited block, not below the query's ``bar``."""
+    most = settings.neighbours + 1
+    portions = 1 + n_queries // 2000
+    visits = visits.withColumn("portion", F.pmod(F.xxhash64("node"), F.lit(portions)).cast("int"))
+    rows = placed.where("asks = 0").withColumns({"portion": F.lit(-1), "bar": F.lit(None).cast("double")}).unionByName(visits)
     id_kind = placed.schema["first_id"].dataType.simpleString()
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,12 +258,16 @@ def search(placed: DataFrame, reach: int, n_queries: int, settings: Settings) ->
             keep = min(most, len(node))
             least = np.partition(got, -keep, axis=1)[:, -keep]
             found = []
+            least = np.fmax(least, part["bar"].to_numpy(dtype=float))
             for i, query in enumerate(part["node"]):
                 near = np.flatnonzero(got[i] >= least[i] - 1e-9 * max(1.0, abs(least[i])))
+                if not len(near):
+                    continue
                 score = (have[near] * ask[i]).sum(axis=1)
                 best = np.lexsort([first[near], -score])[:keep]
                 found.append(pd.DataFrame({"query": query, "node": node[near[best]], "first_id": first[near[best]], "score": score[best]}))
-            yield pd.concat(found, ignore_index=True)
+            if found:
+                yield pd.concat(found, ignore_index=True)
 
     order = ["curve", "ordinal", "asks", "portion"]
     return rows.repartition("curve", "ordinal").sortWithinPartitions(*order).mapInPandas(
