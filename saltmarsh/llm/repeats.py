@@ -233,8 +233,8 @@ def settled_runs(texts: DataFrame, keys: DataFrame, heavy: np.ndarray, bits: int
                     else:
                         small, large = (have, row) if have[2] <= row[2] else (row, have)
                         best[at] = small
-                        # A holder of the same id, or one that the combined one beats: settled when met.
-                        found.append((large[0], -1, large[2], large[3], large[4], large[5]) if small[2] < large[2] else heavy_row(large))
+                        # One that the combined one beats is settled, and dealt by its id; of the same id both are met.
+                        found.append((large[2], -1, large[2], large[3], large[4], large[5]) if small[2] < large[2] else heavy_row(large))
             if len(best) > 100_000:
                 found += map(heavy_row, best.values())
                 best.clear()
