@@ -65,12 +65,12 @@ class Tables:
 
 def seven_digits(column: Column) -> Column:
     # The factor just above 1 moves exact halves off the rounding edge.
-    cut = F.round(column, 12) * F.lit(1.0000000001)
+    cut = column * F.lit(1.0000000001)
     digits = F.lit(6.0) - F.floor(F.log10(F.abs(cut))).cast("double")
     # Whole powers of ten are exact, so every engine rounds alike.
     up, down = F.pow(F.lit(10.0), digits), F.pow(F.lit(10.0), -digits)
     return (
-        F.when(cut == 0, 0.0)
+        F.when(column == 0, 0.0)
         .when(digits >= 0, F.round(cut * up) / up)
         .otherwise(F.round(cut / down) * down)
     )

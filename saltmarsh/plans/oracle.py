@@ -70,14 +70,14 @@ def stable_key(x: str, salt: str) -> str:
 
 
 def norm(x: str) -> str:
-    """Seven significant digits, noise below 1e-12 cut.
+    """Seven significant digits.
 
     The factor just above 1 moves exact halves off the rounding edge.
     """
-    r = f"(round({x}, 12) * 1.0000000001::DOUBLE)"
+    r = f"({x} * 1.0000000001::DOUBLE)"
     digits = f"(6 - floor(log10(abs({r}))))"
     up, down = f"pow(10.0::DOUBLE, {digits})", f"pow(10.0::DOUBLE, -{digits})"
-    return f"""CASE WHEN {r} = 0 THEN 0.0::DOUBLE WHEN {digits} >= 0 THEN round({r} * {up}) / {up}
+    return f"""CASE WHEN {x} = 0 THEN 0.0::DOUBLE WHEN {digits} >= 0 THEN round({r} * {up}) / {up}
         ELSE round({r} / {down}) * {down} END"""
 
 
