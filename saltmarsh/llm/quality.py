@@ -33,8 +33,12 @@ HELD_OUT = "coalesce(crc32(encode(CAST(doc_id AS string), 'UTF-8')) % 3 = 1, fal
 
 @dataclass(frozen=True)
 class Settings:
-    """``share``: of all rows that are drawn; by default the share of good ones among the labels used."""
+    """``train_rows`` bounds the labelled good texts of the target model; the raw model counts all texts.
 
+    ``share``: of all rows that are drawn; by default the share of good ones among the labels used.
+    """
+
+    train_rows: int = 20_000
     bits: int = 16
     smoothing: float = 1.0
     reference: int = 256
@@ -84,7 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     )
     rated = known.agg(F.count("*").alias("n"), F.count(F.when(F.col("good"), 1)).alias("good")).first()
     texts = id_and_text(docs)
-    good = texts.join(known.where("good"), F.col("doc_id") == F.col("_id"))
+    part = min(1.0, settings.train_rows / max(1, rated["good"]))
+    chosen = known.where("good").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= int(part * (1 << 30))).select("_id")
+    # Bounded by train_rows: one number a row.
+    good = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     target, raw = counts(good, settings.bits), counts(texts, settings.bits)
     if not target.any():
         return np.zeros(1 << settings.bits), 1.0
