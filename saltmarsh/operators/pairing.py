@@ -34,6 +34,8 @@ MEANS = (
 )
 MAGNITUDES = ("entropy_c_l", "log10_rho_plus_incl_li", "log10_phi_plus_incl_li", "field_x_r_diff")
 DISTANCE = "composition_L1_distance"
+# Why a pair has no features; empty when it has.
+REJECT = "reject_reason"
 
 SIGNED_FEATURES = tuple(f"delta_{n}" for n in CHANGES)
 MODEL_FEATURES = (
@@ -153,16 +155,38 @@ def segment_pairs(df: DataFrame, part: Sequence[str], order: Sequence[Column], c
 
 
 def enrich_pairs(pairs: DataFrame, table: DataFrame, key: str = "formula") -> DataFrame:
-    """Descriptors of both endpoints as structs ``da`` and ``db``."""
-    columns = [c for c in table.columns if c != key]
-    packed = table.select(key, F.struct(*columns).alias("_d"))
-    a = packed.select(F.col(key).alias(f"{key}_a"), F.col("_d").alias("da"))
-    b = packed.select(F.col(key).alias(f"{key}_b"), F.col("_d").alias("db"))
-    return pairs.join(a, f"{key}_a").join(b, f"{key}_b")
+    """Descriptors of both endpoints as structs ``da`` and ``db``, and why a pair lacks one.
+
+    Every pair stays.  A side without usable descriptors is null, and
+    ``reject_reason`` names its formula; it is empty for the other pairs.
+    """
+    columns = [c for c in table.columns if c not in (key, REJECT)]
+    reason = F.col(REJECT) if REJECT in table.columns else F.lit("")
+    packed = table.select(key, F.when(reason == "", F.struct(*columns)).alias("_d"), reason.alias("_why"))
+    out = pairs
+    for s in ("a", "b"):
+        side = packed.select(F.col(key).alias(f"{key}_{s}"), F.col("_d").alias(f"d{s}"), F.col("_why").alias(f"_why_{s}"))
+        out = out.join(side, f"{key}_{s}", "left")
+
+    def told(s: str) -> Column:
+        why = F.coalesce(F.col(f"_why_{s}"), F.lit("no descriptors"))
+        return F.when(why != "", F.concat(F.coalesce(F.col(f"{key}_{s}"), F.lit("missing formula")), F.lit(": "), why))
+
+    reasons = F.array_distinct(F.array_compact(F.array(told("a"), told("b"))))
+    return out.withColumn(REJECT, F.array_join(reasons, "; ")).drop("_why_a", "_why_b")
+
+
+def usable_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs that have features; tables without a reason column have only such pairs."""
+    return pairs.filter(F.col(REJECT) == "") if REJECT in pairs.columns else pairs
+
+
+def rejected_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.col(REJECT) != "") if REJECT in pairs.columns else pairs.limit(0)
 
 
 def pair_features(enriched: DataFrame) -> DataFrame:
-    """The 54 model columns of pairs carrying ``da`` and ``db``."""
+    """The 54 model columns of pairs carrying ``da`` and ``db``; null where they need a missing side."""
     a, b = (lambda n: F.col(f"da.{n}")), (lambda n: F.col(f"db.{n}"))
     columns: dict[str, Column] = {}
     for n in CHANGES:
@@ -180,18 +204,16 @@ def pair_features(enriched: DataFrame) -> DataFrame:
 
 
 def formula_descriptors(formulas: DataFrame, key: str = "formula") -> DataFrame:
-    """Usable pair descriptors plus composition, one row per distinct formula."""
+    """Pair descriptors, composition and ``reject_reason`` (empty: usable), one row per distinct formula."""
     parsed = cp.compositions(formulas, key)
     table = cp.trend_descriptor(cp.descriptors(parsed, key), key)
-    usable = table.filter("reject_reason = ''").drop("reject_reason")
     # One row per distinct formula, joined to both sides of every pair.
-    return durable(usable.join(parsed, key))
+    return durable(parsed.join(table, key, "left").withColumn(REJECT, F.coalesce(REJECT, F.lit("unreadable formula"))))
 
 
 def rejected_formulas(pairs: DataFrame) -> DataFrame:
     """Formulas whose pairs cannot have features, with the reason."""
-    table = cp.trend_descriptor(cp.descriptors(cp.compositions(pair_formulas(pairs))))
-    return table.filter("reject_reason != ''").select("formula", "reject_reason")
+    return formula_descriptors(pair_formulas(pairs)).filter(F.col(REJECT) != "").select("formula", REJECT)
 
 
 def pair_formulas(pairs: DataFrame) -> DataFrame:
@@ -226,7 +248,7 @@ TRACE_COLUMNS = (
     "conductivity_measurement_type_b", "measurement_quality_a", "measurement_quality_b",
     "measurement_quality_flags_a", "measurement_quality_flags_b", "source_curation_status_a",
     "source_curation_status_b", "source_curation_flags_a", "source_curation_flags_b", "year_a",
-    "year_b", "label_quality", "pair_weight_group_equal",
+    "year_b", "label_quality", "pair_weight_group_equal", REJECT,
 )
 LABEL_COLUMNS = ("trend_label", "trend_class", "电导率变化趋势", "direction_label", "direction_class")
 AUDIT_COLUMNS = (

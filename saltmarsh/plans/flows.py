@@ -89,6 +89,7 @@ def model_clean(
     ).drop("_relabel")
     value, temperature = F.col("value"), F.col("noted_temperature_c")
     eligible, rejected = ql.reject_first(rows, [
+        (F.col("formula_key").isNull(), F.concat(F.lit("unparseable formula: "), F.coalesce("formula_error", F.lit("")))),
         (~F.coalesce(value > 0, F.lit(False)), "invalid or non-positive conductivity"),
         (value < minimum, f"model threshold: conductivity < {minimum:g}"),
         ((F.col("source") == "liverpool") & ~F.coalesce(temperature.between(low_c, high_c), F.lit(False)),
@@ -141,9 +142,18 @@ def feature_table(df: DataFrame, minimum: float | None = 1e-6) -> Bundle:
     return {"kept": featured, "removed": removed}
 
 
+def trend_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed measurement rows that can be paired, and the others with their reason."""
+    return ql.reject_first(df, [
+        (F.coalesce(F.col("formula_error") != "", F.lit(True)), F.concat(F.lit("unparseable formula: "), F.coalesce("formula_error", F.lit("")))),
+        (~F.coalesce(F.col("value") > 0, F.lit(False)), "missing or non-positive value"),
+        (~F.coalesce(F.size("doi_tokens") > 0, F.lit(False)), "no DOI"),
+    ])
+
+
 def trend_pairs(df: DataFrame) -> DataFrame:
-    """Comparison pairs of typed measurement rows with a readable formula and number."""
-    usable = df.filter((F.col("formula_error") == "") & (F.col("value") > 0) & (F.size("doi_tokens") > 0))
+    """Comparison pairs of typed measurement rows with a readable formula and number (``trend_rows`` has the others)."""
+    usable, _ = trend_rows(df)
     rows = pr.pairing_input(usable).select(
         "id", "formula", "conductivity_text", "value", "vector", "element_set",
         "doi", "method", "temperature_c", F.col("family_norm").alias("family"), "kind",
@@ -152,18 +162,21 @@ def trend_pairs(df: DataFrame) -> DataFrame:
 
 
 def train_trend_model(train: DataFrame, name: str = "random_forest"):
-    """Swap-augmented, weighted three-class model on the pair columns."""
-    filled = train.withColumn("label_index", ml.label_index(F.col("trend_label")))
+    """Swap-augmented, weighted three-class model on the pair columns of the pairs that have them."""
+    filled = pr.usable_pairs(train).withColumn("label_index", ml.label_index(F.col("trend_label")))
     rows = pr.augment(filled).withColumn("label_index", ml.label_index(F.col("trend_label")))
     return ml.fit(rows, pr.MODEL_FEATURES, ml.classifiers("label_index", "training_weight")[name])
 
 
 def trend_report(table: DataFrame, model, threshold: float = pr.THRESHOLD) -> Bundle:
-    """Score pairs both ways and measure the labels."""
-    scored = ml.score_pairs(model, table)
+    """Score pairs both ways and measure the labels; pairs without features have no prediction but their reason."""
+    scored = ml.score_pairs(model, pr.usable_pairs(table))
     keep = ["pair_id", "group_id", "doi", "family", "formula_a", "formula_b", "pair_weight_group_equal"]
     predictions = ml.prediction_table(scored, keep, "trend_label")
     metrics = ev.aggregate_metrics(predictions, [], "trend_label", "predicted_label")
+    if pr.REJECT in table.columns:
+        left = pr.rejected_pairs(table).select(*keep, "trend_label", pr.REJECT)
+        predictions = predictions.withColumn(pr.REJECT, F.lit("")).unionByName(left, allowMissingColumns=True)
     return {"predictions": predictions, "metrics": metrics.withColumn("threshold", F.lit(threshold))}
 
 
@@ -174,8 +187,12 @@ def split_pairs(table: DataFrame, fraction: float = 0.1) -> DataFrame:
 
 
 def experimental_comparison(table: DataFrame, train: DataFrame, models: Mapping[str, object], high: float = 1e-3) -> Bundle:
-    """Several models on the same pairs: wide predictions and scoped metrics."""
-    audited = ev.overlap_audit(table, train, "formula_a", "formula_b")
+    """Several models on the same pairs: wide predictions and scoped metrics.
+
+    Pairs without features have no prediction; the metrics name their number.
+    """
+    rejected = pr.rejected_pairs(table)
+    audited = ev.overlap_audit(pr.usable_pairs(table), train, "formula_a", "formula_b")
     scopes: dict[str, Column] = {
         "overall": F.lit(True),
         f"max_sigma_ge_{high:g}": F.greatest("value_a", "value_b") >= high,
@@ -192,7 +209,11 @@ def experimental_comparison(table: DataFrame, train: DataFrame, models: Mapping[
     wide = ev.wide_predictions(
         scored, "pair_id", ["trend_label"], ["predicted_label", *[f"probability_{v}" for v in pr.LABELS]]
     )
-    return {"metrics": metrics, "wide": wide}
+    if pr.REJECT in table.columns:
+        wide = wide.withColumn(pr.REJECT, F.lit("")).unionByName(
+            rejected.select("pair_id", "trend_label", pr.REJECT), allowMissingColumns=True
+        )
+    return {"metrics": metrics.withColumn("rejected_pairs", F.lit(rejected.count())), "wide": wide}
 
 
 def log_target(value: Column) -> Column:

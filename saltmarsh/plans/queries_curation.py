@@ -132,7 +132,7 @@ AUDIT_SQL = f"""SELECT * FROM (SELECT formula_key, count(*) AS candidate_rows, c
 def model_input(t):
     """Typed rows with the path text and order the model cleaning expects."""
     ref = F.concat(F.lit("tables/"), F.when(c("source") == "literature", "literature_additions").otherwise(c("source")))
-    return t.mf.filter("formula_key IS NOT NULL").withColumns({"ref": ref, "row_order": c("source_row")})
+    return t.mf.withColumns({"ref": ref, "row_order": c("source_row")})
 
 
 @query("a03_formula_audit", AUDIT_SQL, "log10_min log10_max log10_span median_log10 kept_value")
@@ -414,7 +414,8 @@ def d10(t):
 def d11(t):
     out = flows.model_clean(model_input(t))
     return out["kept"].select("id", F.lit("kept").alias("outcome")).unionByName(
-        out["removed"].select("id", c(ql.REASON).alias("outcome"))
+        # The SQL has no unreadable rows; the flow lists them with their reason.
+        out["removed"].filter("formula_key IS NOT NULL").select("id", c(ql.REASON).alias("outcome"))
     )
 
 

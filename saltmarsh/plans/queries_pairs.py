@@ -83,6 +83,11 @@ def pairs(t):
     return durable(flows.trend_pairs(rows))
 
 
+def described(df):
+    """The pairs the SQL has: both formulas with descriptors. The operators return the others with their reason."""
+    return pr.usable_pairs(df).drop(pr.REJECT)
+
+
 def table(t):
     return durable(pr.pair_table(pairs(t)))
 
@@ -107,7 +112,7 @@ def j06(t):
 def j08(t):
     rows = pairs(t)
     joined = pr.enrich_pairs(rows, pr.formula_descriptors(pr.pair_formulas(rows)))
-    return joined.select(
+    return described(joined).select(
         "pair_id", c("da.chi_all").alias("chi_a"), c("db.chi_all").alias("chi_b"), c("da.r_all_pm").alias("r_a"), c("db.r_all_pm").alias("r_b")
     )
 
@@ -137,7 +142,7 @@ def p03(t):
 def p04(t):
     rows = pairs(t).select("pair_id", "formula_a", "formula_b")
     out = pr.pair_features(pr.enrich_pairs(rows, pr.formula_descriptors(pr.pair_formulas(rows))))
-    return renamed(out.select("pair_id", *pr.MODEL_FEATURES))
+    return renamed(described(out).select("pair_id", *pr.MODEL_FEATURES))
 
 
 @query("p05_l1_distance", "SELECT formula_a, formula_b, dist FROM l1", "dist")
@@ -159,7 +164,7 @@ DELTA = "(p.value_b - p.value_a)"
 def p06(t):
     out = pr.pair_table(pairs(t))
     keep = ["pair_id", "group_id", "absolute_change", "absolute_threshold", "log10_ratio_b_over_a", "trend_label", "trend_class", "pair_weight_group_equal"]
-    return renamed(out.select(*keep, *pr.MODEL_FEATURES))
+    return renamed(described(out).select(*keep, *pr.MODEL_FEATURES))
 
 
 @query("p07_pair_table_full", f"""SELECT p.pair_id, p.group_id, p.id_a, p.id_b, p.formula_a, p.formula_b, p.doi, p.family, p.family AS family_normalized, 1.0::DOUBLE / w.n AS pair_weight_group_equal,
@@ -171,7 +176,7 @@ def p07(t):
         "value_a": "conductivity_a_S_cm-1", "value_b": "conductivity_b_S_cm-1", "conductivity_text_a": "conductivity_value_text_a",
     })
     # The two measured values are compared as written, so they stay text here.
-    out = renamed(pr.pair_table_full(rows))
+    out = renamed(described(pr.pair_table_full(rows)))
     return out
 
 
@@ -187,7 +192,7 @@ def p08(t):
     )
     nxt = parts.select((c("p_partkey") - 1).alias("p_partkey"), c("formula").alias("formula_b"))
     rows = parts.withColumnRenamed("formula", "formula_a").join(nxt, "p_partkey").select("formula_a", "formula_b", "family").distinct()
-    return renamed(pr.inference_pairs(rows))
+    return renamed(described(pr.inference_pairs(rows)))
 
 
 SOME = ["delta_entropy_c_l", "delta_chi_all", "mean_r_all_pm", "abs_delta_field_x_r_diff", "a_chi_all", "b_chi_all", "composition_L1_distance"]
@@ -200,14 +205,14 @@ FORWARD_SQL = """p.pair_id, {label} AS trend_label, tb.x_entropy_c_l - ta.x_entr
 
 @query("p09_reverse_pairs", f"SELECT {REVERSED_SQL} FROM pairs_sql {JOINED}", " ".join(plain(n) for n in SOME))
 def p09(t):
-    return renamed(pr.reverse_pairs(pr.pair_table(pairs(t))).select("pair_id", "trend_label", *SOME))
+    return renamed(pr.reverse_pairs(described(pr.pair_table(pairs(t)))).select("pair_id", "trend_label", *SOME))
 
 
 @query("p10_augment", f"""SELECT {FORWARD_SQL}, 'forward' AS augmentation_direction, 0.5 / w.n AS training_weight FROM pairs_sql {JOINED} JOIN (SELECT group_id, count(*)::DOUBLE AS n FROM pairs_sql GROUP BY group_id) w ON w.group_id = p.group_id
     UNION ALL SELECT {REVERSED_SQL}, 'reverse', 0.5 / w.n FROM pairs_sql {JOINED} JOIN (SELECT group_id, count(*)::DOUBLE AS n FROM pairs_sql GROUP BY group_id) w ON w.group_id = p.group_id""",
     " ".join([*[plain(n) for n in SOME], "training_weight"]))
 def p10(t):
-    out = pr.augment(table(t))
+    out = pr.augment(described(table(t)))
     return renamed(out.select("pair_id", "trend_label", "augmentation_direction", "training_weight", *SOME))
 
 

@@ -136,8 +136,8 @@ def pair_rows(t):
     table = durable(pr.pair_table(pairs(t)))
     split = durable(flows.split_pairs(table, 0.2))
     train = split.filter("split = 'train'")
-    medians = durable(ml.medians(train, pr.MODEL_FEATURES))
-    filled = durable(ml.impute(split, pr.MODEL_FEATURES, medians))
+    medians = durable(ml.medians(pr.usable_pairs(train), pr.MODEL_FEATURES))
+    filled = durable(ml.impute(pr.usable_pairs(split), pr.MODEL_FEATURES, medians).unionByName(pr.rejected_pairs(split)))
     return filled.filter("split = 'train'"), filled.filter("split = 'validation'")
 
 
