@@ -1,7 +1,7 @@
 """Packing documents into windows of tokens by non-negative least squares.
 
-A document is its token ids and an end mark. Documents longer than the window are cut
-into whole windows and a rest. The histogram of piece lengths has a fixed number of
+A document is its token ids (added tokens of the vocabulary are matched) and an end mark.
+Documents longer than the window are cut into whole windows and a rest. The histogram of piece lengths has a fixed number of
 bins, so it is planned on the driver whatever the corpus: every combination of up to
 three bins that fills a window is a column, non-negative least squares finds how often
 to repeat each, the counts are rounded within what is there, and what remains is packed
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, settings: Settings = Settings()) ->
         for batch in batches:
             rows = []
             for place, text in enumerate(batch["text"]):
-                ids = vocabulary.encode(text) + end
+                ids = vocabulary.tokens(text) + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start:4 * (start + window)]
@@ -230,7 +230,7 @@ def fill(docs: DataFrame, packed: DataFrame, tokenizer: str, settings: Settings
         for batch in batches:
             rows = []
             for text, plan_ in zip(batch["text"], batch["plan"], strict=True):
-                ids = np.append(np.frombuffer(vocabulary.encode(text), dtype="<u4"), end).astype(np.int32)
+                ids = np.append(np.frombuffer(vocabulary.tokens(text), dtype="<u4"), end).astype(np.int32)
                 rows += [(p["sequence_id"], p["offset"], ids[p["start"]:p["start"] + p["length"]]) for p in plan_]
             yield pd.DataFrame(rows, columns=["sequence_id", "offset", "ids"])
 

@@ -4,6 +4,10 @@ The vocabulary file of ``tokenizers`` is read as it is; its ids are also its mer
 order, so ``tiktoken`` gives the same ids from it, at several times the speed (a test
 compares them). A text is cut before single spaces, where no token can reach across, and
 the ids of frequent pieces come from the cache.
+
+``Words.tokens`` gives the ids of ``tokenizers`` with its settings as they are and
+``add_special_tokens=False``: added tokens of the vocabulary are matched inside text.
+``Words.encode`` reads them as ordinary characters.
 """
 
 from __future__ import annotations
@@ -38,15 +42,20 @@ class Words(dict):
     def __init__(self, path: str):
         super().__init__()
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model = content["model"]
         to_byte = byte_of()
         ranks = {}
         for token, number in model["vocab"].items():
             if all(c in to_byte for c in token):
                 ranks[bytes(to_byte[c] for c in token)] = number
+        added = content.get("added_tokens") or []
+        # Texts with one of these go to the tokenizer itself.
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         self.path = path
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._exact: Tokenizer | None = None
+        self._default: Tokenizer | None = None
 
     def exact(self, text: str) -> bytes:
         if self._exact is None:
@@ -68,6 +77,14 @@ class Words(dict):
             return self.exact(text)
         return b"".join(map(self.__getitem__, PIECE.findall(text)))
 
+    def tokens(self, text: str) -> bytes:
+        """Ids of a whole text in which added tokens count, four bytes each."""
+        if self.added is None or not self.added.search(text):
+            return self.encode(text)
+        if self._default is None:
+            self._default = Tokenizer.from_file(self.path)
+        return np.array(self._default.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
 
 @functools.cache
 def words(path: str) -> Words:

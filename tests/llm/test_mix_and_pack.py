@@ -92,6 +92,21 @@ def test_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(fast.encode(text), dtype="<u4").tolist() == exact.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_added_tokens_count_inside_text(spark):
+    texts = [*TRICKY, "a<|endoftext|> plain", "<|endoftext|>" * 3, "x<|endoftext|", "a\x1c<|endoftext|>b", "w" * 12_000 + "<|endoftext|> z"]
+    exact = Tokenizer.from_file(BPE)
+    assert exact.encode("a<|endoftext|> plain", add_special_tokens=False).ids == [64, 50256, 8631]
+    for text in texts:
+        assert np.frombuffer(words(BPE).tokens(text), dtype="<u4").tolist() == exact.encode(text, add_special_tokens=False).ids, text[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = packing.pack(docs, BPE)
+    check_packing(packed.collect(), ids_of(docs.collect()))
+    filled = {r.sequence_id: r.ids for r in packing.fill(docs, packed, BPE).collect()}
+    wanted = {k: ids[0] for k, ids in ids_of(docs.collect()).items()}
+    for r in packed.collect():
+        assert filled[r.sequence_id][r.offset:r.offset + r.length] == wanted[r.doc_id][r.start:r.start + r.length]
+
+
 def test_solver_finds_an_exact_packing():
     settings = packing.Settings()
     tops = packing.bins(settings)
