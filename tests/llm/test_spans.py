@@ -81,6 +81,22 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(rows[k].n_added == 0 for k in range(30))
 
 
+def test_contexts_find_whole_slots(spark):
+    texts = [f"filler {k} reach me at user{k}@mail.example.com today" for k in range(30)]
+    texts += [f"item {k} ring us on +1 (124) 555-{4000 + k} tonight" for k in range(30)]
+    texts += [f"write to box{k}@mail.example.com soon" for k in range(30)] + [f"write to {'abcdefgh'[k % 8] * (1 + k)} soon" for k in range(30)]
+    found = ["joe@localhost", "0171 555 1234", "(017) 555-7713", "x" * 90 + "7@localhost"]
+    texts += [f"reach me at {found[0]} today", f"ring us on {found[1]} tonight", f"ring us on {found[2]} tonight", f"reach me at {found[3]} today"]
+    texts += ["please write to joe77@localhost soon"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find(docs).collect()}
+    for k, (value, kind) in enumerate(zip(found, ("email", "phone", "phone", "email")), 120):
+        start = texts[k].index(value)
+        assert rows[k].spans == f"{kind}:{start}:{start + len(value)}", (texts[k], rows[k].spans)
+    # Half of what stands after "write to" is a plain word: not sure.
+    assert rows[124].spans == ""
+
+
 def test_owners_tell_examples_from_live_secrets(spark):
     copied, live = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "Zx81kQpW93mNvB72Lr5TgHs"
     texts = [(k, f"try token = {copied} now", f"s{k % 5}") for k in range(20)]
