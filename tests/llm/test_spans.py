@@ -108,3 +108,10 @@ def test_owners_tell_examples_from_live_secrets(spark):
     assert rows[21].spans == "" and rows[22].n_live == 1
     _, spans = secrets.spans(docs)
     assert {(r.owners, r.repositories) for r in spans.where("kind = 'hex'").collect()} == {(5, 20)}
+
+
+def test_keys_with_a_late_digit(spark):
+    late = "QwErTyUiOpAsDfGhJkLzXcVbNm" * 3 + "7"
+    docs = spark.createDataFrame([(0, f"deploy {late} here", "a"), (1, "see how-to-make-things-with-words", "b")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r.spans for r in secrets.find(docs).collect()}
+    assert rows == {0: f"key:7:{7 + len(late)}", 1: ""}
