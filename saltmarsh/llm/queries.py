@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import exact, mixing, near, neighbours, packing, pii, quality, repeats, secrets, toxicity
+from saltmarsh.llm import exact, mixing, near, neighbours, packing, pii, quality, repeats, runs, secrets, toxicity
 from saltmarsh.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repeats")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find(table(spark, sf_dir, "documents"), rewrite=runs.planted))
