@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import exact, mixing, near, neighbours, packing, pii, quality, repeats, runs, secrets, toxicity
+from saltmarsh.llm import exact, mixing, near, neighbours, packing, pii, quality, repeats, runs, secrets, toxicity, tries, warc
 from saltmarsh.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,77 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find(table(spark, sf_dir, "documents"), rewrite=runs.planted))
+
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn,
+    substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS name,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), original AS (
+  SELECT conv_id, list(name ORDER BY turn NULLS FIRST, name) AS names, list(words ORDER BY turn NULLS FIRST, name) AS words
+  FROM turns GROUP BY conv_id
+), shares AS (
+  -- CRC-32: each byte is followed by eight steps of one bit.
+  SELECT *, conv_id - conv_id % 20 AS leader, (xor(list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(
+      string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, step: CASE WHEN step >= 0 THEN xor(crc, step) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END
+  ), 4294967295) % 4)::BIGINT AS shared
+  FROM original
+), rebuilt AS (
+  SELECT s.conv_id,
+    list_concat(coalesce(l.names, [])[1:shared], s.names[shared + 1:]) AS names,
+    list_concat(coalesce(l.words, [])[1:shared], s.words[shared + 1:]) AS words
+  FROM shares s LEFT JOIN original l ON l.conv_id = s.leader
+), members AS (
+  SELECT conv_id, d, array_to_string(names[1:d], '') AS path, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, d = len(names) AS ends
+  FROM rebuilt, unnest(range(0, len(names) + 1)) AS depths(d)
+), nodes AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY path, d
+), children AS (
+  SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.path = n.path
+), subtrees AS (
+  SELECT left(path, 32 * d) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM counted, unnest(range(0, depth + 1)) AS above(d) GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN subtrees s ON s.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1))
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    shared = F.crc32(conv_id.cast("string").cast("binary")) % 4
+    return tries.trie(table(spark, sf_dir, "conversations"), conv_id - conv_id % 20, shared, most_shared=3)
+
+
+WARC_SQL = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, url FROM pages
+), placed AS (
+  SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex,
+    row_number() OVER same AS place, first_value(page_id) OVER same AS first_page
+  FROM payloads WINDOW same AS (PARTITION BY payload ORDER BY page_id NULLS LAST, url NULLS LAST)
+)
+SELECT page_id, payload_bytes,
+  -- Base32: five hex digits are four of its characters.
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT) >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_page END AS refers_to
+FROM placed
+"""
+
+
+@query("op11_warc", WARC_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved(*warc.archive(table(spark, sf_dir, "pages"))).drop("url")

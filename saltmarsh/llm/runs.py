@@ -233,7 +233,7 @@ def find(
             texts = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 words = text.encode().split()
-                places = rewrite(int(doc_id), len(words)) if rewrite and not pd.isna(doc_id) else None
+                places = rewrite(int(doc_id), len(words)) if rewrite and doc_id is not None else None
                 texts.append(words if places is None else [words[k] for k in places.tolist()])
             sizes = np.array([len(words) for words in texts], dtype=np.int64)
             flat = np.empty(int(sizes.sum()), dtype=object)
@@ -251,8 +251,11 @@ def find(
             })
 
     rows = id_and_text(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"doc_id {kind}, n_words long, runs {RUN_TYPE}, collapsed string")
+    kind = rows.schema["doc_id"].dataType
+    # Ids go to Python as text: a column of numbers and nulls would become one of doubles.
+    return rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        work, f"doc_id string, n_words long, runs {RUN_TYPE}, collapsed string"
+    ).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def planted(doc_id: int, n: int) -> np.ndarray | None:
