@@ -73,9 +73,18 @@ def parse_scientific(text: Column, scale: float = 1.0) -> Column:
     return F.coalesce(mantissa * power, value.try_cast("double")) * F.lit(float(scale))
 
 
+def _approximate(text: Column) -> Column:
+    return strip(F.regexp_replace(strip(text), r"^[≈~]", ""))
+
+
 def parse_approximate(text: Column) -> Column:
     """Drop one leading ``≈`` or ``~`` and cast; a non-number is an error under ANSI."""
-    return strip(F.regexp_replace(strip(text), r"^[≈~]", "")).cast("double")
+    return _approximate(text).cast("double")
+
+
+def try_approximate(text: Column) -> Column:
+    """As ``parse_approximate``, null for a text that is no number."""
+    return _approximate(text).try_cast("double")
 
 
 def normalize_label(text: Column, aliases: Mapping[str, str] | None = None) -> Column:

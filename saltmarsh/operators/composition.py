@@ -124,12 +124,23 @@ def candidates(parsed: DataFrame, key: str = "formula") -> DataFrame:
     )
 
 
+def _undominated(states: Column) -> Column:
+    """Of partial choices with the same charge the one with the smallest sum of |state|, then the first."""
+    in_order = F.array_sort(states)
+    # The one-element array gives the sorted array a name, so it is sorted once.
+    kept = F.transform(F.array(in_order), lambda s: F.filter(
+        s, lambda x, i: (i == 0) | (x["key"] != F.get(s, i - 1)["key"])
+    ))
+    return F.element_at(kept, 1)
+
+
 def assign_oxidation(parsed: DataFrame, key: str = "formula") -> DataFrame:
     """Charges that best balance each formula.
 
-    All combinations of the candidate states are built inside one array by
-    folding the elements; the score is |total charge| + 0.001 * sum of |state|
-    over elements with a choice, and the first combination wins a tie.
+    The score is |total charge| + 0.001 * sum of |state| over elements with a choice, and the
+    first combination wins a tie. Elements are folded one by one over a frontier: what later
+    elements add is the same for two choices of equal charge, so only the better one stays.
+    The frontier grows with the number of different charges, not with the number of combinations.
     """
     rows = candidates(parsed, key)
     grouped = rows.groupBy(key).agg(
@@ -141,48 +152,30 @@ def assign_oxidation(parsed: DataFrame, key: str = "formula") -> DataFrame:
     fixed_charge = F.aggregate(
         fixed, F.lit(0.0), lambda t, x: t + x["amount"] * F.element_at(x["states"], 1)
     )
-    start = F.array(
-        F.struct(
-            fixed_charge.alias("charge"),
-            F.lit(0.0).alias("size"),
-            F.array().cast("array<double>").alias("picked"),
-        )
-    )
-
-    def widen(combos: Column, item: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                combos,
-                lambda c: F.transform(
-                    item["states"],
-                    lambda z: F.struct(
-                        (c["charge"] + item["amount"] * z).alias("charge"),
-                        (c["size"] + F.abs(z)).alias("size"),
-                        F.concat(c["picked"], F.array(z)).alias("picked"),
-                    ),
-                ),
-            )
-        )
 
-    combos = F.aggregate(open_, start, widen)
-    best = F.array_min(
-        F.transform(
-            combos,
-            lambda c, i: F.struct(
-                F.round(F.abs(c["charge"]) + 0.001 * c["size"], 9).alias("score"),
-                i.alias("ordinal"),
-                c["picked"].alias("picked"),
-                c["charge"].alias("charge"),
-            ),
-        )
-    )
-    picked = grouped.withColumn("open_names", F.transform(open_, lambda x: x["element"])).withColumn(
-        "best", best
-    )
+    def state(charge: Column, size: Column, picked: Column) -> Column:
+        return F.struct(F.round(charge, 9).alias("key"), size.alias("size"), picked.alias("picked"), charge.alias("charge"))
+
+    start = F.array(state(fixed_charge, F.lit(0.0), F.array().cast("array<int>")))
+
+    def widen(frontier: Column, item: Column) -> Column:
+        return _undominated(F.flatten(F.transform(
+            frontier,
+            lambda c: F.transform(item["states"], lambda z, i: state(
+                c["charge"] + item["amount"] * z, c["size"] + F.abs(z), F.concat(c["picked"], F.array(i))
+            )),
+        )))
+
+    frontier = F.aggregate(open_, start, widen)
+    # Numbers of the picked states compare like the combinations in their order.
+    best = F.array_min(F.transform(frontier, lambda c: F.struct(
+        F.round(F.abs(c["charge"]) + 0.001 * c["size"], 9).alias("score"), c["picked"].alias("picked"), c["charge"].alias("charge"),
+    )))
+    picked = grouped.withColumn("open_names", F.transform(open_, lambda x: x["element"])).withColumn("best", best)
     charge = lambda x: F.when(x["neutral"], F.lit(None).cast("double")).otherwise(
-        F.when(F.size(x["states"]) == 1, F.element_at(x["states"], 1)).otherwise(
-            F.get(F.col("best.picked"), F.array_position(F.col("open_names"), x["element"]).cast("int") - 1)
-        )
+        F.when(F.size(x["states"]) == 1, F.element_at(x["states"], 1)).otherwise(F.get(
+            x["states"], F.get(F.col("best.picked"), F.array_position(F.col("open_names"), x["element"]).cast("int") - 1)
+        ))
     )
     return picked.select(
         key,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from saltmarsh.functions import formula as fm
 from saltmarsh.functions import text as tx
 from saltmarsh.operators import quality as ql
-from saltmarsh.operators.ordering import exact_quantiles, keep_first, member_lists, next_row
+from saltmarsh.operators.ordering import exact_quantiles, keep_first, last_known, next_row, running_extreme, spread_join
 from saltmarsh.session import durable, small_table
 
 # --- sources to one schema ---------------------------------------------------
@@ -216,8 +216,13 @@ def block_violations(rows: DataFrame, blocks: DataFrame, position: str, start: s
     )
     ordered = next_row(blocks, [], [F.col(start), F.col(end)], [start], "_next")
     overlaps = ordered.agg(F.count_if(F.col(f"_next.{start}") <= F.col(end)).alias("n"))
-    covered = label_by_blocks(rows, blocks, position, start, end, []).select(position)
-    uncovered = rows.join(covered, position, "left_anti").agg(F.count("*").alias("n"))
+    # A row is covered if some block that starts at or before it ends at or after it.
+    marks = rows.select(F.col(position).cast("bigint").alias("_at"), F.lit(1).alias("_kind")).unionByName(
+        blocks.select(F.col(start).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.col(end).cast("bigint").alias("_end")),
+        allowMissingColumns=True,
+    )
+    reached = running_extreme(marks, [], [F.col("_at"), F.col("_kind")], F.col("_end"), "_reach", best="max")
+    uncovered = reached.filter("_kind = 1").agg(F.count_if(~F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False))).alias("n"))
     named = [("out of bounds", bounds), ("overlapping", overlaps), ("uncovered rows", uncovered)]
     return reduce(
         lambda a, b: a.unionByName(b),
@@ -225,22 +230,32 @@ def block_violations(rows: DataFrame, blocks: DataFrame, position: str, start: s
     )
 
 
+def swept(rows: DataFrame, blocks: DataFrame, position: str, start: str, end: str, labels: Sequence[str]) -> DataFrame:
+    """Rows with the block that starts last before them (``_block``) and whether it holds them (``_inside``).
+
+    One sweep: block starts and rows stand in one order of positions, and each row takes the
+    last start carried forward to it. Of blocks with one start the longest counts.
+    """
+    block = F.struct(F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"), *labels)
+    starts = blocks.filter(F.col(start).isNotNull()).groupBy(F.col(start).cast("bigint").alias("_at")).agg(
+        F.max_by(block, F.struct(F.col(end), *labels)).alias("_start")
+    ).withColumn("_kind", F.lit(0))
+    marks = rows.select(F.col(position).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"))
+    order = [F.col("_at"), F.col("_kind")]
+    carried = last_known(marks.unionByName(starts, allowMissingColumns=True), [], order, F.col("_start"), "_block")
+    inside = F.coalesce(F.col("_at") <= F.col("_block.end"), F.lit(False))
+    return carried.filter("_kind = 1").select("_row.*", "_block", inside.alias("_inside"))
+
+
 def label_by_blocks(
-    rows: DataFrame, blocks: DataFrame, position: str, start: str, end: str, labels: Sequence[str],
-    step: int = 64,
+    rows: DataFrame, blocks: DataFrame, position: str, start: str, end: str, labels: Sequence[str]
 ) -> DataFrame:
-    """Labels of the block ``[start, end]`` each row position falls into.
+    """Labels of the block ``[start, end]`` each row position falls into; rows in no block are left out.
 
-    Blocks are cut into steps of ``step`` positions, so the interval join is an
-    equi join on the step with the interval as a residual filter.
+    Blocks must not overlap (``block_violations``); where they do, the one that starts last counts.
     """
-    cut = blocks.select(
-        F.col(start).alias("_start"), F.col(end).alias("_end"), *labels,
-        F.explode(F.sequence(F.floor(F.col(start) / step), F.floor(F.col(end) / step))).alias("_step"),
-    )
-    keyed = rows.withColumn("_step", F.floor(F.col(position) / step))
-    inside = F.col(position).between(F.col("_start"), F.col("_end"))
-    return keyed.join(cut, "_step").filter(inside).select(*rows.columns, *labels)
+    found = swept(rows, blocks, position, start, end, labels).filter("_inside")
+    return found.select(*rows.columns, *[F.col(f"_block.{c}").alias(c) for c in labels])
 
 
 def token_rows(df: DataFrame, *cols: str) -> DataFrame:
@@ -292,29 +307,26 @@ def loser_reason(rows: DataFrame, winners: DataFrame, part: Sequence[str], id_co
 # --- connected components --------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for an undirected edge list; component = smallest node.
 
-    Alternates large-star and small-star steps, so a chain of length n needs
-    about log(n) rounds.  Every round is an aggregate with a map-side combine
-    and one join, and is materialized to cut the plan.
+    Alternates large-star and small-star steps, so a chain of length n needs about log(n)
+    rounds; it goes on until a round changes nothing. A node's smallest neighbour is an
+    aggregate with a map-side combine, and goes back to the node's edges over salted keys,
+    so a hub with any number of edges is split. Every round is written to cut the plan.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct()
     both = durable(both)
-    if both.isEmpty():
-        return both.select(F.col("u").alias("node"), F.col("v").alias("component"))
     previous = None
-    for _ in range(max_rounds):
+    while True:
         mirrored = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: link every larger neighbour to the smallest one around.
-        smallest = mirrored.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m")
-        )
-        large = mirrored.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        smallest = mirrored.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = spread_join(mirrored, smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = durable(large.distinct())
         # Small star: link the node and its smaller neighbours to the smallest one.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("x"), "m").filter("x != m")
+        small = spread_join(large, lowest, "u").select(F.col("v").alias("x"), "m").filter("x != m")
         both = durable(
             small.select(F.col("x").alias("u"), F.col("m").alias("v"))
             .unionByName(lowest.select("u", F.col("m").alias("v")))
@@ -324,8 +336,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if state == previous:
             break
         previous = state
-    else:
-        raise RuntimeError("components did not settle")
     members = both.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = members.select(F.col("component").alias("node"), "component").distinct()
     return members.unionByName(roots)
@@ -370,29 +380,32 @@ def pick_representative(df: DataFrame, room_temperature_c: float = 25.0) -> tupl
     return kept, loser_reason(df, kept, ["component"], "id", reason)
 
 
-def component_audit(df: DataFrame, kept: DataFrame, rows_per_list: int = ql.MEMBERS_PER_LIST) -> DataFrame:
-    """Components of more than one row with their spread, members and kept row."""
+def component_audit(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """Components of more than one row, one row each: spread, kept row and number of identifiers.
+
+    Members and identifiers are rows of ``component_members`` and ``component_tokens``.
+    """
     stats = df.groupBy("component").agg(
         F.count("*").alias("candidate_rows"),
         F.min("log10_value").alias("log10_min"),
         F.max("log10_value").alias("log10_max"),
     ).filter("candidate_rows > 1").withColumn("log10_span", F.col("log10_max") - F.col("log10_min"))
-    lists = member_lists(
-        df, ["component"], [F.col("id")], {"ids": F.col("id"), "sources": F.col("source")}, rows_per_list
-    )
     winners = kept.select(
         "component", "formula_key", F.col("id").alias("kept_id"), F.col("source").alias("kept_source"),
         F.col("value").alias("kept_value"),
     )
-    tokens = token_rows(df.select("component", "doi_tokens").distinct(), "component").groupBy("component").agg(
-        F.count_distinct("token").alias("token_count")
-    )
-    return (
-        stats.join(winners, "component").join(tokens, "component").join(lists, "component")
-        .withColumn("dropped_rows", F.col("candidate_rows") - 1)
+    tokens = component_tokens(df).groupBy("component").agg(F.count("*").alias("token_count"))
+    return stats.join(winners, "component").join(tokens, "component").withColumn(
+        "dropped_rows", F.col("candidate_rows") - 1
     )
 
 
+def component_members(df: DataFrame) -> DataFrame:
+    """The rows of the components in ``component_audit``."""
+    repeated = df.groupBy("component").agg(F.count("*").alias("_n")).filter("_n > 1").select("component")
+    return spread_join(df.select("component", "id", "source"), repeated, "component")
+
+
 def component_tokens(df: DataFrame) -> DataFrame:
     """Distinct identifier tokens of each component, one row per token."""
     pairs = df.select("component", "doi_tokens").distinct()
@@ -608,8 +621,11 @@ def one_per_formula(df: DataFrame, preferred: DataFrame | None = None) -> tuple[
     return kept, lost
 
 
-def formula_audit(df: DataFrame, kept: DataFrame, rows_per_list: int = ql.MEMBERS_PER_LIST) -> DataFrame:
-    """Formulas with several records: spread, median, families, rule and members."""
+def formula_audit(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """Formulas with several records, one row each: spread, median, families and rule.
+
+    Their records are rows of ``formula_members``.
+    """
     stats = df.groupBy("formula_key").agg(
         F.count("*").alias("candidate_rows"),
         F.count_distinct("value").alias("distinct_values"),
@@ -626,25 +642,24 @@ def formula_audit(df: DataFrame, kept: DataFrame, rows_per_list: int = ql.MEMBER
         F.col("id").alias("kept_id"), F.col("value").alias("kept_value"),
         F.col("source").alias("kept_source"), F.col("family_norm").alias("kept_family"),
     )
-    lists = member_lists(
-        df, ["formula_key"], [F.col("id")],
-        {"ids": F.col("id"), "conductivities": F.col("conductivity_text"), "dois": F.col("doi"), "sources": F.col("source")},
-        rows_per_list,
-    )
     rule = F.when(F.col("preferred_family") != "", F.concat(
         F.lit("highest reported conductivity within "), F.col("preferred_family")
     )).otherwise("highest reported conductivity")
     return (
         stats.join(families, "formula_key").join(medians, "formula_key").join(winners, "formula_key")
-        .join(lists, "formula_key")
         .withColumns({"selection_rule": rule, "dropped_rows": F.col("candidate_rows") - 1})
     )
 
 
+def formula_members(df: DataFrame) -> DataFrame:
+    """The records of the formulas in ``formula_audit``, one row each."""
+    repeated = df.groupBy("formula_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("formula_key")
+    return spread_join(df.select("formula_key", "id", "conductivity_text", "doi", "source"), repeated, "formula_key")
+
+
 def quality_log(audit: DataFrame) -> DataFrame:
     """One row per issue found in a formula audit."""
-    first = audit.filter("list_no = 0")
-    repeated = first.select(
+    repeated = audit.select(
         F.lit("same_formula_multiple_records").alias("issue_type"),
         F.lit("resolved").alias("severity"),
         "formula_key",
@@ -654,7 +669,7 @@ def quality_log(audit: DataFrame) -> DataFrame:
         ).alias("details"),
     )
     preferred = F.col("preferred_family") != ""
-    conflicting = first.filter(F.col("families").contains("|")).select(
+    conflicting = audit.filter(F.col("families").contains("|")).select(
         F.lit("conflicting_normalized_family").alias("issue_type"),
         F.when(preferred, "resolved_by_preferred_family").otherwise("manual_review").alias("severity"),
         "formula_key",

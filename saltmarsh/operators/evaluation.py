@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import physics as ph
-from saltmarsh.operators.ordering import largest_group, row_rank, running_sum
+from saltmarsh.operators.ordering import join_groups, largest_group, row_rank, running_sum
 from saltmarsh.operators.pairing import LABELS
 from saltmarsh.operators.windows import adjacent_agreement
 from saltmarsh.session import durable, small_table
@@ -74,12 +74,26 @@ def weighted_corr(x: Column, y: Column, w: Column) -> Column:
     return F.when((vx > 1e-14 * sx) & (vy > 1e-14 * sy), cov / F.sqrt(vx) / F.sqrt(vy))
 
 
+def group_corr(pts: DataFrame, part: Sequence[str], x: str, y: str, w: str, name: str) -> DataFrame:
+    """Correlation per group of values of any size; null if one side has one value only.
+
+    Values are centered first, so large ones with small differences keep them.
+    """
+    facts = pts.groupBy(*part).agg(
+        *[(F.sum(F.col(w) * F.col(c)) / F.sum(w)).alias(f"_mean_{c}") for c in (x, y)],
+        ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("_varies"),
+    )
+    rows = join_groups(pts, facts, part).withColumns({f"_c_{c}": F.col(c) - F.col(f"_mean_{c}") for c in (x, y)})
+    corr = weighted_corr(F.col(f"_c_{x}"), F.col(f"_c_{y}"), F.col(w))
+    return rows.groupBy(*part).agg(F.when(F.bool_and("_varies"), corr).alias(name))
+
+
 def spearman(pts: DataFrame, part: Sequence[str]) -> DataFrame:
-    largest = most_values(pts, part)
+    part, largest = list(part), most_values(pts, part)
     ranks_t = average_ranks(pts, part, "t", "w", "rt", largest)
     ranks_p = average_ranks(pts, part, "p", "w", "rp", largest)
-    joined = pts.join(ranks_t, [*part, "t"]).join(ranks_p, [*part, "p"])
-    return joined.groupBy(*part).agg(weighted_corr(F.col("rt"), F.col("rp"), F.col("w")).alias("spearman"))
+    joined = join_groups(join_groups(pts, ranks_t, [*part, "t"]), ranks_p, [*part, "p"])
+    return group_corr(joined, part, "rt", "rp", "w", "spearman")
 
 
 def discordant(pts: DataFrame, part: Sequence[str]) -> DataFrame:
@@ -95,7 +109,7 @@ def discordant(pts: DataFrame, part: Sequence[str]) -> DataFrame:
     distinct_p = pts.select(*part, "p").distinct()
     ranked = row_rank(distinct_p, part, [F.col("p")], "_rank", largest).withColumn("_rank", F.col("_rank") - 1)
     widths = ranked.groupBy(*part).agg(F.max("_rank").alias("_top"))
-    rows = pts.join(ranked, [*part, "p"]).join(widths, part)
+    rows = join_groups(join_groups(pts, ranked, [*part, "p"]), widths, part)
     bits = F.when(F.col("_top") > 0, F.floor(F.log2(F.col("_top").cast("double")))).otherwise(0)
     rows = rows.withColumn("_bit", F.explode(F.sequence(F.lit(0).cast("bigint"), bits.cast("bigint"))))
     rows = rows.withColumns({
@@ -129,9 +143,9 @@ def inversions_of(pts: DataFrame, part: Sequence[str]) -> DataFrame:
         counts = pts.groupBy(*part, column).agg(F.sum("w").alias("_c"))
         return counts.groupBy(*part).agg(F.sum(_pairs_within(F.col("_c"))).alias(name))
 
-    joined = totals.join(same("t", "_same_t"), part).join(same("p", "_same_p"), part).join(
-        discordant(pts, part), part
-    )
+    joined = totals
+    for facts in (same("t", "_same_t"), same("p", "_same_p"), discordant(pts, part)):
+        joined = join_groups(joined, facts, part)
     all_pairs = _pairs_within(F.col("n"))
     comparable = all_pairs - F.col("_same_t")
     tied = F.col("_same_p") - F.col("_same_both")
@@ -155,7 +169,9 @@ def external_eval(df: DataFrame, part: Sequence[str], truth: str, guess: str) ->
     pts = points(df, part, truth, guess)
     ranks = spearman(pts, part)
     pairs = inversions_of(pts, part).drop("n")
-    out = totals.join(regression, part, "left").join(ranks, part, "left").join(pairs, part, "left")
+    out = totals
+    for facts in (regression, ranks, pairs):
+        out = join_groups(out, facts, part, "left")
     evaluated = F.coalesce("rows_evaluated", F.lit(0).cast("bigint"))
     return out.withColumn("rows_evaluated", evaluated).withColumn(
         "status", F.when(evaluated > 0, "ok").otherwise("not_available")
@@ -178,20 +194,25 @@ def series_summary(df: DataFrame, part: Sequence[str], order: Sequence[Column],
     """Per series: size, correlations, inversion rate, neighbouring mismatches."""
     part = list(part)
     pts = points(df, part, truth, guess)
-    pearson = pts.groupBy(*part).agg(weighted_corr(F.col("t"), F.col("p"), F.col("w")).alias("pearson"))
+    pearson = group_corr(pts, part, "t", "p", "w", "pearson")
     pairs = inversions_of(pts, part).select(*part, "n", "inversion_rate")
     adjacent = adjacent_agreement(df, part, order, truth, guess).select(
         *part, (F.col("comparable") - F.col("correct")).alias("adjacent_mismatch"),
         F.col("comparable").alias("adjacent_comparable"),
     )
-    return pairs.join(pearson, part, "left").join(spearman(pts, part), part, "left").join(adjacent, part, "left")
+    out = pairs
+    for facts in (pearson, spearman(pts, part), adjacent):
+        out = join_groups(out, facts, part, "left")
+    return out
 
 
 # --- classification ---------------------------------------------------------------------
 
 
-def class_sums(df: DataFrame, part: Sequence[str], truth: str, guess: str, weight: Column) -> DataFrame:
-    """One row per group with the sums all class metrics derive from."""
+def class_sums(
+    df: DataFrame, part: Sequence[str], truth: str, guess: str, weight: Column, *more: Column
+) -> DataFrame:
+    """One row per group with the sums all class metrics derive from, and ``more`` aggregates."""
     sums = []
     for i, label in enumerate(LABELS):
         is_true, is_guess = F.col(truth) == label, F.col(guess) == label
@@ -200,7 +221,7 @@ def class_sums(df: DataFrame, part: Sequence[str], truth: str, guess: str, weigh
             F.sum(F.when(is_true, weight).otherwise(0)).alias(f"true_{i}"),
             F.sum(F.when(is_guess, weight).otherwise(0)).alias(f"pred_{i}"),
         ]
-    return df.groupBy(*part).agg(F.sum(weight).alias("total"), *sums)
+    return df.groupBy(*part).agg(F.sum(weight).alias("total"), *sums, *more)
 
 
 def _zero_ratio(a: Column, b: Column) -> Column:
@@ -237,14 +258,13 @@ def aggregate_metrics(df: DataFrame, part: Sequence[str], truth: str, guess: str
     )
     changed = F.col(truth) != "unchanged"
     part = list(part)
-    sums = class_sums(df, part, truth, guess, F.lit(1).cast("bigint"))
-    extra = df.groupBy(*part).agg(
+    sums = class_sums(
+        df, part, truth, guess, F.lit(1).cast("bigint"),
         F.count_if(severe).alias("severe_reversal_count"),
         F.count_if(changed).alias("changed_pairs"),
         F.count_if(changed & (F.col(truth) == F.col(guess))).alias("_changed_hits"),
     )
-    joined = sums.join(extra, part) if part else sums.join(F.broadcast(extra), F.lit(True))  # one row each
-    return joined.select(
+    return sums.select(
         *part,
         F.col("total").alias("pairs"),
         accuracy().alias("accuracy"),

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as tx
 from saltmarsh.operators.ordering import attach_row, exact_quantiles, row_rank
-from saltmarsh.operators.pairing import LABELS, flip_label, reverse_expressions
+from saltmarsh.operators.pairing import LABELS, reverse_expressions
 from saltmarsh.operators.quality import melt
 from saltmarsh.session import small_table
 
 INFINITE = float("inf")
+# A category with more values than this is an error, not a feature.
+MAX_LEVELS = 100_000
 
 
 def finite(column: Column) -> Column:
@@ -275,16 +277,12 @@ def score_pairs(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     scored = classifier.transform(assembler.transform(rows)).withColumns(
         _probabilities(classifier.getProbabilityCol(), "forward_")
     )
-    second = classifier.copy()
-    second.setFeaturesCol("_features_back")
-    second.setPredictionCol("_prediction_back")
-    second.setProbabilityCol("_probability_back")
-    second.setRawPredictionCol("_raw_back")
+    second = classifier.copy({
+        classifier.featuresCol: "_features_back", classifier.predictionCol: "_prediction_back",
+        classifier.probabilityCol: "_probability_back", classifier.rawPredictionCol: "_raw_back",
+    })
     scored = second.transform(backward.transform(scored)).withColumns(
         _probabilities("_probability_back", "reverse_")
     )
     kept = [f"{d}_probability_{v}" for d in ("forward", "reverse") for v in LABELS]
     return symmetric(scored.select(*pairs.columns, *kept))
-
-
-__all__ = ["flip_label"]

@@ -1,10 +1,10 @@
 """Ordered computation inside groups, safe for groups of any size.
 
-A plain window puts a whole group into one task.  The functions here measure
-the largest group first.  Groups that fit use the plain window.  Beyond the
-limit the rows are range-partitioned by (group, order) into slices, each slice
-is windowed on its own, and per-slice totals (one row per group and slice)
-carry the running state across slices.  Both ways give the same rows.
+A plain window puts a whole group into one task.  An order over the whole table
+never does: its rows are range-partitioned into slices, each slice is windowed on
+its own, and one row per slice carries the running state across slices.  For
+groups the largest one is measured first; groups that fit use the plain window,
+larger ones are sliced by (group, order).  All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -28,15 +28,15 @@ def group_row_limit(df: DataFrame) -> int:
 
 def largest_group(df: DataFrame, part: Sequence[str]) -> int:
     """Row count of the largest group: one map-side combined aggregate."""
-    if not part:
-        return df.count()
     row = df.groupBy(*part).count().agg(F.max("count")).first()
     return row[0] or 0
 
 
 def groups_fit(df: DataFrame, part: Sequence[str], largest: int | None) -> bool:
     """Does every group fit one task?  ``largest`` is a proven bound when the
-    caller has one; else the groups are counted."""
+    caller has one; else the groups are counted.  A whole table never counts as fitting."""
+    if not part:
+        return False
     size = largest_group(df, part) if largest is None else largest
     return size <= group_row_limit(df)
 
@@ -48,7 +48,7 @@ def _cols(names: Sequence[str]) -> list[Column]:
 def _window(part: Sequence[str], order: Sequence[Column]):
     if part:
         return Window.partitionBy(*part).orderBy(*order)
-    # An unpartitioned window is reached only after its row count was checked.
+    # Reached only for the one row that each slice has.
     return Window.partitionBy(F.lit(0)).orderBy(*order)
 
 
@@ -187,17 +187,48 @@ def hash_rank(
     )
     local = _window([*part, "_bucket"], [F.col(digest), F.col(tie)])
     return (
-        rows.join(offsets, [*part, "_bucket"])
+        join_groups(rows, offsets, [*part, "_bucket"])
         .withColumn(name, F.row_number().over(local) + F.col("_offset"))
         .drop("_bucket", "_offset")
     )
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys, in which null equals null; the keys come from ``left``.
+
+    Without keys ``right`` is the one row of an ungrouped aggregate.
+    """
+    if not keys:
+        return attach_row(left, right)
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]
+    return left.join(named, reduce(lambda a, b: a & b, same), how).drop(*[f"_r_{c}" for c in keys])
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of an ungrouped aggregate, which is one row by construction."""
     return df.join(F.broadcast(one_row), F.lit(True))
 
 
+# A hot key's rows meet its one row of facts in so many places at most.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join with ``facts``, one row for each ``key``, when a key may hold most rows.
+
+    Rows take a salt from all their columns; a fact is repeated for the salts that its
+    rows use, so a rare key costs one copy and a hot key is split over many tasks.
+    Null keys find nothing.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    used = salted.groupBy(key).agg(F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_used"))
+    copies = facts.join(used, key).withColumn("_salt", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("_used"), i) == 1
+    ))).drop("_used")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def keep_first(df: DataFrame, part: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each group by ascending ``order``.
 
@@ -222,7 +253,7 @@ def exact_quantiles(
     counts = durable(counts)
     ranked = running_sum(counts, part, [F.col(value)], F.col("_n"), "_upto")
     totals = counts.groupBy(*part).agg(F.sum("_n").alias("_total"))
-    joined = ranked.join(totals, list(part)) if part else attach_row(ranked, totals)
+    joined = join_groups(ranked, totals, list(part))
     start = F.col("_upto") - F.col("_n")
 
     def at(position: Column) -> Column:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from saltmarsh.functions import formula as fm
 from saltmarsh.functions import physics as ph
 from saltmarsh.functions import text as tx
 from saltmarsh.operators import composition as cp
-from saltmarsh.operators.ordering import row_rank
+from saltmarsh.operators.ordering import join_groups, row_rank
 from saltmarsh.operators.windows import group_weight, pairs_adjacent
 from saltmarsh.session import durable
 
@@ -54,13 +52,6 @@ LABELS = ("decrease", "unchanged", "increase")
 LABEL_CLASS = {"decrease": -1, "unchanged": 0, "increase": 1}
 THRESHOLD = 1e-4
 
-
-def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on group keys, in which null equals null; the keys come from ``left``."""
-    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]
-    return left.join(named, reduce(lambda a, b: a & b, same)).drop(*[f"_r_{c}" for c in keys])
-
 ROWS_PER_BLOCK = 1000
 
 

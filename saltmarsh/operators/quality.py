@@ -12,7 +12,7 @@ from saltmarsh.functions import formula as fm
 from saltmarsh.functions import physics as ph
 from saltmarsh.functions import text as tx
 from saltmarsh.operators import composition as cp
-from saltmarsh.operators.ordering import exact_quantiles, member_lists
+from saltmarsh.operators.ordering import exact_quantiles, join_groups, spread_join
 from saltmarsh.session import durable, small_table
 
 REASON = "removed_reason"
@@ -209,36 +209,30 @@ def reconcile(
 
 # --- audits ----------------------------------------------------------------
 
-MEMBERS_PER_LIST = 1000
-
-
 def valid_measurements(df: DataFrame) -> DataFrame:
     return df.filter((F.col("formula_error") == "") & (F.col("value") > 0))
 
 
-def dup_audit(df: DataFrame, rows_per_list: int = MEMBERS_PER_LIST) -> DataFrame:
-    """Formulas measured more than once: spread and the ordered members.
+def dup_audit(df: DataFrame) -> DataFrame:
+    """Formulas measured more than once, one row each: how often, and the spread.
 
-    Members come in lists of at most ``rows_per_list`` (``list_no`` 0, 1, ...).
+    Their members are rows of ``dup_members``, so no row grows with the data.
     """
-    valid = durable(valid_measurements(df).select(
-        "formula_key", "id", "log10_value", "conductivity_text", "doi_text"
-    ))
-    stats = valid.groupBy("formula_key").agg(
+    return _repeated(valid_measurements(df)).orderBy(F.desc("log10_span"), F.desc("row_count"), "formula_key")
+
+
+def _repeated(valid: DataFrame) -> DataFrame:
+    return valid.groupBy("formula_key").agg(
         F.count("*").alias("row_count"),
         F.min("log10_value").alias("log10_min"),
         F.max("log10_value").alias("log10_max"),
     ).filter("row_count > 1").withColumn("log10_span", F.col("log10_max") - F.col("log10_min"))
-    lists = member_lists(
-        valid,
-        ["formula_key"],
-        [F.col("id")],
-        {"ids": F.col("id"), "conductivities": F.col("conductivity_text"), "dois": F.col("doi_text")},
-        rows_per_list,
-    )
-    return stats.join(lists, "formula_key").orderBy(
-        F.desc("log10_span"), F.desc("row_count"), "formula_key", "list_no"
-    )
+
+
+def dup_members(df: DataFrame) -> DataFrame:
+    """The measurements of the formulas in ``dup_audit``, one row each."""
+    valid = valid_measurements(df).select("formula_key", "id", "conductivity_text", "doi_text")
+    return spread_join(valid, _repeated(valid_measurements(df)).select("formula_key"), "formula_key")
 
 
 def family_share(df: DataFrame, label: str = "family_norm") -> DataFrame:
@@ -268,7 +262,7 @@ def describe_split(df: DataFrame, split: str, value: str) -> DataFrame:
         F.max(value).alias("max_value"),
         F.avg(value).alias("mean_value"),
     )
-    return stats.join(exact_quantiles(df, [split], value, {"median_value": 0.5}), split, "left")
+    return join_groups(stats, exact_quantiles(df, [split], value, {"median_value": 0.5}), [split], "left")
 
 
 def melt(df: DataFrame, columns: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -317,4 +311,4 @@ def residual_summary(df: DataFrame, dataset: str, residual: str) -> DataFrame:
         F.avg((F.abs(r) <= 1).cast("double")).alias("within_1_fraction"),
     )
     points = {"q05": 0.05, "q25": 0.25, "median_residual": 0.5, "q75": 0.75, "q95": 0.95}
-    return stats.join(exact_quantiles(df, [dataset], residual, points), dataset)
+    return join_groups(stats, exact_quantiles(df, [dataset], residual, points), [dataset], "left")

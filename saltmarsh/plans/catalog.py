@@ -35,20 +35,38 @@ class Tables:
         """Measurements as text."""
         return views.measurements(self.spark, self.sf_dir)
 
+    @cached_property
+    def typed(self) -> DataFrame:
+        """Measurements with typed columns, parsed in the scan that reads them.
+
+        For queries that read them once: only the columns a query selects are
+        read and parsed, and nothing is written.
+        """
+        return ql.parse_measurements(self.m)
+
+    def narrow(self, *columns: str) -> DataFrame:
+        """A few typed columns, written once for a query that reads them several times."""
+        return durable(self.typed.select(*columns))
+
     @cached_property
     def mp(self) -> DataFrame:
-        """Measurements with typed columns, written once.
+        """All typed columns, written once, for flows that read most of them several times.
 
-        Otherwise every filter on a typed column would be pushed to the scan as
+        Otherwise every filter on a typed column would be pushed to each scan as
         a copy of the text patterns behind it.
         """
-        return durable(ql.parse_measurements(self.m))
+        return durable(self.typed)
 
     @cached_property
     def mf(self) -> DataFrame:
         """Typed measurements with their formula facts."""
         return ql.with_formula(self.mp)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """As ``mf``, for queries that read them once and without a filter on a typed column."""
+        return ql.with_formula(self.typed)
+
     @cached_property
     def e(self) -> DataFrame:
         return views.segments(self.spark, self.sf_dir)

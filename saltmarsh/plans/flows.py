@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +13,30 @@ from saltmarsh.operators import composition as cp
 from saltmarsh.operators import entity as en
 from saltmarsh.operators import evaluation as ev
 from saltmarsh.operators import mlprep as ml
+from saltmarsh.operators import models as md
 from saltmarsh.operators import pairing as pr
 from saltmarsh.operators import quality as ql
 from saltmarsh.operators import splits as sp
+from saltmarsh.operators import windows as wn
 from saltmarsh.session import durable
 
-Bundle = dict[str, DataFrame]
+class Bundle(Mapping):
+    """Named results of a flow; one given as a function is built when it is first asked for."""
+
+    def __init__(self, results: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        self._results = dict(results)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = self._results[name]
+        if not isinstance(found, DataFrame):
+            found = self._results[name] = found()
+        return found
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._results)
+
+    def __len__(self) -> int:
+        return len(self._results)
 
 
 def curate_single(df: DataFrame, span_limit: float = 0.5) -> Bundle:
@@ -28,11 +46,13 @@ def curate_single(df: DataFrame, span_limit: float = 0.5) -> Bundle:
         (F.col("formula_error") != "", F.concat(F.lit("unparseable formula: "), F.col("formula_error"))),
         (~F.coalesce(F.col("value") > 0, F.lit(False)), "missing or unparseable room-temperature conductivity"),
     ])
-    audit = ql.dup_audit(valid)
     kept, conflicts = en.span_exclude(valid, span_limit)
     columns = [*valid.columns]
     removed = rejected.select(*columns, ql.REASON).unionByName(conflicts.select(*columns, ql.REASON))
-    return {"kept": kept.select(*columns), "removed": removed, "audit": audit}
+    return Bundle({
+        "kept": kept.select(*columns), "removed": removed,
+        "audit": lambda: ql.dup_audit(valid), "audit_members": lambda: ql.dup_members(valid),
+    })
 
 
 def curate_sources(sources: Mapping[str, DataFrame], *, span_limit: float = 1.0, room_temperature_c: float = 25.0) -> Bundle:
@@ -56,13 +76,14 @@ def curate_sources(sources: Mapping[str, DataFrame], *, span_limit: float = 1.0,
         .unionByName(duplicates.select(*columns, ql.REASON))
         .unionByName(spans.select(*columns, ql.REASON))
     )
-    return {
+    return Bundle({
         "kept": labelled,
         "removed": removed,
-        "audit": en.component_audit(grouped, merged),
+        "audit": lambda: en.component_audit(grouped, merged),
+        "audit_members": lambda: en.component_members(grouped),
         "family_audit": family_audit,
-        "family_share": ql.family_share(labelled),
-    }
+        "family_share": lambda: ql.family_share(labelled),
+    })
 
 
 SOURCE_MARKERS = (("liverpool", "liverpool"), ("caltech", "caltech"), ("literature_additions", "literature"))
@@ -100,14 +121,15 @@ def model_clean(
     eligible = durable(eligible)
     preferred = en.formula_table(df.sparkSession, en.FORMULA_PREFERRED, "preferred_family")
     kept, lost = en.one_per_formula(eligible, preferred)
-    audit = en.formula_audit(eligible, kept)
     removed = rejected.select("id", "source", "formula_key", ql.REASON).unionByName(
         lost.select("id", "source", "formula_key", ql.REASON)
     )
-    return {
-        "kept": kept, "removed": removed, "formula_audit": audit, "quality_log": en.quality_log(audit),
-        "summary": ql.accounting(kept, removed),
-    }
+    out = Bundle({
+        "kept": kept, "removed": removed,
+        "formula_audit": lambda: en.formula_audit(eligible, kept), "formula_members": lambda: en.formula_members(eligible),
+        "quality_log": lambda: en.quality_log(out["formula_audit"]), "summary": lambda: ql.accounting(kept, removed),
+    })
+    return out
 
 
 def clean_raw(df: DataFrame, limit: float = 6.0, listed_ids: Sequence[str] = ()) -> Bundle:
@@ -117,7 +139,7 @@ def clean_raw(df: DataFrame, limit: float = 6.0, listed_ids: Sequence[str] = ())
     balanced, abnormal = ql.drop_charge_abnormal(kept, limit, listed_ids)
     columns = ["id", "source", "formula", ql.REASON]
     removed = organic.select(*columns).unionByName(abnormal.select(*columns))
-    return {"kept": balanced, "removed": removed, "summary": ql.accounting(balanced, removed)}
+    return Bundle({"kept": balanced, "removed": removed, "summary": lambda: ql.accounting(balanced, removed)})
 
 
 METADATA_COLUMNS = (
@@ -139,7 +161,7 @@ def feature_table(df: DataFrame, minimum: float | None = 1e-6) -> Bundle:
     table = durable(cp.descriptors(cp.compositions(kept)))
     featured = good.join(table, "formula")
     removed = low.select("id", ql.REASON).unionByName(failed.select("id", ql.REASON))
-    return {"kept": featured, "removed": removed}
+    return Bundle({"kept": featured, "removed": removed})
 
 
 def trend_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +187,7 @@ def train_trend_model(train: DataFrame, name: str = "random_forest"):
     """Swap-augmented, weighted three-class model on the pair columns of the pairs that have them."""
     filled = pr.usable_pairs(train).withColumn("label_index", ml.label_index(F.col("trend_label")))
     rows = pr.augment(filled).withColumn("label_index", ml.label_index(F.col("trend_label")))
-    return ml.fit(rows, pr.MODEL_FEATURES, ml.classifiers("label_index", "training_weight")[name])
+    return ml.fit(rows, pr.MODEL_FEATURES, md.classifiers("label_index", "training_weight")[name])
 
 
 def trend_report(table: DataFrame, model, threshold: float = pr.THRESHOLD) -> Bundle:
@@ -177,7 +199,85 @@ def trend_report(table: DataFrame, model, threshold: float = pr.THRESHOLD) -> Bu
     if pr.REJECT in table.columns:
         left = pr.rejected_pairs(table).select(*keep, "trend_label", pr.REJECT)
         predictions = predictions.withColumn(pr.REJECT, F.lit("")).unionByName(left, allowMissingColumns=True)
-    return {"predictions": predictions, "metrics": metrics.withColumn("threshold", F.lit(threshold))}
+    return Bundle({"predictions": predictions, "metrics": metrics.withColumn("threshold", F.lit(threshold))})
+
+
+def segment_rows(lines: DataFrame, part: Sequence[str], order: Sequence[str], families: DataFrame) -> DataFrame:
+    """Measured rows of segmented files with their family: by row id, else by line, else ``unknown``.
+
+    A row id whose annotation (``row_id``, ``line_id``, ``row_formula``, ``family``) names
+    another formula fails the job.
+    """
+    rows = wn.read_segments(lines, part, [F.col(c) for c in order])
+    return en.lookup(rows, families, "row_id", "line_id", "family", same="row_formula")
+
+
+def segment_trend_pairs(
+    rows: DataFrame, part: Sequence[str], order: Sequence[str], threshold: float = pr.THRESHOLD, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Neighbouring rows of each segment as labelled pairs of host formulas.
+
+    Numbered in file order; ``family`` is ``mixed`` where the two differ, and
+    ``additive_omitted`` tells that a formula was cut to its host.
+    """
+    part, order = list(part), list(order)
+    cols = ["row_id", "line_id", "row_formula", "row_value", *keep]
+    slim = rows.select(*part, "segment_no", "segment_label", *[c for c in order if c not in cols], *cols, "family")
+    pairs = pr.segment_pairs(slim, [*part, "segment_no"], [F.col(c) for c in order], cols, "family")
+    formula = {s: F.col(f"row_formula_{s}") for s in "ab"}
+    delta = F.col("row_value_b") - F.col("row_value_a")
+    # The pairs are numbered by narrow rows; written, since ids must not change when a task is repeated.
+    named = pairs.select(
+        *part, "segment_no", F.concat_ws(":", *part, "segment_no", "segment_label").alias("group_id"),
+        *[F.col(f"{c}_{s}") for c in ("row_id", "line_id", *keep) for s in "ab"],
+        *[tx.host_formula(formula[s]).alias(f"formula_{s}") for s in "ab"],
+        (tx.has_additive(formula["a"]) | tx.has_additive(formula["b"])).alias("additive_omitted"),
+        F.col("row_value_a").alias("value_a"), F.col("row_value_b").alias("value_b"), "family",
+        ph.trend_label(delta, threshold).alias("trend_label"),
+    )
+    place = [F.col(c) for c in (*part, "segment_no", "line_id_a")]
+    return durable(wn.surrogate(named, place, "exp_pair_%04d", "pair_id"))
+
+
+def trend_features(pairs: DataFrame) -> DataFrame:
+    """Pairs with the model columns of both formulas, or the reason why there are none."""
+    described = pr.formula_descriptors(pr.pair_formulas(pairs))
+    weighted = wn.group_weight(pairs, "group_id", "pair_weight_group_equal")
+    return pr.pair_features(pr.enrich_pairs(weighted, described))
+
+
+def trend_report_of_segments(
+    lines: DataFrame, part: Sequence[str], order: Sequence[str], families: DataFrame, model, threshold: float = pr.THRESHOLD
+) -> Bundle:
+    """Report on segmented files: rows, families, neighbouring pairs, features, symmetric scores, labels, metrics."""
+    pairs = segment_trend_pairs(segment_rows(lines, part, order, families), part, order, threshold)
+    table = durable(trend_features(pairs).withColumn("doi", F.col("group_id")))
+    report = trend_report(table, model, threshold)
+    return Bundle({"pairs": pairs, "predictions": report["predictions"], "metrics": report["metrics"]})
+
+
+def reconciled_pairs(
+    lines: DataFrame, summary: DataFrame, part: Sequence[str], order: Sequence[str], dataset: Column,
+    threshold: float = pr.THRESHOLD,
+) -> Bundle:
+    """Pairs of grouped files whose rows agree with a flat summary (``row_id``, ``row_formula``, ``row_value``, ``family``, ``method``).
+
+    Both sides must have the same ids, formulas and values (``reconciliation`` has a row for
+    each id); any difference fails the job when ``pairs`` is built.
+    """
+    order = list(order)
+    read = wn.read_segments(lines, part, [F.col(c) for c in order])
+    checked = durable(ql.reconcile(read, summary, "row_id", "row_formula", "row_value"))
+
+    def pairs() -> DataFrame:
+        wrong = checked.filter("status != 'same'").limit(10).collect()
+        if wrong:
+            raise ValueError(f"files and summary differ: {[(r['row_id'], r['status']) for r in wrong]}")
+        facts = summary.select("row_id", "family", "method")
+        rows = read.join(facts, "row_id").withColumn("dataset", dataset)
+        return segment_trend_pairs(rows, [*part, "dataset"], order, threshold, ["method"])
+
+    return Bundle({"reconciliation": checked, "pairs": pairs})
 
 
 def split_pairs(table: DataFrame, fraction: float = 0.1) -> DataFrame:
@@ -186,25 +286,33 @@ def split_pairs(table: DataFrame, fraction: float = 0.1) -> DataFrame:
     return sp.assignments(table, groups, "doi")
 
 
+def pair_scopes(high: float = 1e-3) -> dict[str, Column]:
+    """Overlapping sets of audited pairs that metrics are told for."""
+    return {
+        "overall": F.lit(True),
+        f"max_sigma_ge_{high:g}": F.greatest("value_a", "value_b") >= high,
+        f"both_sigma_ge_{high:g}": F.least("value_a", "value_b") >= high,
+        "both_endpoints_unseen_in_training": ~F.col("either_seen"),
+    }
+
+
 def experimental_comparison(table: DataFrame, train: DataFrame, models: Mapping[str, object], high: float = 1e-3) -> Bundle:
     """Several models on the same pairs: wide predictions and scoped metrics.
 
     Pairs without features have no prediction; the metrics name their number.
     """
     rejected = pr.rejected_pairs(table)
-    audited = ev.overlap_audit(pr.usable_pairs(table), train, "formula_a", "formula_b")
-    scopes: dict[str, Column] = {
-        "overall": F.lit(True),
-        f"max_sigma_ge_{high:g}": F.greatest("value_a", "value_b") >= high,
-        f"both_sigma_ge_{high:g}": F.least("value_a", "value_b") >= high,
-        "both_endpoints_unseen_in_training": ~F.col("either_seen"),
-    }
+    audited = durable(ev.overlap_audit(pr.usable_pairs(table), train, "formula_a", "formula_b"))
+    scopes = pair_scopes(high)
     scored = {name: ml.score_pairs(model, audited) for name, model in models.items()}
     stacked = None
     for name, frame in scored.items():
         tagged = frame.withColumn("model", F.lit(name))
         stacked = tagged if stacked is None else stacked.unionByName(tagged)
-    scoped = ev.with_scopes(stacked, scopes, F.concat(F.lit("family_"), F.col("family")))
+    labels = [F.concat(F.lit("family_"), F.col("family"))]
+    if "dataset" in table.columns:
+        labels.append(F.concat(F.lit("dataset_"), F.col("dataset")))
+    scoped = ev.with_scopes(stacked, scopes, *labels)
     metrics = ev.aggregate_metrics(scoped, ["model", "scope"], "trend_label", "predicted_label")
     wide = ev.wide_predictions(
         scored, "pair_id", ["trend_label"], ["predicted_label", *[f"probability_{v}" for v in pr.LABELS]]
@@ -213,8 +321,5 @@ def experimental_comparison(table: DataFrame, train: DataFrame, models: Mapping[
         wide = wide.withColumn(pr.REJECT, F.lit("")).unionByName(
             rejected.select("pair_id", "trend_label", pr.REJECT), allowMissingColumns=True
         )
-    return {"metrics": metrics.withColumn("rejected_pairs", F.lit(rejected.count())), "wide": wide}
-
-
-def log_target(value: Column) -> Column:
-    return ph.safe_log10(value)
+    left = rejected.agg(F.count("*").alias("rejected_pairs"))  # one row
+    return Bundle({"metrics": metrics.join(F.broadcast(left), F.lit(True)), "wide": wide, "audited": audited})

@@ -24,22 +24,26 @@ def valid(t):
     return ql.valid_measurements(t.mf)
 
 
-def lists(key: str, source: str, fields: dict[str, str], order: str = "id", size: int = 1000) -> str:
-    """Member lists of bounded length, as SQL."""
-    joined = ", ".join(f"string_agg({e}, '|' ORDER BY {order}) AS {n}" for n, e in fields.items())
-    return f"""SELECT {key}, list_no, {joined} FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1) / {size}) AS BIGINT) AS list_no
-        FROM {source}) GROUP BY {key}, list_no"""
+def members(key: str, source: str, columns: str) -> str:
+    """Rows of the groups that have more than one, as SQL."""
+    return f"SELECT {key}, {columns} FROM {source} WHERE {key} IN (SELECT {key} FROM {source} GROUP BY {key} HAVING count(*) > 1)"
 
 
 # --- aggregates -----------------------------------------------------------------------
 
 
-@query("a01_dup_audit", f"""SELECT * FROM (SELECT formula_key, count(*) AS row_count, min(log10_value) AS log10_min, max(log10_value) AS log10_max,
-    max(log10_value) - min(log10_value) AS log10_span FROM valid GROUP BY formula_key HAVING count(*) > 1)
-    JOIN ({lists('formula_key', 'valid', {'ids': 'id', 'conductivities': 'conductivity_text', 'dois': 'doi_text'})}) USING (formula_key)""",
-    "log10_min log10_max log10_span")
+DUP_SQL = """SELECT formula_key, count(*) AS row_count, min(log10_value) AS log10_min, max(log10_value) AS log10_max,
+    max(log10_value) - min(log10_value) AS log10_span FROM valid GROUP BY formula_key HAVING count(*) > 1"""
+
+
+@query("a01_dup_audit", DUP_SQL, "log10_min log10_max log10_span")
 def a01(t):
-    return ql.dup_audit(t.mf)
+    return ql.dup_audit(t.facts)
+
+
+@query("a01_dup_members", members("formula_key", "valid", "id, conductivity_text, doi_text"))
+def a01m(t):
+    return ql.dup_members(t.mf)
 
 
 CTES["cand"] = f"""SELECT CASE source WHEN 'v1' THEN id WHEN 'literature' THEN id WHEN 'caltech' THEN 'caltech_icsd_' || id
@@ -99,17 +103,25 @@ def grouped(t):
     return durable(en.components(filled(t)))
 
 
-@query("a02_component_audit", f"""SELECT * FROM (SELECT component, count(*) AS candidate_rows, min(log10_value) AS log10_min, max(log10_value) AS log10_max,
+COMPONENT_SQL = """SELECT * FROM (SELECT component, count(*) AS candidate_rows, min(log10_value) AS log10_min, max(log10_value) AS log10_max,
         max(log10_value) - min(log10_value) AS log10_span, count(*) - 1 AS dropped_rows FROM ccomp GROUP BY component HAVING count(*) > 1)
     JOIN (SELECT component, formula_key, id AS kept_id, source AS kept_source, value AS kept_value FROM ckept) USING (component)
-    JOIN (SELECT component, count(DISTINCT token) AS token_count FROM (SELECT component, unnest(doi_tokens) AS token FROM ccomp) GROUP BY component) USING (component)
-    JOIN ({lists('component', 'ccomp', {'ids': 'id', 'sources': 'source'})}) USING (component)""", "log10_min log10_max log10_span kept_value")
+    JOIN (SELECT component, count(DISTINCT token) AS token_count FROM (SELECT component, unnest(doi_tokens) AS token FROM ccomp) GROUP BY component) USING (component)"""
+COMPONENT_DOUBLES = "log10_min log10_max log10_span kept_value"
+
+
+@query("a02_component_audit", COMPONENT_SQL, COMPONENT_DOUBLES)
 def a02(t):
     rows = grouped(t)
     kept, _ = en.pick_representative(rows)
     return en.component_audit(rows, kept)
 
 
+@query("a02_component_members", members("component", "ccomp", "id, source"))
+def a02m(t):
+    return en.component_members(grouped(t))
+
+
 CTES["mclean"] = f"""SELECT mf.* REPLACE (CASE formula_key WHEN 'Cl4LiNbO' THEN 'oxyhalides' WHEN 'Cl4LiOTa' THEN 'oxyhalides' ELSE family_norm END AS family_norm),
         CASE WHEN lower(checked) IN ('1','true','yes') THEN 0 ELSE 1 END AS checked_rank,
         CASE source WHEN 'v1' THEN 0 WHEN 'literature' THEN 1 WHEN 'liverpool' THEN 2 ELSE 3 END AS source_rank, source_row AS row_order,
@@ -121,12 +133,11 @@ CTES["mreason"] = """SELECT *, CASE WHEN coalesce(value <= 0, TRUE) THEN 'invali
     FROM mclean WHERE formula_key IS NOT NULL"""
 CTES["melig"] = "SELECT * FROM mreason WHERE reason IS NULL"
 CTES["mrank"] = """SELECT *, row_number() OVER (PARTITION BY formula_key ORDER BY CASE WHEN family_norm = preferred THEN 0 ELSE 1 END, value DESC, checked_rank, source_rank, row_order, id) AS rn FROM melig"""
-AUDIT_SQL = f"""SELECT * FROM (SELECT formula_key, count(*) AS candidate_rows, count(DISTINCT value) AS distinct_values, min(log10_value) AS log10_min, max(log10_value) AS log10_max,
+AUDIT_SQL = """SELECT * FROM (SELECT formula_key, count(*) AS candidate_rows, count(DISTINCT value) AS distinct_values, min(log10_value) AS log10_min, max(log10_value) AS log10_max,
         max(log10_value) - min(log10_value) AS log10_span, quantile_cont(log10_value, 0.5) AS median_log10, count(*) - 1 AS dropped_rows,
         string_agg(DISTINCT family_norm, '|' ORDER BY family_norm) AS families FROM melig GROUP BY formula_key HAVING count(*) > 1)
     JOIN (SELECT formula_key, coalesce(preferred, '') AS preferred_family, id AS kept_id, value AS kept_value, source AS kept_source, family_norm AS kept_family,
-        CASE WHEN preferred IS NOT NULL THEN 'highest reported conductivity within ' || preferred ELSE 'highest reported conductivity' END AS selection_rule FROM mrank WHERE rn = 1) USING (formula_key)
-    JOIN ({lists('formula_key', 'melig', {'ids': 'id', 'conductivities': 'conductivity_text', 'dois': 'doi', 'sources': 'source'})}) USING (formula_key)"""
+        CASE WHEN preferred IS NOT NULL THEN 'highest reported conductivity within ' || preferred ELSE 'highest reported conductivity' END AS selection_rule FROM mrank WHERE rn = 1) USING (formula_key)"""
 
 
 def model_input(t):
@@ -140,9 +151,14 @@ def a03(t):
     return flows.model_clean(model_input(t))["formula_audit"]
 
 
+@query("a03_formula_members", members("formula_key", "melig", "id, conductivity_text, doi, source"))
+def a03m(t):
+    return flows.model_clean(model_input(t))["formula_members"]
+
+
 @query("a04_family_share", "SELECT family_norm, count(*) AS row_count, count(*) / (SELECT count(*) FROM mp) AS fraction FROM mp GROUP BY family_norm", "fraction")
 def a04(t):
-    return ql.family_share(t.mp)
+    return ql.family_share(t.typed)
 
 
 @query("a05_label_sets", """SELECT 'formula' AS kind, formula_key AS key, string_agg(DISTINCT family_norm, '|' ORDER BY family_norm) AS labels FROM valid WHERE family_norm <> 'unknown' GROUP BY formula_key
@@ -158,13 +174,13 @@ def a05(t):
 @query("a06_crosstab", """SELECT doi, count(*) FILTER (WHERE method = 'ball_milling') AS ball_milling, count(*) FILTER (WHERE method = 'solid_state') AS solid_state,
     count(*) FILTER (WHERE method = 'solution') AS solution FROM mp GROUP BY doi""")
 def a06(t):
-    return ql.crosstab(t.mp, "doi", "method", ["ball_milling", "solid_state", "solution"])
+    return ql.crosstab(t.typed, "doi", "method", ["ball_milling", "solid_state", "solution"])
 
 
 @query("a07_describe_split", """SELECT method AS split, count(*) AS row_count, min(log10_value) AS min_value, max(log10_value) AS max_value, avg(log10_value) AS mean_value,
     quantile_cont(log10_value, 0.5) AS median_value FROM mp GROUP BY method""", "min_value max_value mean_value median_value")
 def a07(t):
-    return ql.describe_split(t.mp.withColumnRenamed("method", "split"), "split", "log10_value")
+    return ql.describe_split(t.narrow("method", "log10_value").withColumnRenamed("method", "split"), "split", "log10_value")
 
 
 IQR_COLUMNS = ["value", "log10_value", "temperature_c"]
@@ -180,7 +196,7 @@ IQR_SQL = " UNION ALL ".join(
 
 @query("a08_iqr_audit", IQR_SQL, "missing_ratio min_value q1 median q3 max_value iqr lower_fence upper_fence outlier_ratio")
 def a08(t):
-    return ql.iqr_audit(t.mp, IQR_COLUMNS)
+    return ql.iqr_audit(t.narrow(*IQR_COLUMNS), IQR_COLUMNS)
 
 
 CTES["pred"] = """SELECT id, formula_key, doi, family_norm, method, source_row, suppkey, log10_value AS y_true, log10_value + (suppkey % 21 - 10) / 10.0::DOUBLE AS y_pred FROM valid"""
@@ -199,7 +215,7 @@ def predictions(t):
     FROM (SELECT method, round(y_true - y_pred, 6) AS r FROM pred) GROUP BY method""",
     "mean_residual std_residual mae rmse negative_fraction within_1_fraction q05 q25 median_residual q75 q95")
 def a09(t):
-    rows = predictions(t).withColumn("r", F.round(c("y_true") - c("y_pred"), 6))
+    rows = predictions(t).select("method", F.round(c("y_true") - c("y_pred"), 6).alias("r"))
     return ql.residual_summary(rows, "method", "r")
 
 
@@ -319,7 +335,7 @@ def d03(t):
 @query("d04_span_exclude", """SELECT id, CASE WHEN n > 1 AND span > 2.8 THEN 'excluded' ELSE 'kept' END AS outcome, span FROM (
     SELECT id, count(*) OVER w AS n, max(log10_value) OVER w - min(log10_value) OVER w AS span FROM valid WINDOW w AS (PARTITION BY formula_key, doi))""", "span")
 def d04(t):
-    rows = durable(valid(t).withColumn("formula_key", F.concat_ws("|", "formula_key", "doi")))
+    rows = durable(valid(t).select("id", "log10_value", F.concat_ws("|", "formula_key", "doi").alias("formula_key")))
     kept, removed = en.span_exclude(rows, 2.8)
     a = kept.select("id", F.lit("kept").alias("outcome"), c("log10_span").alias("span"))
     return a.unionByName(removed.select("id", F.lit("excluded").alias("outcome"), c("log10_span").alias("span")))
@@ -409,19 +425,29 @@ def d10(t):
     ))
 
 
+@query("d09_audit", DUP_SQL, "log10_min log10_max log10_span")
+def d09a(t):
+    return flows.curate_single(t.m)["audit"]
+
+
+@query("d10_audit", COMPONENT_SQL, COMPONENT_DOUBLES)
+def d10a(t):
+    return flows.curate_sources(views.source_tables(t.m))["audit"]
+
+
 @query("d11_model_clean", """SELECT id, CASE WHEN reason IS NOT NULL THEN reason WHEN rn > 1 THEN 'same formula representative selection; kept ' || first_value(id) OVER (PARTITION BY formula_key ORDER BY rn NULLS LAST) || ' with highest reported conductivity' ELSE 'kept' END AS outcome
-    FROM mreason LEFT JOIN (SELECT id, rn FROM mrank) USING (id)""")
+    FROM mreason LEFT JOIN (SELECT id, rn FROM mrank) USING (id)
+    UNION ALL SELECT id, 'unparseable formula: ' || coalesce(formula_error, '') FROM mclean WHERE formula_key IS NULL""")
 def d11(t):
     out = flows.model_clean(model_input(t))
     return out["kept"].select("id", F.lit("kept").alias("outcome")).unionByName(
-        # The SQL has no unreadable rows; the flow lists them with their reason.
-        out["removed"].filter("formula_key IS NOT NULL").select("id", c(ql.REASON).alias("outcome"))
+        out["removed"].select("id", c(ql.REASON).alias("outcome"))
     )
 
 
-@query("f11_quality_log", f"""WITH q AS ({AUDIT_SQL}) SELECT 'same_formula_multiple_records' AS issue_type, 'resolved' AS severity, formula_key, candidate_rows || ' records; log10 span=' || printf('%.3f', log10_span) || '; kept ' || kept_id AS details FROM q WHERE list_no = 0
+@query("f11_quality_log", f"""WITH q AS ({AUDIT_SQL}) SELECT 'same_formula_multiple_records' AS issue_type, 'resolved' AS severity, formula_key, candidate_rows || ' records; log10 span=' || printf('%.3f', log10_span) || '; kept ' || kept_id AS details FROM q
     UNION ALL SELECT 'conflicting_normalized_family', CASE WHEN preferred_family <> '' THEN 'resolved_by_preferred_family' ELSE 'manual_review' END, formula_key,
-        families || CASE WHEN preferred_family <> '' THEN '; selected_family=' || preferred_family ELSE '' END FROM q WHERE list_no = 0 AND contains(families, '|')""")
+        families || CASE WHEN preferred_family <> '' THEN '; selected_family=' || preferred_family ELSE '' END FROM q WHERE contains(families, '|')""")
 def f11(t):
     return flows.model_clean(model_input(t))["quality_log"]
 
@@ -431,7 +457,7 @@ def f11(t):
 
 @query("w01_keep_first", "SELECT formula, id, value FROM (SELECT *, row_number() OVER (PARTITION BY formula ORDER BY coalesce(-value, 1.0), source_row, id) AS rn FROM mp) WHERE rn = 1", "value")
 def w01(t):
-    rows = t.mp.select("formula", "id", "value", "source_row")
+    rows = t.typed.select("formula", "id", "value", "source_row")
     return wn.keep_first(rows, ["formula"], [F.coalesce(-c("value"), F.lit(1.0)), c("source_row"), c("id")]).drop("source_row")
 
 
@@ -471,13 +497,13 @@ def w04(t):
 
 @query("w05_group_weight", "SELECT id, 1.0::DOUBLE / count(*) OVER (PARTITION BY doi) AS weight FROM mp", "weight")
 def w05(t):
-    return wn.group_weight(t.mp.select("id", "doi"), "doi").select("id", "weight")
+    return wn.group_weight(t.narrow("id", "doi"), "doi").select("id", "weight")
 
 
 @query("w06_running_best", """SELECT id, min(value) OVER w AS lowest, max(value) OVER w AS highest FROM mp WINDOW w AS (PARTITION BY method, family_norm ORDER BY source_row, id ROWS UNBOUNDED PRECEDING)""", "lowest highest")
 def w06(t):
     part = ["method", "family_norm"]
-    low = wn.running_best(t.mp.select("id", "value", "source_row", *part), part, by_row(), "value", "min")
+    low = wn.running_best(t.narrow("id", "value", "source_row", *part), part, by_row(), "value", "min")
     both = wn.running_best(low.withColumnRenamed("best_value", "lowest"), part, by_row(), "value", "max")
     return both.select("id", "lowest", c("best_value").alias("highest"))
 

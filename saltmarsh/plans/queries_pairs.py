@@ -68,7 +68,21 @@ def feature_sql(a: str = "ta", b: str = "tb") -> str:
 
 
 FEATURES = " ".join(plain(n) for n in pr.MODEL_FEATURES)
-JOINED = "p JOIN tdok ta ON ta.formula = p.formula_a JOIN tdok tb ON tb.formula = p.formula_b JOIN l1 ON l1.formula_a = p.formula_a AND l1.formula_b = p.formula_b"
+# Every pair stays; a side without descriptors is null and named in the reason.
+CTES["tdwhy"] = "SELECT formula, coalesce(" + ", ".join(
+    f"CASE WHEN {n if n in cp.TREND_LOGS else 'x_' + n} IS NULL THEN '{n} undefined' END" for n in cp.TREND_NAMES if n not in cp.TREND_OPTIONAL
+) + ", '') AS why FROM td"
+JOINED = """p LEFT JOIN tdok ta ON ta.formula = p.formula_a LEFT JOIN tdok tb ON tb.formula = p.formula_b
+    LEFT JOIN l1 ON l1.formula_a = p.formula_a AND l1.formula_b = p.formula_b AND ta.formula IS NOT NULL AND tb.formula IS NOT NULL
+    LEFT JOIN tdwhy wa ON wa.formula = p.formula_a LEFT JOIN tdwhy wb ON wb.formula = p.formula_b"""
+
+
+def _told(s: str) -> str:
+    why = f"coalesce(w{s}.why, 'unreadable formula')"
+    return f"CASE WHEN {why} <> '' THEN coalesce(p.formula_{s}, 'missing formula') || ': ' || {why} END"
+
+
+REASON = f"array_to_string(list_filter([{_told('a')}, nullif({_told('b')}, {_told('a')})], lambda r: r IS NOT NULL), '; ') AS {pr.REJECT}"
 LABEL = "CASE WHEN {d} > {t} THEN 'increase' WHEN {d} < -{t} THEN 'decrease' ELSE 'unchanged' END"
 CLASS = "CASE WHEN {d} > {t} THEN 1 WHEN {d} < -{t} THEN -1 ELSE 0 END"
 
@@ -83,11 +97,6 @@ def pairs(t):
     return durable(flows.trend_pairs(rows))
 
 
-def described(df):
-    """The pairs the SQL has: both formulas with descriptors. The operators return the others with their reason."""
-    return pr.usable_pairs(df).drop(pr.REJECT)
-
-
 def table(t):
     return durable(pr.pair_table(pairs(t)))
 
@@ -108,12 +117,13 @@ def j06(t):
     return cp.assign_oxidation(t.parsed).select("formula", "residual_charge")
 
 
-@query("j08_enrich_pairs", f"SELECT p.pair_id, ta.x_chi_all AS chi_a, tb.x_chi_all AS chi_b, ta.x_r_all_pm AS r_a, tb.x_r_all_pm AS r_b FROM pairs_sql {JOINED}", "chi_a chi_b r_a r_b")
+@query("j08_enrich_pairs", f"SELECT p.pair_id, ta.x_chi_all AS chi_a, tb.x_chi_all AS chi_b, ta.x_r_all_pm AS r_a, tb.x_r_all_pm AS r_b, {REASON} FROM pairs_sql {JOINED}", "chi_a chi_b r_a r_b")
 def j08(t):
     rows = pairs(t)
     joined = pr.enrich_pairs(rows, pr.formula_descriptors(pr.pair_formulas(rows)))
-    return described(joined).select(
-        "pair_id", c("da.chi_all").alias("chi_a"), c("db.chi_all").alias("chi_b"), c("da.r_all_pm").alias("r_a"), c("db.r_all_pm").alias("r_b")
+    return joined.select(
+        "pair_id", c("da.chi_all").alias("chi_a"), c("db.chi_all").alias("chi_b"), c("da.r_all_pm").alias("r_a"), c("db.r_all_pm").alias("r_b"),
+        pr.REJECT,
     )
 
 
@@ -138,11 +148,11 @@ def p03(t):
     return out.select("file", "line_id_a", ph.trend_label(c("value_b") - c("value_a"), 10.0).alias("label"))
 
 
-@query("p04_pair_features", f"SELECT p.pair_id, {feature_sql()} FROM pairs_sql {JOINED}", FEATURES)
+@query("p04_pair_features", f"SELECT p.pair_id, {REASON}, {feature_sql()} FROM pairs_sql {JOINED}", FEATURES)
 def p04(t):
     rows = pairs(t).select("pair_id", "formula_a", "formula_b")
     out = pr.pair_features(pr.enrich_pairs(rows, pr.formula_descriptors(pr.pair_formulas(rows))))
-    return renamed(described(out).select("pair_id", *pr.MODEL_FEATURES))
+    return renamed(out.select("pair_id", pr.REJECT, *pr.MODEL_FEATURES))
 
 
 @query("p05_l1_distance", "SELECT formula_a, formula_b, dist FROM l1", "dist")
@@ -158,16 +168,16 @@ DELTA = "(p.value_b - p.value_a)"
 
 
 @query("p06_pair_table", f"""SELECT p.pair_id, p.group_id, abs({DELTA}) AS absolute_change, 1e-4::DOUBLE AS absolute_threshold, log10(p.value_b / p.value_a) AS log10_ratio_b_over_a,
-    {LABEL.format(d=DELTA, t='1e-4::DOUBLE')} AS trend_label, {CLASS.format(d=DELTA, t='1e-4::DOUBLE')} AS trend_class, 1.0::DOUBLE / w.n AS pair_weight_group_equal, {feature_sql()}
+    {LABEL.format(d=DELTA, t='1e-4::DOUBLE')} AS trend_label, {CLASS.format(d=DELTA, t='1e-4::DOUBLE')} AS trend_class, 1.0::DOUBLE / w.n AS pair_weight_group_equal, {REASON}, {feature_sql()}
     FROM pairs_sql {JOINED} JOIN (SELECT group_id, count(*) AS n FROM pairs_sql GROUP BY group_id) w ON w.group_id = p.group_id""",
     f"absolute_change absolute_threshold log10_ratio_b_over_a pair_weight_group_equal {FEATURES}")
 def p06(t):
     out = pr.pair_table(pairs(t))
     keep = ["pair_id", "group_id", "absolute_change", "absolute_threshold", "log10_ratio_b_over_a", "trend_label", "trend_class", "pair_weight_group_equal"]
-    return renamed(described(out).select(*keep, *pr.MODEL_FEATURES))
+    return renamed(out.select(*keep, pr.REJECT, *pr.MODEL_FEATURES))
 
 
-@query("p07_pair_table_full", f"""SELECT p.pair_id, p.group_id, p.id_a, p.id_b, p.formula_a, p.formula_b, p.doi, p.family, p.family AS family_normalized, 1.0::DOUBLE / w.n AS pair_weight_group_equal,
+@query("p07_pair_table_full", f"""SELECT p.pair_id, p.group_id, p.id_a, p.id_b, p.formula_a, p.formula_b, p.doi, p.family, p.family AS family_normalized, 1.0::DOUBLE / w.n AS pair_weight_group_equal, {REASON},
     {LABEL.format(d=DELTA, t='1e-4::DOUBLE')} AS trend_label, {CLASS.format(d=DELTA, t='1e-4::DOUBLE')} AS trend_class, p.value_a AS "conductivity_a_S_cm-1", p.value_b AS "conductivity_b_S_cm-1",
     p.conductivity_text_a AS conductivity_value_text_a, {feature_sql()} FROM pairs_sql {JOINED} JOIN (SELECT group_id, count(*) AS n FROM pairs_sql GROUP BY group_id) w ON w.group_id = p.group_id""",
     f"pair_weight_group_equal {FEATURES}")
@@ -176,23 +186,23 @@ def p07(t):
         "value_a": "conductivity_a_S_cm-1", "value_b": "conductivity_b_S_cm-1", "conductivity_text_a": "conductivity_value_text_a",
     })
     # The two measured values are compared as written, so they stay text here.
-    out = renamed(described(pr.pair_table_full(rows)))
-    return out
+    return renamed(pr.pair_table_full(rows))
 
 
 @query("p08_inference_pairs", f"""WITH np AS (SELECT DISTINCT a.formula AS formula_a, b.formula AS formula_b, a.family AS raw_family FROM pf a JOIN pf b ON b.p_partkey = a.p_partkey + 1)
-    SELECT p.formula_a, p.formula_b, trim(p.raw_family) AS family, {orc.normalize_label('p.raw_family')} AS family_normalized, TRUE AS assumed_same_preparation, {feature_sql()}
-    FROM np p JOIN tdok ta ON ta.formula = p.formula_a JOIN tdok tb ON tb.formula = p.formula_b JOIN (
+    SELECT p.formula_a, p.formula_b, trim(p.raw_family) AS family, {orc.normalize_label('p.raw_family')} AS family_normalized, TRUE AS assumed_same_preparation, {REASON}, {feature_sql()}
+    FROM np p LEFT JOIN tdok ta ON ta.formula = p.formula_a LEFT JOIN tdok tb ON tb.formula = p.formula_b
+    LEFT JOIN tdwhy wa ON wa.formula = p.formula_a LEFT JOIN tdwhy wb ON wb.formula = p.formula_b LEFT JOIN (
         SELECT formula_a, formula_b, sum(abs(coalesce(fb, 0) - coalesce(fa, 0))) AS dist FROM (SELECT q.formula_a, q.formula_b, u.element, max(u.f) FILTER (WHERE u.formula = q.formula_a) AS fa, max(u.f) FILTER (WHERE u.formula = q.formula_b) AS fb
             FROM (SELECT DISTINCT formula_a, formula_b FROM np) q JOIN (SELECT formula, element, amount / sum(amount) OVER (PARTITION BY formula) AS f FROM comp) u ON u.formula IN (q.formula_a, q.formula_b) GROUP BY ALL) GROUP BY formula_a, formula_b) l1
-        ON l1.formula_a = p.formula_a AND l1.formula_b = p.formula_b""", FEATURES)
+        ON l1.formula_a = p.formula_a AND l1.formula_b = p.formula_b AND ta.formula IS NOT NULL AND tb.formula IS NOT NULL""", FEATURES)
 def p08(t):
     parts = t.table("part").selectExpr("p_partkey", "p_size", "p_type").selectExpr(
         "p_partkey", f"{MEASUREMENT_EXPRESSIONS['formula']} AS formula", f"{MEASUREMENT_EXPRESSIONS['family']} AS family"
     )
     nxt = parts.select((c("p_partkey") - 1).alias("p_partkey"), c("formula").alias("formula_b"))
     rows = parts.withColumnRenamed("formula", "formula_a").join(nxt, "p_partkey").select("formula_a", "formula_b", "family").distinct()
-    return renamed(described(pr.inference_pairs(rows)))
+    return renamed(pr.inference_pairs(rows))
 
 
 SOME = ["delta_entropy_c_l", "delta_chi_all", "mean_r_all_pm", "abs_delta_field_x_r_diff", "a_chi_all", "b_chi_all", "composition_L1_distance"]
@@ -203,17 +213,17 @@ FORWARD_SQL = """p.pair_id, {label} AS trend_label, tb.x_entropy_c_l - ta.x_entr
     abs(tb.x_field_x_r_diff - ta.x_field_x_r_diff) AS abs_delta_field_x_r_diff, ta.x_chi_all AS a_chi_all, tb.x_chi_all AS b_chi_all, l1.dist AS composition_l1_distance""".format(label=LABEL.format(d=DELTA, t="1e-4::DOUBLE"))
 
 
-@query("p09_reverse_pairs", f"SELECT {REVERSED_SQL} FROM pairs_sql {JOINED}", " ".join(plain(n) for n in SOME))
+@query("p09_reverse_pairs", f"SELECT {REVERSED_SQL}, {REASON} FROM pairs_sql {JOINED}", " ".join(plain(n) for n in SOME))
 def p09(t):
-    return renamed(pr.reverse_pairs(described(pr.pair_table(pairs(t)))).select("pair_id", "trend_label", *SOME))
+    return renamed(pr.reverse_pairs(pr.pair_table(pairs(t))).select("pair_id", "trend_label", pr.REJECT, *SOME))
 
 
-@query("p10_augment", f"""SELECT {FORWARD_SQL}, 'forward' AS augmentation_direction, 0.5 / w.n AS training_weight FROM pairs_sql {JOINED} JOIN (SELECT group_id, count(*)::DOUBLE AS n FROM pairs_sql GROUP BY group_id) w ON w.group_id = p.group_id
-    UNION ALL SELECT {REVERSED_SQL}, 'reverse', 0.5 / w.n FROM pairs_sql {JOINED} JOIN (SELECT group_id, count(*)::DOUBLE AS n FROM pairs_sql GROUP BY group_id) w ON w.group_id = p.group_id""",
+@query("p10_augment", f"""SELECT {FORWARD_SQL}, 'forward' AS augmentation_direction, 0.5 / w.n AS training_weight, {REASON} FROM pairs_sql {JOINED} JOIN (SELECT group_id, count(*)::DOUBLE AS n FROM pairs_sql GROUP BY group_id) w ON w.group_id = p.group_id
+    UNION ALL SELECT {REVERSED_SQL}, 'reverse', 0.5 / w.n, {REASON} FROM pairs_sql {JOINED} JOIN (SELECT group_id, count(*)::DOUBLE AS n FROM pairs_sql GROUP BY group_id) w ON w.group_id = p.group_id""",
     " ".join([*[plain(n) for n in SOME], "training_weight"]))
 def p10(t):
-    out = pr.augment(described(table(t)))
-    return renamed(out.select("pair_id", "trend_label", "augmentation_direction", "training_weight", *SOME))
+    out = pr.augment(table(t))
+    return renamed(out.select("pair_id", "trend_label", "augmentation_direction", "training_weight", pr.REJECT, *SOME))
 
 
 # --- splits --------------------------------------------------------------------------------
@@ -233,12 +243,12 @@ def l02(t):
 @query("l03_split_stratified", f"""SELECT id, CASE WHEN rn <= round(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM (SELECT id, count(*) OVER (PARTITION BY family_norm) AS n,
     row_number() OVER (PARTITION BY family_norm ORDER BY {orc.stable_key('id', 'stratified42')}, id) AS rn FROM mp)""")
 def l03(t):
-    return sp.split_stratified(t.mp.select("id", "family_norm"), "id", "family_norm", 0.2).select("id", "split")
+    return sp.split_stratified(t.narrow("id", "family_norm"), "id", "family_norm", 0.2).select("id", "split")
 
 
 @query("l04_split_group", f"SELECT id, CASE WHEN {orc.hash_fraction('doi', 'group42')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM mp")
 def l04(t):
-    return sp.split_group(t.mp, "doi", 0.2).select("id", "split")
+    return sp.split_group(t.typed, "doi", 0.2).select("id", "split")
 
 
 @query("l05_split_subset", f"SELECT id, CASE WHEN {orc.hash_fraction('id', 'random42')} < 0.25 THEN 'test' ELSE 'train' END AS split FROM m WHERE contains(lower(family), 'argyro')")
@@ -249,7 +259,7 @@ def l05(t):
 @query("l06_label_quota", """SELECT family_norm, n, (f + CASE WHEN row_number() OVER (ORDER BY rest DESC, family_norm) <= 1000 - sum(f) OVER () THEN 1 ELSE 0 END)::BIGINT AS target FROM (
     SELECT family_norm, n, floor(n * 1000 / total) AS f, n * 1000 / total - floor(n * 1000 / total) AS rest FROM (SELECT family_norm, count(*) AS n, (SELECT count(*) FROM mp) AS total FROM mp GROUP BY family_norm))""")
 def l06(t):
-    counts = t.mp.groupBy("family_norm").agg(F.count("*").alias("n"))
+    counts = t.typed.groupBy("family_norm").agg(F.count("*").alias("n"))
     return sp.label_quota(counts, "family_norm", "n", F.lit(1000))
 
 
@@ -299,6 +309,38 @@ def l09c(t):
     return sp.fold_checks(folded, "fold", "label", LEVELS)
 
 
+# Fewer than FOLDS groups of each bucket of like groups are left and go one by one, in a recursion.
+FOLDS = 5
+_PARTS = ["group_rows", *[f"n_{v}" for v in LEVELS]]
+_CLASS = ", ".join(f"CASE WHEN {n} < 16 THEN {n} ELSE 11 + length(bin({n})) END" for n in _PARTS)
+CTES["sgrp"] = f"""SELECT *, concat_ws(',', {_CLASS}) AS bucket FROM (SELECT doi, count(*) AS group_rows,
+    {', '.join(f"count(*) FILTER (WHERE label = '{v}') AS n_{v}" for v in LEVELS)}, coalesce({orc.stable_key('doi', 'strata')}, '') AS skey FROM lab GROUP BY doi)"""
+CTES["splace"] = f"""SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY group_rows DESC, skey) AS place, count(*) OVER (PARTITION BY bucket) % {FOLDS} AS rest FROM sgrp"""
+CTES["sdealt"] = f"""SELECT *, CASE WHEN place > rest THEN CASE WHEN (place - rest - 1) % {2 * FOLDS} < {FOLDS} THEN (place - rest - 1) % {2 * FOLDS}
+    ELSE {2 * FOLDS - 1} - (place - rest - 1) % {2 * FOLDS} END END AS fold FROM splace"""
+CTES["sitem"] = f"""SELECT skey, [{', '.join(f'{n}::DOUBLE' for n in _PARTS)}] AS v, row_number() OVER (ORDER BY group_rows DESC, skey) AS i FROM sdealt WHERE fold IS NULL"""
+CTES["sbase"] = f"""SELECT list(n ORDER BY f, j) AS held FROM (SELECT f, j, coalesce(sum(CASE j {' '.join(f'WHEN {i} THEN {n}' for i, n in enumerate(_PARTS))} END), 0)::DOUBLE AS n
+    FROM range({FOLDS}) a(f) CROSS JOIN range({len(_PARTS)}) b(j) LEFT JOIN sdealt d ON d.fold = f GROUP BY f, j)"""
+_GROWTH = " + ".join(f"CASE WHEN total[{j + 1}] > 0 THEN held[f * {len(_PARTS)} + {j + 1}] * v[{j + 1}] / (total[{j + 1}] * total[{j + 1}]) ELSE 0 END" for j in range(len(_PARTS)))
+CTES["sgreedy"] = f"""SELECT 0::BIGINT AS i, held, NULL::VARCHAR AS skey, NULL::BIGINT AS fold, [{', '.join(f'(SELECT sum({n}) FROM sgrp)::DOUBLE' for n in _PARTS)}] AS total FROM sbase
+    UNION ALL SELECT i, list_transform(range({FOLDS * len(_PARTS)}), lambda k: held[k + 1] + CASE WHEN k // {len(_PARTS)} = fold THEN v[k % {len(_PARTS)} + 1] ELSE 0 END), skey, fold, total FROM (
+        SELECT x.i, held, x.skey, x.v, total, list_position(cost, list_min(cost)) - 1 AS fold FROM (
+            SELECT x.*, held, total, list_transform(range({FOLDS}), lambda f: {_GROWTH}) AS cost FROM sgreedy g JOIN sitem x ON x.i = g.i + 1) x)"""
+CTES["sfold"] = f"SELECT doi, {', '.join(_PARTS)}, coalesce(d.fold, g.fold)::BIGINT AS fold FROM sdealt d LEFT JOIN sgreedy g USING (skey)"
+
+
+@query("l09_stratified_group_kfold", f"SELECT doi, {', '.join(_PARTS)}, fold FROM sfold")
+def l09s(t):
+    return sp.stratified_group_kfold(labelled(t), "doi", "label", LEVELS, FOLDS)
+
+
+@query("l09_fold_shares", f"""SELECT fold, count(*) AS groups, sum(group_rows)::BIGINT AS group_rows, sum(group_rows) / (SELECT sum(group_rows) FROM sgrp) AS share_group_rows,
+    {', '.join(f"sum(n_{v}) / nullif((SELECT sum(n_{v}) FROM sgrp), 0) AS share_{v}" for v in LEVELS)} FROM sfold GROUP BY fold""",
+    " ".join(["share_group_rows", *[f"share_{v}" for v in LEVELS]]))
+def l09f(t):
+    return sp.fold_shares(sp.stratified_group_kfold(labelled(t), "doi", "label", LEVELS, FOLDS), LEVELS)
+
+
 @query("l10_split_manifest", """SELECT split, count(*) AS rows, count(DISTINCT doi) AS groups, count(*) FILTER (WHERE label = 'decrease') AS decrease_rows, count(*) FILTER (WHERE label = 'unchanged') AS unchanged_rows,
     count(*) FILTER (WHERE label = 'increase') AS increase_rows, count(*) / (SELECT count(*) FROM lab) AS row_fraction
     FROM (SELECT *, CASE WHEN selection_key <= (SELECT cut FROM lcut) THEN 'validation' ELSE 'train' END AS split FROM lab JOIN (SELECT doi, selection_key FROM lgrp) USING (doi)) GROUP BY split""", "row_fraction")

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from saltmarsh.functions import text as tx
 from saltmarsh.operators import evaluation as ev
 from saltmarsh.operators import mlprep as ml
+from saltmarsh.operators import models as md
 from saltmarsh.operators import pairing as pr
 from saltmarsh.operators import splits as sp
 from saltmarsh.operators import windows as wn
@@ -17,7 +19,9 @@ from saltmarsh.plans.catalog import query
 from saltmarsh.plans.oracle import CTES
 from saltmarsh.plans.queries_curation import by_row, rounded_predictions, valid
 from saltmarsh.plans.queries_pairs import pairs
-from saltmarsh.session import durable
+from saltmarsh.session import durable, scratch_path
+from saltmarsh.sources import views
+from saltmarsh.sources.views import TREND_LINE_EXPRESSIONS
 
 c = F.col
 LABELS = pr.LABELS
@@ -63,13 +67,13 @@ NUMBERS = ["value", "log10_value", "temperature_c"]
 
 
 @query("m01_impute", """SELECT id, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM mp WHERE suppkey % 2 = 0)) AS value, coalesce(log10_value, (SELECT quantile_cont(log10_value, 0.5) FROM mp WHERE suppkey % 2 = 0)) AS log10_value,
-    coalesce(temperature_c::DOUBLE, 0) AS temperature_c, 0.0::DOUBLE AS absent FROM mp WHERE suppkey % 2 = 1""", "value log10_value temperature_c absent")
+    coalesce(temperature_c::DOUBLE, 0) AS temperature_c, 0.0::DOUBLE AS absent FROM mp""", "value log10_value temperature_c absent")
 def m01(t):
-    rows = durable(t.mp.select("id", "suppkey", *NUMBERS))
+    rows = t.narrow("id", "suppkey", *NUMBERS)
     train = rows.filter("suppkey % 2 = 0")
     columns = [*NUMBERS, "absent"]
     medians = ml.medians(train.withColumn("absent", F.lit(None).cast("double")), columns)
-    return ml.impute(rows.filter("suppkey % 2 = 1"), columns, medians).select("id", *columns)
+    return ml.impute(rows, columns, medians).select("id", *columns)
 
 
 CTES["lev"] = """SELECT family_norm, row_number() OVER (ORDER BY family_norm) AS code FROM (SELECT DISTINCT family_norm FROM mp WHERE suppkey % 2 = 0 AND family_norm NOT IN ('unknown', 'lgps'))
@@ -77,18 +81,18 @@ CTES["lev"] = """SELECT family_norm, row_number() OVER (ORDER BY family_norm) AS
 
 
 def levels(t):
-    train = t.mp.filter("suppkey % 2 = 0 AND family_norm != 'lgps'")
+    train = t.typed.filter("suppkey % 2 = 0 AND family_norm != 'lgps'")
     return ml.category_levels(train, "family_norm")
 
 
 @query("m02_ordinal", "SELECT id, coalesce(code, 0)::DOUBLE AS code FROM mp LEFT JOIN lev USING (family_norm)", "code")
 def m02(t):
-    return ml.ordinal(t.mp.select("id", "family_norm"), "family_norm", levels(t)).select("id", "code")
+    return ml.ordinal(t.typed.select("id", "family_norm"), "family_norm", levels(t)).select("id", "code")
 
 
 @query("m03_category_levels", "SELECT id, CASE WHEN family_norm IN (SELECT family_norm FROM lev) THEN family_norm ELSE 'unknown' END AS level FROM mp")
 def m03(t):
-    return ml.native_category(t.mp.select("id", "family_norm"), "family_norm", levels(t)).select("id", "level")
+    return ml.native_category(t.typed.select("id", "family_norm"), "family_norm", levels(t)).select("id", "level")
 
 
 HOT = ["argyrodites", "halides", "oxides", "unknown"]
@@ -96,15 +100,15 @@ HOT = ["argyrodites", "halides", "oxides", "unknown"]
 
 @query("m04_one_hot", "SELECT id, " + ", ".join(f"CASE WHEN family_norm = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS family__{v}" for v in HOT) + " FROM mp", " ".join(f"family__{v}" for v in HOT))
 def m04(t):
-    return ml.one_hot(t.mp.select("id", "family_norm"), "family_norm", HOT, "family__").drop("family_norm")
+    return ml.one_hot(t.typed.select("id", "family_norm"), "family_norm", HOT, "family__").drop("family_norm")
 
 
 @query("m05_scale", """SELECT id, (log10_value - a) / s AS log10_value, (temperature_c - ta) / ts AS temperature_c FROM mp, (SELECT avg(log10_value) AS a, stddev_pop(log10_value) AS s, avg(temperature_c) AS ta, stddev_pop(temperature_c) AS ts
-    FROM mp WHERE suppkey % 2 = 0) WHERE suppkey % 2 = 1""", "log10_value temperature_c")
+    FROM mp WHERE suppkey % 2 = 0)""", "log10_value temperature_c")
 def m05(t):
-    rows = durable(t.mp.select("id", "suppkey", c("log10_value"), c("temperature_c").cast("double")))
+    rows = durable(t.typed.select("id", "suppkey", c("log10_value"), c("temperature_c").cast("double")))
     columns = ["log10_value", "temperature_c"]
-    return ml.scale(rows.filter("suppkey % 2 = 1"), columns, rows.filter("suppkey % 2 = 0")).select("id", *columns)
+    return ml.scale(rows, columns, rows.filter("suppkey % 2 = 0")).select("id", *columns)
 
 
 # --- models -------------------------------------------------------------------------------
@@ -145,7 +149,7 @@ def pair_rows(t):
 def m07(t):
     train, test = pair_rows(t)
     frames = []
-    for name in ("random_forest", "logistic"):
+    for name in ("random_forest", "logistic", "boosted_trees"):
         report = flows.trend_report(test, flows.train_trend_model(train, name))
         frames.append(report["metrics"].withColumn("model", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -164,6 +168,24 @@ def m08(t):
     return ml.trial_table(search(t), t.spark)
 
 
+CLASSIFIER_GRIDS = {"random_forest": {"maxDepth": [3, 6]}, "logistic": {"regParam": [0.01, 0.1]}}
+
+
+def classifier_search(t):
+    """Folds of pairs and the fitted search of each classifier."""
+    rows = pr.usable_pairs(pair_rows(t)[0])
+    folds = sp.stratified_group_kfold(rows, "doi", "trend_label", LABELS, 3)
+    rows = durable(sp.with_folds(rows, folds, "doi"))
+    return rows, {name: md.tune_classifier(rows, name, grid, "fold") for name, grid in CLASSIFIER_GRIDS.items()}
+
+
+@query("m08_tune_classifiers")
+def m08c(t):
+    rows, found = classifier_search(t)
+    frames = [md.fold_trials(fitted, rows, "fold").withColumn("model", F.lit(name)) for name, fitted in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 @query("m09_importance")
 def m09(t):
     train, _ = regression_rows(t)
@@ -171,11 +193,22 @@ def m09(t):
     return ml.importance(model, MODEL_NUMBERS, t.spark)
 
 
+def raw_regression_rows(t):
+    """As ``regression_rows``, with missing numbers left to the saved preprocessing."""
+    table = flows.feature_table(t.m)["kept"].filter("log10_value IS NOT NULL AND doi != ''")
+    rows = table.select("id", "doi", "family_norm", "log10_value", "sample_weight", *[c(n).cast("double") for n in MODEL_NUMBERS])
+    split = durable(sp.split_group(rows, "doi", 0.2))
+    return split.filter("split = 'train'"), split.filter("split = 'test'")
+
+
 @query("m10_score")
 def m10(t):
-    train, test = regression_rows(t)
-    model = ml.fit(train, MODEL_NUMBERS, ml.regressors("log10_value", "sample_weight")["decision_tree"], "family_norm")
-    return ml.score(model, test, ["id", "doi"])
+    """Preprocessing and model are written, read back, and only the reloaded ones score."""
+    train, test = raw_regression_rows(t)
+    tree = ml.regressors("log10_value", "sample_weight")["decision_tree"]
+    path = scratch_path(t.spark, "model")
+    md.save(md.saved_pipeline(MODEL_NUMBERS, "family_norm", tree).fit(train), path)
+    return ml.score(md.load(path), test, ["id", "doi"])
 
 
 PROBABILITIES = [f"{p}probability_{v}" for p in ("", "forward_", "reverse_aligned_") for v in LABELS]
@@ -307,10 +340,11 @@ def v12(t):
     return ev.cv_summary(folds, ["source"], ["accuracy", "macro_f1"])
 
 
-@query("v13_combined_eval", metrics_sql("method", f"SELECT method, {TG} FROM qv WHERE source IN ('v1', 'caltech')"), METRIC_DOUBLES)
+@query("v13_combined_eval", metrics_sql("method", f"SELECT method, {TG} FROM qv"), METRIC_DOUBLES)
 def v13(t):
     rows = scored(t)
-    frames = {"general": rows.filter("source = 'v1'"), "halide": rows.filter("source = 'caltech'")}
+    named = {"general": "v1", "halide": "caltech", "collected": "literature", "survey": "liverpool"}
+    frames = {name: rows.filter(c("source") == source) for name, source in named.items()}
     return ev.combined_eval(frames, ["method"], "true_label", "predicted_label")
 
 
@@ -333,15 +367,128 @@ def j10(t):
     return out.select("pair_id", "a_seen", "b_seen", "either_seen", "pair_seen")
 
 
+# --- reports on segmented files -------------------------------------------------------------
+
+PLACE = ["ts", "line_id"]
+# Differences of these measurements are whole steps of 5e-5, so no rounding meets the threshold.
+STEP = 7.5e-5
+CTES["tline"] = f"""SELECT x.*, pf.formula, pf.family FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in TREND_LINE_EXPRESSIONS.items())}
+    FROM (SELECT *, (SELECT count(*) FROM part) AS parts FROM events)) x JOIN pf ON pf.p_partkey = x.part_no"""
+CTES["tseg"] = f"""SELECT *, {orc.parse_scientific('measure')} AS row_value, {orc.strip('formula')} AS row_formula FROM (
+    SELECT *, sum(CASE WHEN is_header THEN 1 ELSE 0 END) OVER w AS segment_no, last_value(label IGNORE NULLS) OVER w AS segment_label
+    FROM tline WINDOW w AS (PARTITION BY file ORDER BY ts, line_id ROWS UNBOUNDED PRECEDING)) WHERE NOT is_header AND segment_no > 0"""
+CTES["trow"] = f"""SELECT *, {orc.normalize_label('family')} AS fam, CASE WHEN line_id % 3 <> 0 OR line_id % 2 = 0 THEN {orc.normalize_label('family')} ELSE 'unknown' END AS told,
+    CASE WHEN file % 2 = 0 THEN 'general' ELSE 'halide' END AS dataset FROM tseg WHERE row_value IS NOT NULL AND row_formula <> ''"""
+_HOST = {s: orc.strip(f"split_part(row_formula{s}, ' + ', 1)") for s in ("", "_b")}
+
+
+def segment_pair_sql(family: str, more: str, extra: str) -> str:
+    return f"""SELECT *, printf('exp_pair_%04d', row_number() OVER (ORDER BY {more} segment_no, line_id_a)) AS pair_id FROM (
+        SELECT file, dataset, segment_no::BIGINT AS segment_no, file || ':' {extra} || segment_no || ':' || segment_label AS group_id, row_id AS row_id_a, row_id_b, line_id AS line_id_a, line_id_b,
+            {_HOST['']} AS formula_a, {_HOST['_b']} AS formula_b, row_formula <> {_HOST['']} OR row_formula_b <> {_HOST['_b']} AS additive_omitted, row_value AS value_a, value_b,
+            CASE WHEN {family} = family_b THEN {family} ELSE 'mixed' END AS family, method AS method_a, method_b,
+            CASE WHEN value_b - row_value > {STEP}::DOUBLE THEN 'increase' WHEN value_b - row_value < -{STEP}::DOUBLE THEN 'decrease' ELSE 'unchanged' END AS trend_label
+        FROM (SELECT *, 'm' || line_id % 4 AS method, lead(row_id) OVER w AS row_id_b, lead(line_id) OVER w AS line_id_b, lead(row_formula) OVER w AS row_formula_b, lead(row_value) OVER w AS value_b,
+            lead({family}) OVER w AS family_b, 'm' || lead(line_id) OVER w % 4 AS method_b FROM trow WINDOW w AS (PARTITION BY file, segment_no ORDER BY ts, line_id))
+        WHERE row_id_b IS NOT NULL)"""
+
+
+CTES["tpair"] = segment_pair_sql("told", "file,", "")
+CTES["xpair"] = segment_pair_sql("fam", "file, dataset,", "|| dataset || ':'")
+KEPT = "pair_id, group_id, row_id_a, row_id_b, line_id_a, line_id_b, formula_a, formula_b, additive_omitted, value_a, value_b, family, trend_label"
+
+
+def trend_lines(t):
+    return durable(views.trend_lines(t.spark, t.sf_dir))
+
+
+def annotations(lines):
+    """Families by row id for two of three lines, by line for every second one."""
+    rows = lines.filter("NOT is_header").withColumns({
+        "row_formula": tx.strip(c("formula")), "family": tx.normalize_label(c("family")),
+    })
+    by_id = rows.filter("line_id % 3 != 0").select("row_id", F.lit(None).cast("bigint").alias("line_id"), "row_formula", "family")
+    by_line = rows.filter("line_id % 2 = 0").select(F.lit(None).cast("string").alias("row_id"), "line_id", "row_formula", "family")
+    return by_id.unionByName(by_line)
+
+
+def summary_of(lines):
+    """The flat table that grouped files are reconciled with."""
+    value = tx.parse_scientific(c("measure"))
+    rows = lines.filter("NOT is_header").select(
+        "row_id", tx.strip(c("formula")).alias("row_formula"), value.alias("row_value"), tx.normalize_label(c("family")).alias("family"),
+        F.concat(F.lit("m"), c("line_id") % 4).alias("method"),
+    ).filter("row_value IS NOT NULL AND row_formula != ''")
+    # Rows before the first header of a file are in no group.
+    first = lines.filter("is_header").groupBy("file").agg(F.min(F.struct(*PLACE)).alias("first"))
+    grouped = lines.join(first, "file").filter(F.struct(*PLACE) > c("first")).select("row_id")
+    return rows.join(grouped, "row_id", "left_semi")
+
+
+def text_lines(lines):
+    return lines.select("file", "ts", "line_id", "text")
+
+
+def grouped_files(t):
+    lines = trend_lines(t)
+    return flows.reconciled_pairs(
+        text_lines(lines), summary_of(lines), ["file"], PLACE, F.when(c("file") % 2 == 0, "general").otherwise("halide"), STEP
+    )
+
+
+@query("v14_trend_pairs", f"SELECT {KEPT} FROM tpair", "value_a value_b")
+def v14p(t):
+    lines = trend_lines(t)
+    rows = flows.segment_rows(text_lines(lines), ["file"], PLACE, annotations(lines))
+    return flows.segment_trend_pairs(rows, ["file"], PLACE, STEP).select(*KEPT.split(", "))
+
+
 @query("v14_trend_report")
 def v14(t):
-    train, test = pair_rows(t)
-    report = flows.trend_report(test, flows.train_trend_model(train))
-    return report["predictions"]
+    lines = trend_lines(t)
+    model = flows.train_trend_model(pair_rows(t)[0])
+    return flows.trend_report_of_segments(text_lines(lines), ["file"], PLACE, annotations(lines), model, STEP)["predictions"]
+
+
+@query("v15_reconciliation", "SELECT row_id, 'same' AS status FROM trow")
+def v15r(t):
+    return grouped_files(t)["reconciliation"]
+
+
+TRAINED = """tf AS (SELECT formula_a AS f FROM pairs_sql UNION SELECT formula_b FROM pairs_sql),
+    tp AS (SELECT DISTINCT least(formula_a, formula_b) AS x, greatest(formula_a, formula_b) AS y FROM pairs_sql),
+    audited AS (SELECT p.*, formula_a IN (SELECT f FROM tf) AS a_seen, formula_b IN (SELECT f FROM tf) AS b_seen, tp.x IS NOT NULL AS pair_seen
+        FROM xpair p LEFT JOIN tp ON tp.x = least(formula_a, formula_b) AND tp.y = greatest(formula_a, formula_b))"""
+
+
+@query("v15_overlap", f"""WITH {TRAINED} SELECT {KEPT}, dataset, method_a, method_b, a_seen, b_seen, a_seen OR b_seen AS either_seen, pair_seen FROM audited""", "value_a value_b")
+def v15o(t):
+    """Every pair of the grouped files with its truth and what training has seen of it."""
+    out = ev.overlap_audit(grouped_files(t)["pairs"], pairs(t), "formula_a", "formula_b")
+    return out.select(*KEPT.split(", "), "dataset", "method_a", "method_b", "a_seen", "b_seen", "either_seen", "pair_seen")
+
+
+def comparison(t):
+    train = pair_rows(t)[0]
+    table = durable(flows.trend_features(grouped_files(t)["pairs"]))
+    models = {name: flows.train_trend_model(train, name) for name in ("random_forest", "logistic")}
+    return flows.experimental_comparison(table, pairs(t), models)
+
+
+USABLE = "SELECT a.*, a_seen OR b_seen AS either_seen FROM audited a JOIN tdok x ON x.formula = formula_a JOIN tdok y ON y.formula = formula_b"
+SCOPES = {
+    "'overall'": "TRUE", "'max_sigma_ge_0.001'": "greatest(value_a, value_b) >= 1e-3::DOUBLE", "'both_sigma_ge_0.001'": "least(value_a, value_b) >= 1e-3::DOUBLE",
+    "'both_endpoints_unseen_in_training'": "NOT either_seen", "'family_' || family": "TRUE", "'dataset_' || dataset": "TRUE",
+}
+
+
+@query("v15_scope_counts", f"""WITH {TRAINED}, usable AS ({USABLE}) SELECT model, scope, count(*) AS pairs, (SELECT count(*) FROM audited) - (SELECT count(*) FROM usable) AS rejected_pairs FROM (
+    {' UNION ALL '.join(f'SELECT {name} AS scope FROM usable WHERE {held}' for name, held in SCOPES.items())}) CROSS JOIN (VALUES ('random_forest'), ('logistic')) m(model) GROUP BY model, scope""")
+def v15s(t):
+    """Pairs that each model was measured on, by scope, and those without features."""
+    return comparison(t)["metrics"].select("model", "scope", "pairs", "rejected_pairs")
 
 
 @query("v15_experimental_comparison")
 def v15(t):
-    train, test = pair_rows(t)
-    models = {name: flows.train_trend_model(train, name) for name in ("random_forest", "logistic")}
-    return flows.experimental_comparison(test, train, models)["metrics"]
+    return comparison(t)["metrics"]

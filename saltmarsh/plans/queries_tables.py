@@ -37,16 +37,16 @@ def s01(t):
     UNION ALL SELECT 'value not positive', count(*) FILTER (WHERE value IS NULL OR value <= 0) FROM mp)""")
 def s02(t):
     path = scratch_path(t.spark, "typed")
-    t.mp.select("id", "family", "value", "temperature_c").write.csv(path, header=True)
+    t.typed.select("id", "family", "value", "temperature_c").write.csv(path, header=True)
     df = rd.read_typed(t.spark, path, "id string, family string, value double, temperature_c int")
     rules = rd.contract_rules({"family": ["Oxide", "unknown", "Other"]}, ["value"], ["value"])
     return rd.read_checked(df, ["id", "family", "value"], rules, enforce=False)
 
 
-@query("s03_read_titled_tsv", "SELECT id AS \"ID\", formula AS composition, conductivity_text AS target, family FROM m WHERE source = 'liverpool'")
+@query("s03_read_titled_tsv", "SELECT id AS \"ID\", formula AS composition, conductivity_text AS target, family FROM m")
 def s03(t):
     path = scratch_path(t.spark, "titled")
-    rows = t.m.filter(c("source") == "liverpool").select(
+    rows = t.m.select(
         F.concat_ws("\t", "id", "formula", F.lit("blank"), "conductivity_text", "family").alias("value")
     )
     head = t.spark.createDataFrame(
@@ -145,6 +145,13 @@ def s09(t):
     return rd.fingerprint(t.m, ["source"], ["id", "formula", "conductivity_text", "doi_text"])
 
 
+@query("s09_file_fingerprint")
+def s09f(t):
+    """Files of the given tables, by name; their bytes are not in the views that SQL sees."""
+    found = rd.file_fingerprint(t.spark, f"{t.sf_dir}/*.parquet")
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "length", "sha256")
+
+
 # --- scalar functions ----------------------------------------------------------------
 
 
@@ -159,12 +166,11 @@ def x02(t):
     return t.m.select("id", tx.parse_scientific(c("conductivity_text"), 1000.0).alias("milli"))
 
 
-@query("x03_parse_approximate", f"""SELECT id, CAST({orc.strip("regexp_replace(" + orc.strip('conductivity_text') + ", '^[≈~]', '')")} AS DOUBLE) AS value
-    FROM m WHERE regexp_matches(conductivity_text, '^[≈~]?[0-9.]+e-[0-9]+$')""", "value")
+@query("x03_parse_approximate", f"""SELECT id, value, value IS NOT NULL AS readable FROM (
+    SELECT id, try_cast({orc.strip("regexp_replace(" + orc.strip('conductivity_text') + ", '^[≈~]', '')")} AS DOUBLE) AS value FROM m)""", "value")
 def x03(t):
-    text = c("conductivity_text")
-    rows = t.m.filter(text.rlike("^[≈~]?[0-9.]+e-[0-9]+$"))
-    return rows.select("id", tx.parse_approximate(text).alias("value"))
+    value = tx.try_approximate(c("conductivity_text"))
+    return t.m.select("id", value.alias("value"), value.isNotNull().alias("readable"))
 
 
 @query("x04_normalize_label", "SELECT id, family, family_norm FROM mp")
@@ -228,14 +234,14 @@ def x12(t):
 
 @query("x13_safe_log10", "SELECT id, CASE WHEN v > 0 THEN log10(v) END AS log_v FROM (SELECT id, value - 0.0005::DOUBLE AS v FROM mp)", "log_v")
 def x13(t):
-    return t.mp.select("id", ph.safe_log10(c("value") - 0.0005).alias("log_v"))
+    return t.typed.select("id", ph.safe_log10(c("value") - 0.0005).alias("log_v"))
 
 
 @query("x14_safe_arithmetic", """SELECT id, value - lowered AS diff, value / nullif(lowered, 0) AS ratio FROM (
     SELECT id, value, CASE WHEN suppkey % 5 = 0 THEN 0.0 WHEN suppkey % 5 = 1 THEN NULL ELSE value * 3.0::DOUBLE END::DOUBLE AS lowered FROM mp)""", "diff ratio")
 def x14(t):
     other = F.when(c("suppkey") % 5 == 0, 0.0).when(c("suppkey") % 5 != 1, c("value") * 3.0)
-    return t.mp.select("id", ph.safe_diff(c("value"), other).alias("diff"), ph.safe_ratio(c("value"), other).alias("ratio"))
+    return t.typed.select("id", ph.safe_diff(c("value"), other).alias("diff"), ph.safe_ratio(c("value"), other).alias("ratio"))
 
 
 @query("x15_ion_physics", """SELECT id, CASE WHEN r = 0 THEN 0.0 ELSE 3 * abs(z) * 1.602e-19::DOUBLE / (4 * pi() * pow(r * 1e-12::DOUBLE, 3)) END AS density,
@@ -255,7 +261,7 @@ def x16(t):
 @query("x17_units", """SELECT id, value / 1000.0::DOUBLE AS si, pow(10.0::DOUBLE, log10_value) AS back, log10_value - (suppkey % 21 - 10) / 10.0::DOUBLE AS residual FROM mp""", "si back residual")
 def x17(t):
     guess = (c("suppkey") % 21 - 10) / F.lit(10.0)
-    return t.mp.select(
+    return t.typed.select(
         "id", ph.to_si(c("value")).alias("si"), ph.unlog10(c("log10_value")).alias("back"),
         ph.safe_diff(c("log10_value"), guess).alias("residual"),
     )
@@ -299,7 +305,7 @@ def f02(t):
     1.0::DOUBLE AS sample_weight FROM (SELECT *, coalesce(value < 1e-5::DOUBLE OR (qualifier = 'upper_bound' AND value <= 1e-5::DOUBLE), FALSE) AS low FROM mp)""",
     "log10_value sample_weight")
 def f03(t):
-    kept, removed = ql.threshold_policy(t.mp, 1e-5)
+    kept, removed = ql.threshold_policy(t.typed, 1e-5)
     return kept.select("id", "log10_value", F.lit("kept").alias("outcome"), "sample_weight").unionByName(
         removed.select("id", F.lit(None).cast("double").alias("log10_value"), c(ql.REASON).alias("outcome"), "sample_weight")
     )
@@ -339,7 +345,7 @@ def f06(t):
 @query("f07_drop_both_low", """SELECT b.id, b.method FROM m b WHERE b.id IN (
     SELECT id FROM (SELECT id, value AS va, value * (1 + suppkey % 4 * 20) AS vb FROM mp) WHERE NOT coalesce(va < 1e-5::DOUBLE AND vb < 1e-5::DOUBLE, FALSE) AND va IS NOT NULL)""")
 def f07(t):
-    pairs = t.mp.filter("value IS NOT NULL").select("id", c("value").alias("va"), (c("value") * (1 + c("suppkey") % 4 * 20)).alias("vb"))
+    pairs = t.typed.filter("value IS NOT NULL").select("id", c("value").alias("va"), (c("value") * (1 + c("suppkey") % 4 * 20)).alias("vb"))
     return ql.drop_both_low(pairs, t.m.select("id", "method"), 1e-5, "va", "vb", "id")
 
 
@@ -361,7 +367,7 @@ def f08(t):
     UNION ALL SELECT 'duplicate id', count(*) FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1)
     UNION ALL SELECT 'group weight not 1', count(*) FROM (SELECT doi FROM r GROUP BY doi HAVING abs(sum(weight) - 1) > 1e-8)""")
 def f09(t):
-    rows = wn.group_weight(t.mp, "doi").withColumn(
+    rows = wn.group_weight(t.narrow("id", "doi", "value"), "doi").withColumn(
         "weight", c("weight") + F.when(c("doi").endswith("0"), 0.5).otherwise(0.0)
     )
     rules = {"value missing": c("value").isNull(), "value above 0.05": c("value") > 0.05}
@@ -376,8 +382,9 @@ def f09(t):
         FROM mp WHERE suppkey % 13 <> 4) b ON a.id = b.id""")
 def f10(t):
     key = c("suppkey") % 13
-    a = t.mp.filter(key != 1)
-    b = t.mp.filter(key != 4).select(
+    rows = t.narrow("id", "formula", "value", "suppkey")
+    a = rows.filter(key != 1)
+    b = rows.filter(key != 4).select(
         "id", F.when(key == 2, F.concat("formula", F.lit("x"))).otherwise(c("formula")).alias("formula"),
         F.when(key == 3, c("value") * 1.001).otherwise(c("value") * (1 + 1e-13)).alias("value"),
     )
@@ -390,28 +397,32 @@ def f10(t):
 @query("t01_order_by", "SELECT id, formula, value, row_number() OVER (ORDER BY value DESC NULLS LAST, formula, id) AS place FROM mp", "value")
 def t01(t):
     order = [F.desc_nulls_last("value"), c("formula"), c("id")]
-    return row_rank(t.mp.select("id", "formula", "value"), [], order, "place")
+    return row_rank(t.typed.select("id", "formula", "value"), [], order, "place")
 
 
 @query("t02_topn_share", """SELECT formula, total, total / (SELECT sum(value) FROM mp) AS share FROM (
     SELECT formula, sum(value) AS total FROM mp GROUP BY formula ORDER BY total DESC NULLS LAST, formula LIMIT 20)""", "total share")
 def t02(t):
-    totals = t.mp.groupBy("formula").agg(F.sum("value").alias("total"))
+    totals = t.typed.groupBy("formula").agg(F.sum("value").alias("total"))
     return wn.topn_share(totals, "total", 20, c("formula"))
 
 
 @query("t03_best_by", """SELECT method, arg_min(formula, (mae, formula)) AS best_formula FROM (SELECT method, formula, avg(abs(log10_value + 4)) AS mae FROM mp WHERE value > 0 GROUP BY ALL) GROUP BY method""")
 def t03(t):
-    scores = t.mp.filter("value > 0").groupBy("method", "formula").agg(F.avg(F.abs(c("log10_value") + 4)).alias("mae"))
+    scores = t.typed.filter("value > 0").groupBy("method", "formula").agg(F.avg(F.abs(c("log10_value") + 4)).alias("mae"))
     return wn.best_by(scores, ["method"], "formula", c("mae"), c("formula"), smallest=True)
 
 
-@query("u01_union_aligned", """SELECT id, formula, method, NULL::VARCHAR AS extra FROM m WHERE source = 'v1'
-    UNION ALL SELECT id, formula, NULL, NULL FROM m WHERE source = 'caltech'""")
+@query("u01_union_aligned", """SELECT id, formula, CASE WHEN source IN ('v1', 'literature') THEN method END AS method,
+    CASE WHEN source = 'liverpool' THEN note END AS extra FROM m""")
 def u01(t):
-    a = t.m.filter("source = 'v1'").select("method", "id", "formula")
-    b = t.m.filter("source = 'caltech'").select("formula", "id", "note")
-    return wn.union_aligned([a, b], ["id", "formula", "method", "extra"])
+    frames = [
+        t.m.filter("source = 'v1'").select("method", "id", "formula"),
+        t.m.filter("source = 'caltech'").select("formula", "id", "note"),
+        t.m.filter("source = 'literature'").select("id", "doi_text", "method", "formula"),
+        t.m.filter("source = 'liverpool'").select(c("note").alias("extra"), "formula", "id"),
+    ]
+    return wn.union_aligned(frames, ["id", "formula", "method", "extra"])
 
 
 @query("u02_coverage", """SELECT formula, 'missing' AS side FROM (SELECT formula FROM m WHERE partkey % 3 <> 0 EXCEPT SELECT formula FROM m WHERE partkey % 7 = 0)
@@ -422,12 +433,12 @@ def u02(t):
 
 @query("u03_leakage", "SELECT doi FROM mp WHERE suppkey % 5 = 0 INTERSECT SELECT doi FROM mp WHERE suppkey % 5 = 1")
 def u03(t):
-    return wn.leakage(t.mp.filter("suppkey % 5 = 0"), t.mp.filter("suppkey % 5 = 1"), "doi")
+    return wn.leakage(t.typed.filter("suppkey % 5 = 0"), t.typed.filter("suppkey % 5 = 1"), "doi")
 
 
 @query("u04_unordered_pairs", "SELECT DISTINCT least(formula, family_norm) AS first, greatest(formula, family_norm) AS second FROM mp")
 def u04(t):
-    return wn.unordered_pairs(t.mp, "formula", "family_norm")
+    return wn.unordered_pairs(t.typed, "formula", "family_norm")
 
 
 @query("u05_unseen_values", "SELECT formula, count(*) AS row_count FROM m WHERE formula NOT IN (SELECT formula FROM m WHERE suppkey % 50 = 7) GROUP BY formula")

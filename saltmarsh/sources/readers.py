@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,21 +46,22 @@ def first_lines(spark: SparkSession, path: str, count: int) -> list[str]:
     return [lines[0].lstrip("\ufeff"), *lines[1:]]
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    return [c.strip().strip('"') for c in first_lines(spark, path, 1)[0].split(sep)]
+def read_raw(
+    spark: SparkSession, path: str, sep: str = ",", columns: Sequence[str] | None = None, multiline: bool = True
+) -> DataFrame:
+    """All columns as text; an empty cell stays an empty string.
 
-
-def read_raw(spark: SparkSession, path: str, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
-    """All columns as text; an empty cell stays an empty string."""
-    return raw_scan(spark, path, sep, columns).fillna("")
+    A quoted cell may hold separators, quotes and line breaks, in the header too. Such a
+    file cannot be cut between tasks; ``multiline=False`` reads large files whose cells hold
+    no line breaks in pieces.
+    """
+    return raw_scan(spark, path, sep, columns, multiline).fillna("")
 
 
-def raw_scan(spark: SparkSession, path: str, sep: str, columns: Sequence[str] | None) -> DataFrame:
-    names = list(columns) if columns else _header(spark, path, sep)
-    return spark.read.csv(
-        path, header=True, sep=sep, schema=string_schema(names), enforceSchema=False,
-        escape='"', multiLine=False, nullValue="\u0000", emptyValue="",
-    )
+def raw_scan(spark: SparkSession, path: str, sep: str, columns: Sequence[str] | None, multiline: bool = True) -> DataFrame:
+    options = {"header": True, "sep": sep, "escape": '"', "multiLine": multiline, "nullValue": "\u0000", "emptyValue": ""}
+    names = list(columns) if columns else [c.strip() for c in spark.read.csv(path, **options).columns]
+    return spark.read.csv(path, schema=string_schema(names), enforceSchema=bool(columns is None), **options)
 
 
 def contract_rules(
@@ -225,12 +229,39 @@ def fingerprint(df: DataFrame, part: Sequence[str], columns: Sequence[str]) -> D
     )
 
 
-def file_fingerprint(spark: SparkSession, path: str, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """SHA-256 per file, for configuration and model files of limited size.
+# Bytes read from a file at a time.
+READ_BYTES = 8 << 20
+
+
+def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """Length and SHA-256 of every file at ``path`` that holds anything, whatever its size.
 
-    Larger files are data: use ``fingerprint`` on their rows.
+    The listing gives paths and lengths only; the task that a file falls to streams it
+    through the digest in blocks. Files are reached through ``pyarrow.fs``: local and
+    shared folders, HDFS and object stores.
     """
-    files = spark.read.format("binaryFile").load(path)
-    if files.filter(F.col("length") > max_bytes).select("path").head(1):
-        raise ValueError(f"{path} holds files above {max_bytes} bytes; fingerprint their rows instead")
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    listing = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            digests = []
+            for name, length in zip(batch["path"], batch["length"]):
+                source, local = file_system(name)
+                state, left = hashlib.sha256(), int(length)
+                with source.open_input_stream(local, compression=None) as stream:
+                    while block := stream.read(READ_BYTES):
+                        state.update(block)
+                        left -= len(block)
+                if left:
+                    raise ValueError(f"{name} changed while it was read")
+                digests.append(state.hexdigest())
+            yield batch.assign(sha256=digests)
+
+    return listing.mapInPandas(work, "path string, length bigint, sha256 string")
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path for a location as Spark writes it."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))

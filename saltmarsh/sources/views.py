@@ -122,6 +122,34 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr(*[f"{e} AS {n}" for n, e in SEGMENT_EXPRESSIONS.items()])
 
 
+# A segmented file of measured formulas: the event's part gives formula and family.
+TREND_LINE_EXPRESSIONS = {
+    "file": "CAST(user_id AS BIGINT)",
+    "ts": "ts",
+    "line_id": "CAST(event_id AS BIGINT)",
+    "part_no": "event_id % parts",
+    "label": SEGMENT_EXPRESSIONS["label"],
+    "is_header": SEGMENT_EXPRESSIONS["is_header"],
+    "row_id": "concat('row', event_id)",
+    "measure": """CASE WHEN event_id % 11 = 0 THEN 'bad'
+        ELSE concat(event_id % 9 + 1, '.5 x 10-', 3 + event_id % 2, CASE WHEN event_id % 7 = 0 THEN ' # cold pressed' ELSE '' END) END""",
+}
+
+
+def trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of segmented files (``file``, ``ts``, ``line_id``, ``text``) and the facts the annotations are made of."""
+    from pyspark.sql import functions as F
+
+    part = table(spark, sf_dir, "part")
+    parts = part.selectExpr("p_partkey", *[f"{MEASUREMENT_EXPRESSIONS[n]} AS {n}" for n in PART_COLUMNS])
+    count = part.agg(F.count("*").alias("parts"))  # one row
+    lines = spread(table(spark, sf_dir, "events"), "user_id", "event_id").join(F.broadcast(count), F.lit(True)).selectExpr(
+        *[f"{e} AS {n}" for n, e in TREND_LINE_EXPRESSIONS.items()]
+    )
+    text = F.when(F.col("is_header"), F.col("label")).otherwise(F.concat_ws("\t", "row_id", "formula", "measure"))
+    return lines.join(parts, F.col("part_no") == F.col("p_partkey")).withColumn("text", text).drop("p_partkey", "part_no")
+
+
 def source_tables(m: DataFrame) -> dict[str, DataFrame]:
     """The measurement view reshaped into four source databases."""
     from pyspark.sql import functions as F
