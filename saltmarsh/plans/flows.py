@@ -246,12 +246,21 @@ def trend_features(pairs: DataFrame) -> DataFrame:
     return pr.pair_features(pr.enrich_pairs(weighted, described))
 
 
+def filled_pairs(table: DataFrame, medians: DataFrame) -> DataFrame:
+    """Pairs with the training ``medians`` where a feature is missing; those without any stay as they are."""
+    return ml.impute(pr.usable_pairs(table), pr.MODEL_FEATURES, medians).unionByName(pr.rejected_pairs(table))
+
+
 def trend_report_of_segments(
-    lines: DataFrame, part: Sequence[str], order: Sequence[str], families: DataFrame, model, threshold: float = pr.THRESHOLD
+    lines: DataFrame, part: Sequence[str], order: Sequence[str], families: DataFrame, model, medians: DataFrame,
+    threshold: float = pr.THRESHOLD,
 ) -> Bundle:
-    """Report on segmented files: rows, families, neighbouring pairs, features, symmetric scores, labels, metrics."""
+    """Report on segmented files: rows, families, neighbouring pairs, features, symmetric scores, labels, metrics.
+
+    ``medians`` are those of the model's training pairs.
+    """
     pairs = segment_trend_pairs(segment_rows(lines, part, order, families), part, order, threshold)
-    table = durable(trend_features(pairs).withColumn("doi", F.col("group_id")))
+    table = durable(filled_pairs(trend_features(pairs).withColumn("doi", F.col("group_id")), medians))
     report = trend_report(table, model, threshold)
     return Bundle({"pairs": pairs, "predictions": report["predictions"], "metrics": report["metrics"]})
 

@@ -21,7 +21,7 @@ from saltmarsh.plans.queries_curation import by_row, rounded_predictions, valid
 from saltmarsh.plans.queries_pairs import pairs
 from saltmarsh.session import durable, scratch_path
 from saltmarsh.sources import views
-from saltmarsh.sources.views import TREND_LINE_EXPRESSIONS
+from saltmarsh.sources.views import TREND_FORMULA, TREND_LINE_EXPRESSIONS
 
 c = F.col
 LABELS = pr.LABELS
@@ -135,14 +135,17 @@ def m06(t):
     return ev.regression_metrics(rows, ["model", "split"], "y_true", "y_pred")
 
 
-def pair_rows(t):
-    """Imputed pair features with the side of their identifier group."""
+def pair_sides(t):
+    """Training medians, and imputed pair features with the side of their identifier group."""
     table = durable(pr.pair_table(pairs(t)))
     split = durable(flows.split_pairs(table, 0.2))
-    train = split.filter("split = 'train'")
-    medians = durable(ml.medians(pr.usable_pairs(train), pr.MODEL_FEATURES))
-    filled = durable(ml.impute(pr.usable_pairs(split), pr.MODEL_FEATURES, medians).unionByName(pr.rejected_pairs(split)))
-    return filled.filter("split = 'train'"), filled.filter("split = 'validation'")
+    medians = durable(ml.medians(pr.usable_pairs(split.filter("split = 'train'")), pr.MODEL_FEATURES))
+    filled = durable(flows.filled_pairs(split, medians))
+    return medians, filled.filter("split = 'train'"), filled.filter("split = 'validation'")
+
+
+def pair_rows(t):
+    return pair_sides(t)[1:]
 
 
 @query("m07_train_classifiers")
@@ -174,7 +177,7 @@ CLASSIFIER_GRIDS = {"random_forest": {"maxDepth": [3, 6]}, "logistic": {"regPara
 def classifier_search(t):
     """Folds of pairs and the fitted search of each classifier."""
     rows = pr.usable_pairs(pair_rows(t)[0])
-    folds = sp.stratified_group_kfold(rows, "doi", "trend_label", LABELS, 3)
+    folds = sp.stratified_group_kfold(rows, "doi", "trend_label", LABELS, 2)
     rows = durable(sp.with_folds(rows, folds, "doi"))
     return rows, {name: md.tune_classifier(rows, name, grid, "fold") for name, grid in CLASSIFIER_GRIDS.items()}
 
@@ -372,7 +375,7 @@ def j10(t):
 PLACE = ["ts", "line_id"]
 # Differences of these measurements are whole steps of 5e-5, so no rounding meets the threshold.
 STEP = 7.5e-5
-CTES["tline"] = f"""SELECT x.*, pf.formula, pf.family FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in TREND_LINE_EXPRESSIONS.items())}
+CTES["tline"] = f"""SELECT x.*, {TREND_FORMULA} AS formula, pf.family FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in TREND_LINE_EXPRESSIONS.items())}
     FROM (SELECT *, (SELECT count(*) FROM part) AS parts FROM events)) x JOIN pf ON pf.p_partkey = x.part_no"""
 CTES["tseg"] = f"""SELECT *, {orc.parse_scientific('measure')} AS row_value, {orc.strip('formula')} AS row_formula FROM (
     SELECT *, sum(CASE WHEN is_header THEN 1 ELSE 0 END) OVER w AS segment_no, last_value(label IGNORE NULLS) OVER w AS segment_label
@@ -446,8 +449,9 @@ def v14p(t):
 @query("v14_trend_report")
 def v14(t):
     lines = trend_lines(t)
-    model = flows.train_trend_model(pair_rows(t)[0])
-    return flows.trend_report_of_segments(text_lines(lines), ["file"], PLACE, annotations(lines), model, STEP)["predictions"]
+    medians, train, _ = pair_sides(t)
+    model = flows.train_trend_model(train)
+    return flows.trend_report_of_segments(text_lines(lines), ["file"], PLACE, annotations(lines), model, medians, STEP)["predictions"]
 
 
 @query("v15_reconciliation", "SELECT row_id, 'same' AS status FROM trow")
@@ -469,8 +473,8 @@ def v15o(t):
 
 
 def comparison(t):
-    train = pair_rows(t)[0]
-    table = durable(flows.trend_features(grouped_files(t)["pairs"]))
+    medians, train, _ = pair_sides(t)
+    table = durable(flows.filled_pairs(flows.trend_features(grouped_files(t)["pairs"]), medians))
     models = {name: flows.train_trend_model(train, name) for name in ("random_forest", "logistic")}
     return flows.experimental_comparison(table, pairs(t), models)
 

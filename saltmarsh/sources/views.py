@@ -136,6 +136,11 @@ TREND_LINE_EXPRESSIONS = {
 }
 
 
+# Every thirteenth line has an additive behind a formula that other rows have too.
+TREND_FORMULA = """concat(CASE WHEN part_no % 137 = 21 THEN 'Li7La3Zr2O12' ELSE formula END,
+    CASE WHEN line_id % 13 = 0 THEN ' + 5wt%ZrCl4' ELSE '' END)"""
+
+
 def trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of segmented files (``file``, ``ts``, ``line_id``, ``text``) and the facts the annotations are made of."""
     from pyspark.sql import functions as F
@@ -147,7 +152,8 @@ def trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"{e} AS {n}" for n, e in TREND_LINE_EXPRESSIONS.items()]
     )
     text = F.when(F.col("is_header"), F.col("label")).otherwise(F.concat_ws("\t", "row_id", "formula", "measure"))
-    return lines.join(parts, F.col("part_no") == F.col("p_partkey")).withColumn("text", text).drop("p_partkey", "part_no")
+    rows = lines.join(parts, F.col("part_no") == F.col("p_partkey")).withColumn("formula", F.expr(TREND_FORMULA))
+    return rows.withColumn("text", text).drop("p_partkey", "part_no")
 
 
 def source_tables(m: DataFrame) -> dict[str, DataFrame]:
