@@ -1,17 +1,22 @@
 r"""Mixing sources to target weights by Pareto order sampling.
 
 A source's target is its weight's share of all words, at most ``most`` times its own
-words; what lies above is shared again by weight. The target divided by the source's
-words is the expected number of copies of each of its documents. Whole copies are
-certain; for the rest every document gets the rank
+words; what lies above is shared again by weight. The whole part of the target divided by
+the source's words is the number of copies that all of its documents get for certain. For
+the words that are left, documents have unequal inclusion odds
 
-    Q = (U / (1 - U)) / (p / (1 - p)) / tilt
+    p / (1 - p) = c * size ** power * tilt
 
-with U a hash of its id, p its source's remaining share and ``tilt`` a factor on its
-inclusion odds (1 unless a column is named). The documents with the smallest Q are
-taken, as many as stay within the source's target, and then the one document that fills
-best what is still open. p is the same for a whole source, so it moves no document within
-it and is left out of the order.
+(``tilt``: a column, 1 unless one is named), with c such that the expected words are those
+left. Long documents are taken more often than short ones, so few are needed to fill the
+rest. Each document gets the rank
+
+    Q = (U / (1 - U)) / (p / (1 - p))
+
+with U a hash of its id. The documents with the smallest Q are taken, as many as stay
+within the source's target, and then the one document that fills best what is still open.
+c is the same for a whole source and moves no document within it, so the order needs only
+``size ** power * tilt``.
 
 Defined cases: null text has no words; null is a source of its own, ordered last; a
 source without words has target 0; documents without words are taken 0 words; documents
@@ -23,17 +28,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import WORD, running, setup
+from saltmarsh.operators.ordering import attach_row, row_rank, running_sum
 from saltmarsh.session import durable
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``slice_rows``: about so many documents of a source are ordered in one task."""
+    """``power``: how inclusion odds grow with a document's words. ``slice_rows``: about so
+    many documents of a source are ordered in one task."""
 
+    power: float = 0.5
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     most: int = 3
     seed: str = "mix"
@@ -61,28 +69,42 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
+def preference(size: Column, tilt: Column, settings: Settings) -> Column:
+    """A document's inclusion odds, up to the factor of its source."""
+    grown = F.sqrt(size.cast("double")) if settings.power == 0.5 else F.pow(size.cast("double"), F.lit(settings.power))
+    return F.when(size > 0, grown * tilt).otherwise(1.0)
+
+
+def tilted(tilt: str | None) -> Column:
+    return F.coalesce(F.col(tilt), F.lit(1)).cast("double") if tilt else F.lit(1.0)
+
+
 def targets(sizes: DataFrame, settings: Settings) -> DataFrame:
     """``sizes`` (one row for each ``source``, with ``source_size``) with the ``target`` of each.
 
-    The windows see one row for each source.
+    Sources are numbered, and their caps added up, in slices of a range partitioning: a
+    corpus may have a source for each site. All sums are of whole numbers, so they do not
+    depend on the slices.
     """
     weights = F.array(*map(F.lit, settings.weights))
-    whole = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("cap").over(whole) / settings.most - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    placed = (
+        row_rank(sizes, [], [F.col("source").asc_nulls_last()], "place")
+        .withColumn("weight", F.element_at(weights, ((F.col("place") - 1) % len(settings.weights) + 1).cast("int")))
+        .withColumn("cap", (F.col("source_size") * settings.most).cast("double"))
+        .withColumn("fills", F.col("cap") / F.col("weight"))
+    )
+    order = [F.col("fills"), F.col("place")]
+    both = running_sum(running_sum(placed, [], order, F.col("cap"), "cap_upto"), [], order, F.col("weight"), "weight_upto")
+    both = durable(both)
+    totals = both.agg(F.sum("cap").alias("caps"), F.sum("weight").alias("weights"))
+    level = (F.col("caps") / settings.most - (F.col("cap_upto") - F.col("cap"))) / (
+        F.col("weights") - (F.col("weight_upto") - F.col("weight"))
     )
+    levels = attach_row(both, totals).withColumn("level", level)
     # In order of the level at which a source is full, the first that stays open sets the level.
-    return (
-        sizes.withColumn("place", F.row_number().over(by_name))
-        .withColumn("weight", F.element_at(weights, (F.col("place") - 1) % len(settings.weights) + 1))
-        .withColumn("cap", (F.col("source_size") * settings.most).cast("double"))
-        .withColumn("turn", F.row_number().over(by_level)).withColumn("level", level)
-        .withColumn("open", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("turn", "level"))).over(whole))
-        .withColumn("target", F.coalesce(F.least("cap", F.col("open.level") * F.col("weight")), "cap"))
-        .drop("place", "weight", "cap", "turn", "level", "open")
+    first = levels.agg(F.min(F.when(F.col("level") <= F.col("fills"), F.struct("fills", "place", "level"))).alias("open"))
+    return attach_row(both, first).select(
+        *sizes.columns, F.coalesce(F.least("cap", F.col("open.level") * F.col("weight")), "cap").alias("target")
     )
 
 
@@ -95,10 +117,12 @@ def ranked(docs: DataFrame, settings: Settings, tilt: str | None) -> tuple[DataF
     setup(docs.sparkSession)
     rows = durable(docs.select(
         F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words(F.col("text")).alias("size"),
-        (F.coalesce(F.col(tilt), F.lit(1)).cast("double") if tilt else F.lit(1.0)).alias("tilt"),
-    ))
+        tilted(tilt).alias("tilt"),
+    ).withColumn("preference", preference(F.col("size"), F.col("tilt"), settings)).drop("tilt"))
     named = targets(
-        rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), settings
+        rows.groupBy("source").agg(
+            F.sum("size").alias("source_size"), F.count("*").alias("n_rows"), F.avg("preference").alias("usual")
+        ), settings
     ).withColumnRenamed("source", "_source")
     share = F.when(F.col("source_size") > 0, F.least(F.lit(float(settings.most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     # Written, so that the planner knows its size: a row for each source.
@@ -109,8 +133,10 @@ def ranked(docs: DataFrame, settings: Settings, tilt: str | None) -> tuple[DataF
     )
     placed = (
         rows.join(known, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("q", odds(F.col("doc_id"), settings.seed) / F.col("tilt"))
-        .withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * F.col("slices")))
+        .withColumn("q", odds(F.col("doc_id"), settings.seed) / F.col("preference"))
+        # About as many documents in each slice: the order with the usual odds is uniform.
+        .withColumn("even", F.col("q") * F.col("usual"))
+        .withColumn("slice", F.floor(F.col("even") / (1 + F.col("even")) * F.col("slices")))
         .withColumn("key", source_key(F.col("source")))
     )
     ordered = durable(running(placed, "key", "slice", ["q", "doc_id", "size"], "size", "before").select(
@@ -155,13 +181,12 @@ def repeat(docs: DataFrame, settings: Settings = Settings(), tilt: str | None =
     rows are all taken if one of them is.
     """
     _, facts = ranked(docs, settings, tilt)
-    factor = F.coalesce(F.col(tilt), F.lit(1)).cast("double") if tilt else F.lit(1.0)
     found = docs.select(
-        F.struct("*").alias("row"), source_key(F.col("source")).alias("key"),
-        F.struct(
-            (odds(F.col("doc_id"), settings.seed) / factor).alias("q"), F.col("doc_id").alias("doc_id"), words(F.col("text")).alias("size")
-        ).alias("place"),
-    ).join(facts, F.col("key") == F.col("_key"))
+        F.struct("*").alias("row"), source_key(F.col("source")).alias("key"), F.col("doc_id").alias("doc_id"),
+        tilted(tilt).alias("tilt"), words(F.col("text")).alias("size"),
+    ).select("row", "key", F.struct(
+        (odds(F.col("doc_id"), settings.seed) / preference(F.col("size"), F.col("tilt"), settings)).alias("q"), "doc_id", "size"
+    ).alias("place")).join(facts, F.col("key") == F.col("_key"))
     taken = F.coalesce(F.col("place") <= F.col("bar"), F.lit(False)) | F.coalesce(F.col("place") == F.col("extra"), F.lit(False))
     copies = F.when(F.col("place.size") > 0, F.col("_whole") + taken.cast("long")).otherwise(F.lit(0).cast("long"))
     return found.select("row", copies.alias("copies")).where("copies > 0").select(

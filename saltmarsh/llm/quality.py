@@ -2,10 +2,12 @@
 
 Both models are shares of hashed word and word-pair counts: the target's from texts
 labelled good (outside the held-out third), the raw one's from the whole corpus. A text's
-log importance weight is the sum, over its n-grams, of the logarithm of the ratio, scaled
-by the root of ``reference`` over the number of its n-grams: the models' errors add up
-over a text, and long texts would otherwise be judged by them. With a Gumbel number added
-to it, the ``k`` largest are a sample without replacement in proportion to the weights.
+``log_ratio``, the logarithm of the models' ratio, is the sum over its n-grams. Its
+``log_weight``, by which it is sampled, is that ratio tempered to the power
+sqrt(``reference`` / number of its n-grams): the models' errors add up over a text, and long
+texts would otherwise be judged by them. ``reference=None`` samples by the ratio itself.
+With a Gumbel number added to the log weight, the ``k`` largest are a sample without
+replacement in proportion to the weights.
 
 Defined cases: null and empty texts have no n-gram and weight 0; a null id is never a
 training row, and such rows share their random number; several labels of one id count as
@@ -41,7 +43,7 @@ class Settings:
     train_rows: int = 20_000
     bits: int = 16
     smoothing: float = 1.0
-    reference: int = 256
+    reference: int | None = 256
     share: float | None = None
     seed: str = "quality"
 
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id``, ``n_grams`` and ``log_weight`` of every row; one pass, no shuffle."""
+    """``doc_id``, ``n_grams``, ``log_ratio`` and ``log_weight`` of every row; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # 2**bits numbers
     bits, reference = settings.bits, settings.reference
 
@@ -114,16 +116,16 @@ def weigh(docs: DataFrame, ratio: np.ndarray, settings: Settings = Settings()) -
                 own = np.bincount(owner, shared.value[bucket])
                 weight[begin:begin + len(own)] += own
                 n[begin:begin + len(own)] += np.bincount(owner)
-            weight *= np.sqrt(reference / np.maximum(n, 1))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_grams": n, "log_weight": weight})
+            power = np.sqrt(reference / np.maximum(n, 1)) if reference else 1.0
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_grams": n, "log_ratio": weight, "log_weight": weight * power})
 
     texts = id_and_text(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInPandas(score, f"doc_id {kind}, n_grams long, log_weight double")
+    return texts.mapInPandas(score, f"doc_id {kind}, n_grams long, log_ratio double, log_weight double")
 
 
 def resample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id``, ``held_out``, ``n_grams``, ``log_weight``, ``gumbel_key`` and ``kept`` (among the ``k`` largest keys)."""
+    """``doc_id``, ``held_out``, ``n_grams``, ``log_ratio``, ``log_weight``, ``gumbel_key`` and ``kept`` (among the ``k`` largest keys)."""
     spark = setup(docs.sparkSession)
     ratio, good = fit(docs, labels, settings)
     gumbel = -F.log(-F.log(uniform(F.col("doc_id"), settings.seed)))
@@ -137,5 +139,5 @@ def resample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     k = round((good if settings.share is None else settings.share) * rows.count())
     ranked = running(rows.withColumn("down", -F.col("gumbel_key")), "all", "slice", ["down", "doc_id", "n_grams"], "one", "before")
     return ranked.select(
-        "doc_id", F.expr(HELD_OUT).alias("held_out"), "n_grams", "log_weight", "gumbel_key", (F.col("before") < k).alias("kept")
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), "n_grams", "log_ratio", "log_weight", "gumbel_key", (F.col("before") < k).alias("kept")
     )

@@ -86,7 +86,8 @@ WITH rows AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(least(3.0::DOUBLE, target / source_size)) ELSE 0 END::BIGINT AS whole FROM aims
 ), ordered AS (
   SELECT r.*, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size AS need,
-    coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY u / (1 - u), doc_id NULLS FIRST, size
+    -- The odds of inclusion grow with the root of a document's words.
+    coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY u / (1 - u) / CASE WHEN size > 0 THEN sqrt(size::DOUBLE) * 1.0::DOUBLE ELSE 1.0::DOUBLE END, doc_id NULLS FIRST, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM rows r JOIN shares s ON r.source IS NOT DISTINCT FROM s.source
 ), chosen AS (

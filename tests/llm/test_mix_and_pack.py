@@ -58,6 +58,35 @@ def test_mixing(spark, prose):
     assert copies == {r.doc_id: r.copies for r in found if r.copies} and kept.columns == docs.columns
 
 
+def test_inclusion_odds_differ_inside_a_source(spark):
+    """Taken shares by size are those of p / (1 - p) = c * sqrt(size), with c from the words that are left."""
+    lengths = (4, 16, 64, 256)
+    rows = [(k, " ".join(["w"] * lengths[k % 4]), "b" if k < 8000 else "a") for k in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [r for r in mixing.mix(docs, mixing.Settings(weights=(1.0, 2.0))).collect() if r.source == "b"]
+    whole = int(found[0].target // found[0].source_size)
+    need = found[0].target - whole * found[0].source_size
+    low, high = 0.0, 1e6
+    while high - low > 1e-9 * high:
+        c = (low + high) / 2
+        p = {n: c * n**0.5 / (1 + c * n**0.5) for n in lengths}
+        low, high = (c, high) if sum(2000 * n * p[n] for n in lengths) < need else (low, c)
+    shares = {n: np.mean([r.copies - whole for r in found if r.size == n]) for n in lengths}
+    assert 0.05 < p[4] < 0.9 and p[256] > p[4] + 0.2
+    assert all(abs(shares[n] - p[n]) < 0.05 for n in lengths), (shares, p)
+    tilted = mixing.mix(docs.withColumn("likes", docs.doc_id % 2 * 20.0 + 0.1), mixing.Settings(weights=(1.0, 2.0)), "likes").collect()
+    odd = [np.mean([r.copies for r in tilted if r.source == "b" and r.doc_id % 2 == k]) for k in (0, 1)]
+    assert odd[1] > odd[0] + 0.3
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k:04d}": (k * 7919) % 400 + (10_000 if k % 97 == 0 else 0) for k in range(1500)} | {None: 77}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = targets(sizes)
+    found = {r.source: r.target for r in mixing.targets(frame, mixing.Settings()).collect()}
+    assert found.keys() == want.keys() and all(found[s] == pytest.approx(want[s], rel=1e-12, abs=1e-9) for s in want)
+
+
 def test_mixing_matches_its_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -61,6 +61,79 @@ def test_quality_awkward(spark, awkward, no_docs, labels):
     assert {r.log_weight for r in quality.resample(awkward, labels.where("false")).collect()} == {0.0}
 
 
+RATED = [
+    ("you awful stupid thing go away", 1), ("stupid awful words here", 1), ("go away you awful thing", 1), ("what a stupid idea", 1),
+    ("the garden is green and quiet", 0), ("a quiet walk in the garden", 0), ("green tea and a good book", 0), ("the idea of the book is good", 0),
+    ("words in the book", 0), ("go for a walk here", 0),
+]
+
+
+def rated(spark, column):
+    """Texts under ids that are training rows."""
+    ids = [i for i in range(100) if not held_out(i)][:len(RATED)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, RATED)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, RATED)], f"doc_id long, {column} int")
+    return docs, labels
+
+
+def test_toxicity_counts_and_ratios_by_brute_force(spark):
+    """The weights are ratio times coefficient, at the minimum of the penalized loss over brute-force features."""
+    docs, labels = rated(spark, "toxic")
+    settings = toxicity.Settings(sizes=(3, 4), bits=16, min_documents=2, min_z=0.0, iterations=500, penalty=0.05)
+    model = toxicity.fit(docs, labels, settings)
+    grams = []
+    for text, _ in RATED:
+        ids = set()
+        for n in settings.sizes:
+            for k in range(len(text) - n + 1):
+                codes = np.array([ord(ch) for ch in text[k:k + n]], dtype=np.uint32)
+                ids.add(int(toxicity.gram_ids(codes, (n,), settings.bits)[0]))
+        grams.append(ids)
+    y = np.array([t for _, t in RATED], dtype=float)
+    seen = {g: [sum(g in ids for ids, t in zip(grams, y) if t == k) for k in (0, 1)] for g in set().union(*grams)}
+    kept = {g: n for g, n in seen.items() if sum(n) >= 2}
+    p = {g: n[1] + settings.smoothing for g, n in kept.items()}
+    q = {g: n[0] + settings.smoothing for g, n in kept.items()}
+    ratio = {g: math.log(p[g] / sum(p.values())) - math.log(q[g] / sum(q.values())) for g in kept}
+    order = sorted(g for g in kept if ratio[g] != 0)
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(order) and len(order) > 20
+    x = np.array([[ratio[g] if g in ids else 0.0 for g in order] for ids in grams])
+    beta = model.weights[order] / np.array([ratio[g] for g in order])
+    margin = model.intercept + x @ beta
+    error = 1 / (1 + np.exp(-margin)) - y
+    assert np.abs(x.T @ error / len(y) + settings.penalty * beta).max() < 2e-3 and abs(error.mean()) < 2e-3
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert sorted(found.values()) == pytest.approx(sorted(1 / (1 + np.exp(-margin))))
+
+
+def test_quality_counts_and_ratios_by_brute_force(spark):
+    docs, labels = rated(spark, "quality")
+    settings = quality.Settings(bits=14)
+    found, share = quality.fit(docs, labels, settings)
+
+    def buckets(text):
+        words = text.split()
+        one = [int(next(quality.grams([w], settings.bits))[2][0]) for w in words]
+        return one + [int(next(quality.grams([f"{a} {b}"], settings.bits))[2][2]) for a, b in zip(words, words[1:])]
+
+    width = 1 << settings.bits
+    raw, target = np.zeros(width), np.zeros(width)
+    for text, good in RATED:
+        for bucket in buckets(text):
+            raw[bucket] += 1
+            target[bucket] += good
+    base = (raw + 1) / (raw + 1).sum()
+    want = np.log((target + width * base) / (target.sum() + width)) - np.log(base)
+    assert share == 0.4 and np.allclose(found, want)
+    rows = {r.doc_id: r for r in quality.weigh(docs, found, settings).collect()}
+    for doc_id, text in docs.collect():
+        sum_, n = sum(want[b] for b in buckets(text)), len(buckets(text))
+        assert rows[doc_id].n_grams == n and rows[doc_id].log_ratio == pytest.approx(sum_)
+        assert rows[doc_id].log_weight == pytest.approx(sum_ * math.sqrt(256 / n))
+    plain = quality.weigh(docs, found, quality.Settings(bits=14, reference=None)).collect()
+    assert all(r.log_weight == r.log_ratio for r in plain)
+
+
 def test_hilbert_neighbours_differ_by_one():
     cells = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     order = cells[np.argsort(hilbert(cells, 3))]
