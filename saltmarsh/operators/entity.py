@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from saltmarsh.functions import formula as fm
 from saltmarsh.functions import text as tx
 from saltmarsh.operators import quality as ql
-from saltmarsh.operators.ordering import exact_quantiles, keep_first, last_known, next_row, running_extreme, spread_join
+from saltmarsh.operators.ordering import exact_quantiles, hand_back, keep_first, last_known, next_row, running_extreme, spread_join
 from saltmarsh.session import durable, small_table
 
 # --- sources to one schema ---------------------------------------------------
@@ -321,16 +321,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         mirrored = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: link every larger neighbour to the smallest one around.
-        smallest = mirrored.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = spread_join(mirrored, smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = durable(large.distinct())
+        large = hand_back(mirrored, "u", F.min("v").alias("m")).filter("v > u").select(
+            F.col("v").alias("u"), F.least("u", "m").alias("v")
+        ).distinct()
         # Small star: link the node and its smaller neighbours to the smallest one.
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, lowest, "u").select(F.col("v").alias("x"), "m").filter("x != m")
+        small = hand_back(large, "u", F.min("v").alias("m")).select(
+            F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")
+        )
         both = durable(
-            small.select(F.col("x").alias("u"), F.col("m").alias("v"))
-            .unionByName(lowest.select("u", F.col("m").alias("v")))
-            .distinct()
+            small.filter("e.v != e.m").select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).distinct()
         )
         state = both.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.crc32(F.concat("u", "v")))).first()
         if state == previous:

@@ -214,6 +214,20 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 SALTS = 64
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+
+
+_USED = "bit_or(shiftleft(1L, _salt))"
+
+
+def _per_salt(facts: DataFrame) -> DataFrame:
+    """Each row of facts once for every salt in its ``_used``."""
+    return facts.withColumn("_salt", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("_used"), i) == 1
+    ))).drop("_used")
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """Inner join with ``facts``, one row for each ``key``, when a key may hold most rows.
 
@@ -221,12 +235,16 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     rows use, so a rare key costs one copy and a hot key is split over many tasks.
     Null keys find nothing.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    used = salted.groupBy(key).agg(F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_used"))
-    copies = facts.join(used, key).withColumn("_salt", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("_used"), i) == 1
-    ))).drop("_used")
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    salted = _salted(rows)
+    used = salted.groupBy(key).agg(F.expr(_USED).alias("_used"))
+    return salted.join(_per_salt(facts.join(used, key)), [key, "_salt"]).drop("_salt")
+
+
+def hand_back(rows: DataFrame, key: str, *facts: Column) -> DataFrame:
+    """Rows with aggregates over their ``key`` beside them, split like ``spread_join``."""
+    salted = _salted(rows)
+    groups = salted.groupBy(key).agg(*facts, F.expr(_USED).alias("_used"))
+    return salted.join(_per_salt(groups), [key, "_salt"]).drop("_salt")
 
 
 def keep_first(df: DataFrame, part: Sequence[str], order: Sequence[Column]) -> DataFrame:
