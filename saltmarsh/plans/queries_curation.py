@@ -29,6 +29,13 @@ def members(key: str, source: str, columns: str) -> str:
     return f"SELECT {key}, {columns} FROM {source} WHERE {key} IN (SELECT {key} FROM {source} GROUP BY {key} HAVING count(*) > 1)"
 
 
+def lists(key: str, source: str, fields: dict[str, str], order: str = "id", size: int = 1000) -> str:
+    """Member lists of bounded length, as SQL."""
+    joined = ", ".join(f"string_agg({e}, '|' ORDER BY {order}) AS {n}" for n, e in fields.items())
+    return f"""SELECT {key}, list_no, {joined} FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1) / {size}) AS BIGINT) AS list_no
+        FROM {source}) GROUP BY {key}, list_no"""
+
+
 # --- aggregates -----------------------------------------------------------------------
 
 
@@ -36,9 +43,12 @@ DUP_SQL = """SELECT formula_key, count(*) AS row_count, min(log10_value) AS log1
     max(log10_value) - min(log10_value) AS log10_span FROM valid GROUP BY formula_key HAVING count(*) > 1"""
 
 
-@query("a01_dup_audit", DUP_SQL, "log10_min log10_max log10_span")
+@query("a01_dup_audit", f"""SELECT * FROM ({DUP_SQL})
+    JOIN ({lists('formula_key', 'valid', {'ids': 'id', 'conductivities': 'conductivity_text', 'dois': 'doi_text'})}) USING (formula_key)""",
+    "log10_min log10_max log10_span")
 def a01(t):
-    return ql.dup_audit(t.facts)
+    rows = t.narrow("id", "formula", "value", "log10_value", "conductivity_text", "doi_text")
+    return ql.dup_lists(ql.with_formula(rows))
 
 
 @query("a01_dup_members", members("formula_key", "valid", "id, conductivity_text, doi_text"))
@@ -110,11 +120,12 @@ COMPONENT_SQL = """SELECT * FROM (SELECT component, count(*) AS candidate_rows,
 COMPONENT_DOUBLES = "log10_min log10_max log10_span kept_value"
 
 
-@query("a02_component_audit", COMPONENT_SQL, COMPONENT_DOUBLES)
+@query("a02_component_audit", f"""{COMPONENT_SQL}
+    JOIN ({lists('component', 'ccomp', {'ids': 'id', 'sources': 'source'})}) USING (component)""", COMPONENT_DOUBLES)
 def a02(t):
     rows = grouped(t)
     kept, _ = en.pick_representative(rows)
-    return en.component_audit(rows, kept)
+    return en.component_lists(rows, kept)
 
 
 @query("a02_component_members", members("component", "ccomp", "id, source"))
@@ -146,9 +157,11 @@ def model_input(t):
     return t.mf.withColumns({"ref": ref, "row_order": c("source_row")})
 
 
-@query("a03_formula_audit", AUDIT_SQL, "log10_min log10_max log10_span median_log10 kept_value")
+@query("a03_formula_audit", f"""{AUDIT_SQL}
+    JOIN ({lists('formula_key', 'melig', {'ids': 'id', 'conductivities': 'conductivity_text', 'dois': 'doi', 'sources': 'source'})}) USING (formula_key)""",
+    "log10_min log10_max log10_span median_log10 kept_value")
 def a03(t):
-    return flows.model_clean(model_input(t))["formula_audit"]
+    return flows.model_clean(model_input(t))["formula_lists"]
 
 
 @query("a03_formula_members", members("formula_key", "melig", "id, conductivity_text, doi, source"))
