@@ -102,7 +102,7 @@ def candidate_rows(t):
 def valid_candidates(t):
     """Validated candidates, written once for the steps that read them."""
     kept, _ = en.validate_candidates(candidate_rows(t))
-    return durable(kept)
+    return durable(kept.select(*flows.CURATION_COLUMNS))
 
 
 def filled(t):
@@ -124,7 +124,7 @@ COMPONENT_DOUBLES = "log10_min log10_max log10_span kept_value"
     JOIN ({lists('component', 'ccomp', {'ids': 'id', 'sources': 'source'})}) USING (component)""", COMPONENT_DOUBLES)
 def a02(t):
     rows = grouped(t)
-    kept, _ = en.pick_representative(rows)
+    kept, _ = en.pick_representative(rows.select("component", "id", "source", "source_row", "formula_key", "value", "temperature_c"))
     return en.component_lists(rows, kept)
 
 
@@ -341,7 +341,7 @@ def d02(t):
 
 @query("d03_pick_representative", "SELECT component, id, source, value FROM ckept", "value")
 def d03(t):
-    kept, _ = en.pick_representative(grouped(t))
+    kept, _ = en.pick_representative(grouped(t).select("component", "id", "source", "source_row", "value", "temperature_c"))
     return kept.select("component", "id", "source", "value")
 
 
@@ -356,7 +356,9 @@ def d04(t):
 
 @query("d05_span_keep_highest", """SELECT id, CASE WHEN fn > 1 AND span > 1.0 AND id <> top_id THEN 'conflicting formula: log10 conductivity span ' || printf('%.3f', span) || ' > 1; kept highest conductivity row ' || top_id ELSE 'kept' END AS outcome FROM cspan""")
 def d05(t):
-    merged, _ = en.pick_representative(grouped(t))
+    merged, _ = en.pick_representative(grouped(t).select(
+        "component", "id", "source", "source_row", "formula_key", "value", "log10_value", "temperature_c"
+    ))
     kept, removed = en.span_keep_highest(durable(merged))
     return kept.select("id", F.lit("kept").alias("outcome")).unionByName(removed.select("id", c(ql.REASON).alias("outcome")))
 
@@ -424,7 +426,7 @@ def d09(t):
     UNION ALL SELECT c.id, c.source, c.formula_key, 'kept', CASE WHEN c.family_norm <> 'unknown' THEN c.family_norm WHEN len(fo) = 1 THEN fo[1] WHEN len(dopt) = 1 THEN dopt[1] ELSE guess END
         FROM cfinal c LEFT JOIN casc k ON k.id = c.id""")
 def d10(t):
-    out = flows.curate_sources(views.source_tables(t.m))
+    out = flows.curate_sources(views.source_tables(t.m), keep=[])
     short = (
         F.when(c(ql.REASON).startswith("unparseable"), "formula")
         .when(c(ql.REASON).startswith("missing or invalid"), "doi")
@@ -445,7 +447,7 @@ def d09a(t):
 
 @query("d10_audit", COMPONENT_SQL, COMPONENT_DOUBLES)
 def d10a(t):
-    return flows.curate_sources(views.source_tables(t.m))["audit"]
+    return flows.curate_sources(views.source_tables(t.m), keep=[])["audit"]
 
 
 @query("d11_model_clean", """SELECT id, CASE WHEN reason IS NOT NULL THEN reason WHEN rn > 1 THEN 'same formula representative selection; kept ' || first_value(id) OVER (PARTITION BY formula_key ORDER BY rn NULLS LAST) || ' with highest reported conductivity' ELSE 'kept' END AS outcome
@@ -516,9 +518,8 @@ def w05(t):
 @query("w06_running_best", """SELECT id, min(value) OVER w AS lowest, max(value) OVER w AS highest FROM mp WINDOW w AS (PARTITION BY method, family_norm ORDER BY source_row, id ROWS UNBOUNDED PRECEDING)""", "lowest highest")
 def w06(t):
     part = ["method", "family_norm"]
-    low = wn.running_best(t.narrow("id", "value", "source_row", *part), part, by_row(), "value", "min")
-    both = wn.running_best(low.withColumnRenamed("best_value", "lowest"), part, by_row(), "value", "max")
-    return both.select("id", "lowest", c("best_value").alias("highest"))
+    rows = t.narrow("id", "value", "source_row", *part)
+    return wn.running_bests(rows, part, by_row(), "value", {"lowest": "min", "highest": "max"}).select("id", "lowest", "highest")
 
 
 @query("w07_surrogate", "SELECT id, printf('row_%06d', row_number() OVER (ORDER BY source_row, id)) AS surrogate, printf('%04d', row_number() OVER (PARTITION BY source ORDER BY id)) AS local FROM m")
