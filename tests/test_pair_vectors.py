@@ -10,6 +10,7 @@ from saltmarsh.operators import mlprep as ml
 from saltmarsh.operators import models as md
 from saltmarsh.operators import pairing as pr
 from saltmarsh.plans import flows
+from saltmarsh.plans import queries_scoring as qs
 from saltmarsh.session import durable
 from test_training import pair_features
 
@@ -72,3 +73,15 @@ def test_boosted_classes_hold_one_class_at_a_time(spark, monkeypatch):
     model = md.BoostedClasses("label_index", "training_weight", maxIter=2, maxDepth=2).fit(table)
     assert len(model.models) == 3
     assert most == [(True, held)] * 3
+
+
+def test_comparison_builds_its_pairs_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(qs, "pairs", lambda t: built.append("pairs") or "pairs")
+    monkeypatch.setattr(qs, "pair_sides", lambda t, found=None: ("medians", "train", found or qs.pairs(t)))
+    monkeypatch.setattr(qs, "grouped_files", lambda t: {"pairs": "grouped"})
+    monkeypatch.setattr(qs, "durable", lambda rows: rows)
+    for name in ("trend_features", "filled_pairs", "train_trend_model"):
+        monkeypatch.setattr(flows, name, lambda *given: given)
+    monkeypatch.setattr(flows, "experimental_comparison", lambda table, train, models: train)
+    assert qs.comparison(None) == "pairs" and built == ["pairs"]
