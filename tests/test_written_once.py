@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from saltmarsh.operators import entity
 from saltmarsh.plans import flows
 
 
@@ -46,3 +47,17 @@ def test_segment_rows_are_read_once(spark):
     ))
     assert flows.segment_trend_pairs(rows, ["file"], ["ts", "line_id"]).count() == 4
     assert times.value == 5
+
+
+def test_component_members_are_found_once(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [("a", f"x{i}", "v1", i, "LiCl", 1.0 + i, 0.0, ["t"]) for i in range(4)] + [("b", "y", "v1", 9, "LiBr", 1.0, 0.0, ["u"])],
+        "component string, id string, source string, source_row long, formula_key string, value double, log10_value double, doi_tokens array<string>",
+    ).withColumn("temperature_c", F.lit(25.0))
+    kept, _ = entity.pick_representative(rows)
+    found = []
+    members = entity.component_members
+    monkeypatch.setattr(entity, "component_members", lambda df: found.append(counted(spark, members(df))) or found[0][0])
+    out = entity.component_lists(rows, kept, 3).orderBy("list_no").collect()
+    assert [(r.component, r.list_no, r.ids, r.token_count) for r in out] == [("a", 0, "x0|x1|x2", 1), ("a", 1, "x3", 1)]
+    assert found[0][1].value == 4
