@@ -3,7 +3,11 @@
 from pyspark.sql import functions as F
 
 from saltmarsh.operators import entity
+from saltmarsh.operators import mlprep as ml
+from saltmarsh.operators import models as md
+from saltmarsh.operators import pairing as pr
 from saltmarsh.plans import flows
+from test_training import pair_features
 
 
 def counted(spark, rows):
@@ -61,3 +65,21 @@ def test_component_members_are_found_once(spark, monkeypatch):
     out = entity.component_lists(rows, kept, 3).orderBy("list_no").collect()
     assert [(r.component, r.list_no, r.ids, r.token_count) for r in out] == [("a", 0, "x0|x1|x2", 1), ("a", 1, "x3", 1)]
     assert found[0][1].value == 4
+
+
+def test_search_caches_only_what_it_reads(spark, monkeypatch):
+    pairs = pair_features(spark, 60).withColumns({"fold": F.substring("pair_id", 2, 9).cast("int") % 2, "formula_a": F.lit("x" * 50)})
+    seen = []
+    augment = pr.augment
+    monkeypatch.setattr(pr, "augment", lambda df: seen.append(set(df.columns)) or augment(df))
+    md.tune_classifier(pairs, "logistic", {"regParam": [0.1]}, "fold")
+    assert seen and all(c == {*pr.MODEL_FEATURES, "trend_label", "pair_weight_group_equal", "fold"} for c in seen)
+
+
+def test_medians_are_counted_by_place(spark, monkeypatch):
+    rows = spark.createDataFrame([(1.0, None), (2.0, float("nan")), (float("inf"), None), (4.0, None)], "a double, b double")
+    parts = []
+    quantiles = ml.exact_quantiles
+    monkeypatch.setattr(ml, "exact_quantiles", lambda df, *rest: parts.append(df.schema["feature"].dataType.typeName()) or quantiles(df, *rest))
+    assert ml.medians(rows, ["a", "b"]).first().asDict() == {"_m_a": 2.0, "_m_b": 0.0}
+    assert parts == ["integer"]
